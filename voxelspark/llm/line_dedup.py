@@ -27,11 +27,18 @@ RANKS, NEED = 1 << 18, 1 << 17
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, line) of documents with an id; place orders all lines."""
-    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    """(doc_id, place, raw) of documents with an id; place orders all lines."""
+    rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
     fits = (F.abs("doc_id") < (1 << DOC_BITS)) & (F.col("no") < (1 << LINE_BITS))
     place = F.when(fits, F.shiftleft("doc_id", LINE_BITS) + F.col("no")).otherwise(F.raise_error(F.lit("doc_id or number of lines out of range")))
-    return rows.select(place.alias("place"), F.translate(F.lower("line"), "\t\r\x0b\x0c", "    ").alias("line"))
+    return rows.select(place.alias("place"), "raw")
+
+
+def _plain() -> Column:
+    """A line in lower case with blanks for all white space."""
+    low = F.lower("raw")
+    other = [F.contains(low, F.lit(c)) for c in "\t\r\x0b\x0c"]
+    return F.when(other[0] | other[1] | other[2] | other[3], F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
 
 
 def _dense(values: DataFrame, size: int, name: str) -> DataFrame:
@@ -51,19 +58,19 @@ def _bit(i: Column) -> Column:
 
 def _ranks(lines: DataFrame) -> DataFrame:
     """Rarity of hashed tokens: 19-bit steps of the logarithm of their counts."""
-    tokens = lines.select(F.explode(F.split("line", " ")).alias("t")).where("t <> ''")
+    tokens = lines.select(F.explode(F.split(_plain(), " ")).alias("t")).where("t <> ''")
     counts = tokens.groupBy(_bucket(F.xxhash64("t"), RANKS).alias("b")).count()
-    return _dense(counts.select("b", F.floor(F.ln(F.col("count") + 1) * 16384).cast("int").alias("v")), RANKS, "rank")
+    return _dense(counts.select("b", F.shiftleft(F.floor(F.ln(F.col("count") + 1) * 16384).cast("bigint"), 44).alias("v")), RANKS, "rank")
 
 
 def _index(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     """Prefix rows (token, place, n, i, bits) of each line."""
 
     def code(h: Column) -> Column:
-        return F.shiftleft(F.get("rank", _bucket(h, RANKS)).cast("bigint"), 44).bitwiseOR(h.bitwiseAND(F.lit((1 << 44) - 1)))
+        return F.get("rank", _bucket(h, RANKS)).bitwiseOR(h.bitwiseAND(F.lit((1 << 44) - 1)))
 
-    tokens = F.array_distinct(F.transform(F.split("line", " "), lambda t: code(F.xxhash64(t))))
-    rows = lines.crossJoin(ranks).select("place", F.sort_array(F.array_remove(tokens, code(F.xxhash64(F.lit(""))))).alias("s")).withColumn("n", F.size("s")).where("n > 0")
+    tokens = F.array_remove(F.array_distinct(F.transform(F.split(_plain(), " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    rows = lines.crossJoin(ranks).select("place", F.sort_array(F.transform(tokens, code)).alias("s")).withColumn("n", F.size("s")).where("n > 0")
     bits = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
     prefix = F.slice("s", F.lit(1), F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))
     return rows.select("place", "n", bits.alias("bits"), F.posexplode(prefix).alias("i", "token")).select("token", F.struct("place", F.col("n").cast("int").alias("n"), F.col("i").cast("int").alias("i"), "bits").alias("a"))
@@ -81,7 +88,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     bits = places.select(F.shiftright(slot, 6).alias("b"), _bit(slot).alias("m"))
     need = _dense(bits.groupBy("b").agg(F.bit_or("m").alias("v")), NEED, "need")
     wanted = F.get("need", F.shiftright(slot, 6).cast("int")).bitwiseAND(_bit(slot)) != 0
-    kept = lines.crossJoin(need).where(wanted).select("place", F.array_remove(F.array_distinct(F.split("line", " ")), "").alias("s"))
+    kept = lines.crossJoin(need).where(wanted).select("place", F.array_remove(F.array_distinct(F.split(_plain(), " ")), "").alias("s"))
     sets = kept.join(places, "place", "left_semi").select("place", F.transform("s", lambda t: F.xxhash64(t)).alias("s")).dropDuplicates(["place"])
     full = pairs.join(sets.select(F.col("place").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("place").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
@@ -91,12 +98,12 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Places of the lines to remove: rows (doc_id, no)."""
     lines = _lines(documents(docs))
-    keyed = lines.where(F.trim("line") != "").select("place", F.xxhash64("line").alias("k"), F.hash("line").alias("k2"))
+    keyed = table(lines.where(F.trim("raw") != "").select("place", F.xxhash64("raw").alias("k"), F.hash("raw").alias("k2")))
     classes = table(keyed.groupBy("k", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1"))
     equal = keyed.join(classes.select("k", "k2", "first"), ["k", "k2"]).where("place > first").select("place")
     # of the most repeated lines only the first enters the join: HEAVY rows at most
     heavy = F.broadcast(classes.orderBy(F.col("times").desc(), "first").limit(HEAVY).select("k", "k2", "first"))
-    single = lines.withColumns({"k": F.xxhash64("line"), "k2": F.hash("line")}).join(heavy, ["k", "k2"], "left").where("first is null or place = first").select("place", "line")
+    single = lines.withColumns({"k": F.xxhash64("raw"), "k2": F.hash("raw")}).join(heavy, ["k", "k2"], "left").where("first is null or place = first").select("place", "raw")
     group = Window.partitionBy("token")
     index = _index(single, _ranks(lines)).select("token", "a", F.min("a").over(group).alias("b"), F.max("a.place").over(group).alias("last"))
     live = table(index.where("last > b.place").select("token", "a", "b"))
