@@ -31,7 +31,8 @@ from .common import documents, read, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NO = -np.inf
-_MEMO = 400_000
+_MEMO = 800_000
+_HEAD = 7  # words share the work on so many first characters
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -79,7 +80,15 @@ class Model:
         self.heads = not any(SPACE in p.lstrip(SPACE) for p in self.ids)  # no piece goes on past a later space mark
         self.known = known
         self.floor = min((s for p, s, k in pieces if k == 1), default=0.0) - 10
+        self.value = {p: self.score[i] for p, i in self.ids.items()}
+        self.history: dict[int, list[tuple[float, str, str]]] = {}
         self.apart: dict[int, bool] = {}
+        self.alone = {p: i for p, i in self.ids.items() if not bpe or len(p) == 1 or self.merges(p)[0] == [p]}  # pieces that are their own encoding
+        self.reach: dict[str, int] = {}  # longest piece by its last three characters
+        for p in self.alone:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(self.reach.get(p[-3:], 2), len(p))
+        self.begun: dict[str, tuple[list[int], list[int]]] = {}
         self.memo: dict[str, bytes] = _Memo(self)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+") if self.heads and "\n" not in known else re.compile("(?s).+")
 
@@ -117,35 +126,49 @@ class Model:
         if ok is None:
             if len(self.apart) > 2_000_000:
                 self.apart.clear()
-            a, b = self.pieces[before], self.pieces[after]
-            ok = self.apart[key] = self.merged(a + b) == [a, b]
+            ok = self.apart[key] = self._stay_apart(before, after)
         return 0.0 if ok else _NO
 
-    def merged(self, text: str) -> list[str]:
-        """Merge neighbours by the best score, leftmost first (only ever two pieces' text)."""
+    def merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """Merge neighbours by the best score, leftmost first: the pieces left, and each merge's score with the outer pieces after it."""
         out = list(text)
+        steps = [(0.0, out[0], out[-1])]
         while len(out) > 1:
             best = None
             for i in range(len(out) - 1):
-                k = self.ids.get(out[i] + out[i + 1])
-                if k is not None and (best is None or self.score[k] > best[0]):
-                    best = (self.score[k], i)
+                s = self.value.get(out[i] + out[i + 1])
+                if s is not None and (best is None or s > best[0]):
+                    best = (s, i)
             if best is None:
                 break
-            i = best[1]
+            s, i = best
             out[i : i + 2] = [out[i] + out[i + 1]]
-        return out
+            steps.append((s, out[0], out[-1]))
+        return out, steps
+
+    def _stay_apart(self, before: int, after: int) -> bool:
+        """Whether two pieces side by side are merged on their own only: no merge over their border comes first."""
+        for k in (before, after):
+            if k not in self.history:
+                self.history[k] = self.merges(self.pieces[k])[1]
+        a, b, value = self.history[before], self.history[after], self.value.get
+        i = j = 0
+        while True:
+            over = value(a[i][2] + b[j][1], _NO)
+            x = a[i + 1][0] if i + 1 < len(a) else _NO
+            y = b[j + 1][0] if j + 1 < len(b) else _NO
+            if over > x and over >= y:
+                return False
+            if x == y == _NO:
+                return True
+            if x >= y:
+                i += 1
+            else:
+                j += 1
 
     def usable(self, piece: str) -> int | None:
         """Id of a piece that is its own encoding."""
-        k = self.ids.get(piece)
-        if k is not None and self.bpe and len(piece) > 1:
-            key = k << 20 | 0xFFFFF
-            ok = self.apart.get(key)
-            if ok is None:
-                ok = self.apart[key] = self.merged(piece) == [piece]
-            return k if ok else None
-        return k
+        return self.alone.get(piece)
 
     def columns(self, text: str, start: int, stop: int, initial: dict[int, dict[int, np.ndarray | float]]):
         """Best weights of the states ending at each position: {position: {state: weight, or one weight per initial state}}.
@@ -198,21 +221,39 @@ class Model:
 
     def _only(self, text: str) -> list[int]:
         """As best() for BPE, where each prefix has one encoding only: its last piece and where that begins."""
-        last, begin, longest = [-1] * (len(text) + 1), [0] * (len(text) + 1), self.longest
-        usable, weight = self.usable, self.weight
-        for p in range(1, len(text) + 1):
-            for q in range(max(0, p - longest), p):
-                k = usable(text[q:p])
-                if k is not None and (q == 0 or weight(last[q], k) == 0.0):
-                    last[p], begin[p] = k, q
-                    break
+        n = len(text)
+        known = self.begun.get(text[:_HEAD]) if n > _HEAD else None
+        last, begin = (known[0][:], known[1][:]) if known else ([-1], [0])
+        done = len(last)
+        last += [-1] * (n + 1 - done)
+        begin += [0] * (n + 1 - done)
+        get, apart, reach = self.alone.get, self.apart.get, self.reach.get
+        for p in range(done, n + 1):
+            low = p - reach(text[p - 3 : p], 2) if p > 2 else 0
+            for q in range(low if low > 0 else 0, p):
+                k = get(text[q:p])
+                if k is None:
+                    continue
+                before = last[q]
+                if q and before >= 0:
+                    ok = apart(before << 20 | k)
+                    if ok is None:
+                        ok = self.weight(before, k) == 0.0
+                    if not ok:
+                        continue
+                last[p], begin[p] = k, q
+                break
             else:
                 begin[p] = p - 1
-        out, p = [], len(text)
+        if n > _HEAD and not known:
+            if len(self.begun) > _MEMO // 4:
+                self.begun.clear()
+            self.begun[text[:_HEAD]] = (last[: _HEAD + 1], begin[: _HEAD + 1])
+        out, p = [], n
         while p:
-            out.append(last[p] if last[p] >= 0 else -1 - (p - 1))
+            out.append(last[p])
             p = begin[p]
-        return [k if k >= 0 else -1 for k in reversed(out)]
+        return out[::-1]
 
     def id_bytes(self, text: str, states: list[int]) -> bytes:
         """Ids as little-endian int32; a character outside the vocabulary becomes its bytes."""
