@@ -56,7 +56,7 @@ def test_against_brute_force(spark):
 
 
 def test_large_nodes(spark):
-    check(spark, corpus(2, 3, 60), 5, 80, 100, leaf=4)
+    check(spark, corpus(2, 3, 60), 5, 80, 100, leaf=4, block=8)
 
 
 def test_empty_table_and_null_id(spark):

@@ -79,4 +79,5 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    roots = e.select(F.col("v").alias("u"), "v")
+    return e.unionByName(roots).groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
