@@ -105,18 +105,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield t, np.append(heads(t), t.num_rows)
 
 
-def forest(n: int, near) -> list[tuple[int, int]]:
-    """Spanning forest of a graph of n nodes; near(i, others) tells which of others are linked with i."""
-    left, out = np.arange(n), []
+def forest(family: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links that join families; near(i, others) tells which of others are linked with i. Members of a family count as linked."""
+    left, out = np.arange(len(family)), []
     while len(left):
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
             i = reached.pop()
+            own = family[left] == family[i]
             hit = near(i, left)
-            new = left[hit].tolist()
-            out += [(i, j) for j in new]
-            reached += new
-            left = left[~hit]
+            other = left[hit & ~own]
+            out += [(i, int(other[k])) for k in np.unique(family[other], return_index=True)[1]]
+            reached += left[hit | own].tolist()
+            left = left[~(hit | own)]
     return out
 
 
@@ -132,22 +133,22 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _alike(slack: int):
-    """mapInArrow function over sorted (node, i, j, rep, s): forest of the sketch links of each group."""
+    """mapInArrow function over sorted (node, i, j, rep, family, s): sketch links that join the families of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, heads in whole_groups(batches, ["node", "i", "j"]):
-            rep = t.column("rep").to_numpy()
+            rep, family = t.column("rep").to_numpy(), t.column("family").to_numpy()
             s = np.stack([t.column(f"s{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
             size = np.diff(heads)
             pairs = []
             of = np.repeat(np.where(size <= 3, np.arange(len(size)), -1), size)
             for lag in range(1, min(3, int(size.max()))):
                 x = np.flatnonzero((of[lag:] == of[:-lag]) & (of[lag:] >= 0))
-                x = x[_apart(s[x], s[x + lag]) <= slack]
+                x = x[(family[x] != family[x + lag]) & (_apart(s[x], s[x + lag]) <= slack)]
                 pairs.append(np.stack([rep[x], rep[x + lag]], axis=1))
             for g in np.flatnonzero(size > 3).tolist():
                 own, ids = s[heads[g] : heads[g + 1]], rep[heads[g] : heads[g + 1]]
-                found = forest(len(own), lambda i, o: _apart(own[o], own[i : i + 1]) <= slack)  # noqa: B023
+                found = forest(family[heads[g] : heads[g + 1]], lambda i, o: _apart(own[o], own[i : i + 1]) <= slack)  # noqa: B023
                 pairs.append(ids[np.array(found, np.int64).reshape(-1, 2)])
             if pairs and len(p := np.concatenate(pairs)):
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
@@ -169,7 +170,7 @@ def _exact(k: int, num: int, den: int):
                 size = np.array([len(x) for x in sets])
                 common = _intersections(sets)
                 linked = den * common >= num * (size[:, None] + size[None, :] - common)
-                found = forest(len(sets), lambda i, o: linked[i, o])  # noqa: B023
+                found = forest(np.arange(len(sets)), lambda i, o: linked[i, o])  # noqa: B023
                 out.append(rep[a:b][np.array(found, np.int64).reshape(-1, 2)])
             if len(p := np.concatenate(out)):
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
@@ -231,7 +232,7 @@ def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees
     nodes = classes.select("rep", "s", "mins", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("node", F.xxhash64("tree"))
     for width in branches:
         nodes = nodes.withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(width)])))
-    members = nodes.select("rep", "s", "node")
+    members = nodes.select("tree", "rep", "s", "node")
     sizes = table(members.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
     live = table(members.join(sizes, "node"))
     done = live.where(F.col("m") <= leaf)
@@ -239,16 +240,24 @@ def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees
         large = live.where(F.col("m") > leaf)
         if large.isEmpty():
             break
-        grown = large.select("rep", "s", "node").join(classes.select("rep", "mins"), "rep").withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(2)]))).select("rep", "s", "node").distinct()
+        grown = large.select("tree", "rep", "s", "node").join(classes.select("rep", "mins"), "rep").withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(2)]))).select("tree", "rep", "s", "node").dropDuplicates(["node", "rep"])
         sizes = grown.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
         live = table(grown.join(sizes, "node"))
         done = done.unionByName(live.where(F.col("m") <= leaf))
     done = done.unionByName(live.where(F.col("m") > leaf))  # near copies stay together at any depth
     differ = (1 - num / den) * 15 / 16
     slack = int(SIGNATURE * differ + 5.5 * (SIGNATURE * differ * (1 - differ)) ** 0.5)
-    flat = done.select("node", "rep", "m", *[F.col("s")[i].alias(f"s{i}") for i in range(4)])
-    alike = _in_blocks(flat, "node", F.ceil(F.col("m") / block)).select("node", "i", "j", "rep", "s0", "s1", "s2", "s3")
-    families = components(alike.mapInArrow(_alike(slack), "a long, b long"))
+    flat = done.select("tree", "node", "rep", "m", *[F.col("s")[i].alias(f"s{i}") for i in range(4)])
+
+    def alike(rows: DataFrame) -> DataFrame:
+        groups = _in_blocks(rows, "node", F.ceil(F.col("m") / block)).select("node", "i", "j", "rep", "family", "s0", "s1", "s2", "s3")
+        return groups.mapInArrow(_alike(slack), "a long, b long")
+
+    # the families of the first trees are known to the others, which only add what joins them
+    first = table(alike(flat.where(F.col("tree") < 2).withColumn("family", F.col("rep"))))
+    known = components(first).withColumnRenamed("node", "rep")
+    later = flat.where(F.col("tree") >= 2).join(known, "rep", "left").withColumn("family", F.coalesce("component", "rep"))
+    families = components(first.unionByName(table(alike(later))))
     families = table(families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n_shingles"), "rep"))
     sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / (2000 * block))).alias("blocks"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(families.join(sizes, "family"), "rep")
