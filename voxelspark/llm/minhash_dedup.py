@@ -229,35 +229,36 @@ def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees
     signed = table(docs.mapInArrow(_signatures(k), _SIGNED))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("s").alias("s"), F.first("mins").alias("mins"))
     classes = table(classes)
-    nodes = classes.select("rep", "s", "mins", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("node", F.xxhash64("tree"))
-    for width in branches:
-        nodes = nodes.withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(width)])))
-    members = nodes.select("tree", "rep", "s", "node")
-    sizes = table(members.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
-    live = table(members.join(sizes, "node"))
-    done = live.where(F.col("m") <= leaf)
-    for _ in range(deeper):
-        large = live.where(F.col("m") > leaf)
-        if large.isEmpty():
-            break
-        grown = large.select("tree", "rep", "s", "node").join(classes.select("rep", "mins"), "rep").withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(2)]))).select("tree", "rep", "s", "node").dropDuplicates(["node", "rep"])
-        sizes = grown.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        live = table(grown.join(sizes, "node"))
-        done = done.unionByName(live.where(F.col("m") <= leaf))
-    done = done.unionByName(live.where(F.col("m") > leaf))  # near copies stay together at any depth
     differ = (1 - num / den) * 15 / 16
     slack = int(SIGNATURE * differ + 5.5 * (SIGNATURE * differ * (1 - differ)) ** 0.5)
-    flat = done.select("tree", "node", "rep", "m", *[F.col("s")[i].alias(f"s{i}") for i in range(4)])
 
-    def alike(rows: DataFrame) -> DataFrame:
-        groups = _in_blocks(rows, "node", F.ceil(F.col("m") / block)).select("node", "i", "j", "rep", "family", "s0", "s1", "s2", "s3")
-        return groups.mapInArrow(_alike(slack), "a long, b long")
+    def links(known: DataFrame, first: int, last: int) -> DataFrame:
+        """Sketch links of trees first..last between the known families (rep, family, s, mins)."""
+        rows = known.select("rep", "family", "s", "mins", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("tree")).withColumn("node", F.xxhash64("tree"))
+        for width in branches:
+            rows = rows.withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(width)])))
+        rows = rows.select("node", "rep", "family", "s")
+        done = None
+        for depth in range(deeper + 1):
+            # a node of one family has nothing to add
+            mixed = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("node", "m")
+            live = table(rows.join(mixed, "node"))
+            small = live if depth == deeper else live.where(F.col("m") <= leaf)  # near copies stay together at any depth
+            done = small if done is None else done.unionByName(small)
+            large = live.where(F.col("m") > leaf)
+            if depth == deeper or large.isEmpty():
+                break
+            rows = large.join(classes.select("rep", "mins"), "rep").withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(2)]))).select("node", "rep", "family", "s").dropDuplicates(["node", "rep"])
+        flat = done.select("node", "rep", "family", "m", *[F.col("s")[i].alias(f"s{i}") for i in range(4)])
+        groups = _in_blocks(flat, "node", F.ceil(F.col("m") / block)).select("node", "i", "j", "rep", "family", "s0", "s1", "s2", "s3")
+        return table(groups.mapInArrow(_alike(slack), "a long, b long"))
 
     # the families of the first trees are known to the others, which only add what joins them
-    first = table(alike(flat.where(F.col("tree") < 2).withColumn("family", F.col("rep"))))
-    known = components(first).withColumnRenamed("node", "rep")
-    later = flat.where(F.col("tree") >= 2).join(known, "rep", "left").withColumn("family", F.coalesce("component", "rep"))
-    families = components(first.unionByName(table(alike(later))))
+    alike = links(classes.withColumn("family", F.col("rep")), 0, min(2, trees) - 1)
+    if trees > 2:
+        known = classes.join(components(alike).withColumnRenamed("node", "rep"), "rep", "left").withColumn("family", F.coalesce("component", "rep"))
+        alike = alike.unionByName(links(known, 2, trees - 1))
+    families = components(alike)
     families = table(families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n_shingles"), "rep"))
     sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / (2000 * block))).alias("blocks"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(families.join(sizes, "family"), "rep")
