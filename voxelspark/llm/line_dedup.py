@@ -23,7 +23,7 @@ from .common import documents, read, table
 
 LINE_BITS, DOC_BITS = 22, 40
 HEAVY = 10_000
-RANKS, NEED = 1 << 18, 1 << 17
+RANKS, NEED = 1 << 16, 1 << 17
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def _plain() -> Column:
 
 def _dense(values: DataFrame, size: int, name: str) -> DataFrame:
     """One row with an array of `size` values, from rows (b, v); 0 where there is none."""
-    rows = values.sparkSession.range(size).join(values, F.col("id") == F.col("b"), "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
+    rows = values.sparkSession.range(size).join(values, F.col("id") == F.col("b"), "left").select("id", F.coalesce("v", F.lit(0).cast(values.schema["v"].dataType)).alias("v"))
     rows = rows.groupBy((F.col("id") % 64).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("x"))
     return F.broadcast(rows.agg(F.transform(F.sort_array(F.flatten(F.collect_list("x"))), lambda e: e["v"]).alias(name)))
 
@@ -57,23 +57,30 @@ def _bit(i: Column) -> Column:
 
 
 def _ranks(lines: DataFrame) -> DataFrame:
-    """Rarity of hashed tokens: 19-bit steps of the logarithm of their counts."""
+    """Rarity of hashed tokens: quarter steps of the logarithm of their counts, a byte each.
+
+    The table stays this small because Spark copies it into the row of each line.
+    """
     tokens = lines.select(F.explode(F.split(_plain(), " ")).alias("t")).where("t <> ''")
     counts = tokens.groupBy(_bucket(F.xxhash64("t"), RANKS).alias("b")).count()
-    return _dense(counts.select("b", F.shiftleft(F.floor(F.ln(F.col("count") + 1) * 16384).cast("bigint"), 44).alias("v")), RANKS, "rank")
+    return _dense(counts.select("b", F.floor(F.ln(F.col("count") + 1) * 4).cast("tinyint").alias("v")), RANKS, "rank")
 
 
 def _index(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     """Prefix rows (token, place, n, i, bits) of each line."""
 
     def code(h: Column) -> Column:
-        return F.get("rank", _bucket(h, RANKS)).bitwiseOR(h.bitwiseAND(F.lit((1 << 44) - 1)))
+        level = F.get("rank", _bucket(h, RANKS)).cast("bigint")
+        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     tokens = F.array_remove(F.array_distinct(F.transform(F.split(_plain(), " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    rows = lines.crossJoin(ranks).select("place", F.sort_array(F.transform(tokens, code)).alias("s")).withColumn("n", F.size("s")).where("n > 0")
+    rows = lines.crossJoin(ranks).select("place", F.sort_array(F.transform(tokens, code)).alias("s"))
+    # all of a line is worked out before its rows are made; lines without tokens make none (no filter: it would work out the tokens twice)
     bits = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
+    rows = rows.select("place", F.size("s").alias("n"), bits.alias("bits"), "s")
     prefix = F.slice("s", F.lit(1), F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))
-    return rows.select("place", "n", bits.alias("bits"), F.posexplode(prefix).alias("i", "token")).select("token", F.struct("place", F.col("n").cast("int").alias("n"), F.col("i").cast("int").alias("i"), "bits").alias("a"))
+    rows = rows.select("place", "n", "bits", F.posexplode(prefix).alias("i", "token"))
+    return rows.select("token", F.struct("place", F.col("n").cast("int").alias("n"), F.col("i").cast("int").alias("i"), "bits").alias("a"))
 
 
 _FITS = """5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
