@@ -141,3 +141,30 @@ def halo_blocks(df: DataFrame, size: int, overlap: int, border: int = 0) -> Data
         hi = F.floor((F.col(a) + border) / step).cast("int")
         df = df.withColumn(f"b{a}", F.explode(F.sequence(lo, hi)))
     return df
+
+
+def reorient_ras(df: DataFrame, scans: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """Voxels with x, y, z turned to run right, anterior and superior: axes permuted and flipped, no resampling.
+
+    scans has a row per scan: scan_id, affine (rows x, y, z of four doubles,
+    one array of 12) and dims (array of 3). A voxel axis belongs to the world
+    axis that it follows most. A scan whose other components exceed
+    `tolerance` of that axis's length, or with two voxel axes on one world
+    axis, is an error. Voxels of scans that are not in `scans` are dropped.
+    """
+    entry = lambda i, j: F.col("affine")[4 * i + j]
+    length = [F.sqrt(sum((entry(i, j) * entry(i, j) for i in range(3)), F.lit(0.0))) for j in range(3)]
+    main = [F.array_position(F.array(*[F.abs(entry(i, j)) for i in range(3)]), F.greatest(*[F.abs(entry(i, j)) for i in range(3)])).cast("int") - 1 for j in range(3)]
+    plan = scans.select("scan_id", "affine", "dims", F.array(*main).alias("axis"), F.array(*length).alias("length"))
+    skew = F.lit(False)
+    for i, j in itertools.product(range(3), range(3)):
+        skew = skew | ((F.col("axis")[j] != i) & (F.abs(entry(i, j)) > tolerance * F.col("length")[j]))
+    bad = skew | F.exists("length", lambda v: ~(v > 0)) | (F.size(F.array_distinct("axis")) < 3)
+    # for each world axis: the voxel axis along it, whether that runs backwards, and its last index
+    source = [F.array_position("axis", F.lit(i)).cast("int") - 1 for i in range(3)]
+    back = [F.get("affine", source[i] + 4 * i) < 0 for i in range(3)]
+    turns = F.array(*[F.struct(source[i].alias("j"), back[i].alias("back"), (F.get("dims", source[i]) - 1).cast("int").alias("last")) for i in range(3)])
+    plan = plan.select("scan_id", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("the axes of a scan are too oblique"))).otherwise(turns).alias("_turns"))
+    at = [F.get(F.array(*AXES), F.col("_turns")[i]["j"]) for i in range(3)]
+    new = [F.when(F.col("_turns")[i]["back"], F.col("_turns")[i]["last"] - at[i]).otherwise(at[i]).cast("int") for i in range(3)]
+    return df.join(plan, "scan_id").withColumns(dict(zip(AXES, new))).drop("_turns")

@@ -250,6 +250,18 @@ def j8(spark, d):
     return G.resample(v, t).select("scan_id", "id", F.round("v", 8).alias("v"))
 
 
+@_query("g2_reorient_ras", f"WITH {VOLUME}, t AS (SELECT scan_id, v, [CASE WHEN scan_id % 2 = 1 THEN 3 - x ELSE x END, CASE WHEN (scan_id // 2) % 2 = 1 THEN 3 - y ELSE y END, CASE WHEN (scan_id // 4) % 2 = 1 THEN 3 - z ELSE z END] AS c, scan_id % 3 AS p FROM vol) SELECT scan_id, c[1 + (3 - p) % 3] AS x, c[1 + (4 - p) % 3] AS y, c[1 + (5 - p) % 3] AS z, v FROM t")
+def g2(spark, d):
+    """Scans whose voxel axis j follows world axis (j + scan_id) mod 3, backwards where bit j of scan_id is set, slightly oblique."""
+    v = X.volume(spark, d)
+    sign = [F.lit(1.0) - 2 * (F.floor(F.col("scan_id") / 2**j) % 2) for j in range(3)]
+    entries = []
+    for i in range(3):
+        entries += [F.when((j + F.col("scan_id")) % 3 == i, 2 * sign[j]).otherwise(F.lit(0.04)) for j in range(3)] + [F.lit(-10.0)]
+    scans = v.select("scan_id").distinct().select("scan_id", F.array(*entries).alias("affine"), F.array(F.lit(4), F.lit(4), F.lit(4)).alias("dims"))
+    return G.reorient_ras(v, scans).select("scan_id", "x", "y", "z", "v")
+
+
 @_query("u2_concat_padded", f"WITH {VOLUME}, g AS (SELECT DISTINCT scan_id, x.x, y.y, z.z FROM vol, (SELECT unnest(range(4))::INT AS x) x, (SELECT unnest(range(4))::INT AS y) y, (SELECT unnest(range(4))::INT AS z) z) SELECT scan_id, x, y, z, v FROM vol UNION ALL SELECT g.scan_id, g.x + 4, g.y, g.z, coalesce(s.v, 0) FROM g LEFT JOIN (SELECT * FROM vol WHERE v > 0) s USING (scan_id, x, y, z)")
 def u2(spark, d):
     v = X.volume(spark, d)
