@@ -143,3 +143,39 @@ def test_scan_files(spark, tmp_path):
     (tmp_path / "bval").write_text("0 1000 1000 0\n")
     (tmp_path / "bvec").write_text("0 1 0 0\n0 0 1 0\n0 0 0 0\n")
     assert [tuple(r) for r in R.read_protocol(spark, f"{tmp_path}/bval", f"{tmp_path}/bvec").orderBy("m").collect()] == [(0, 0.0, 0.0, 0.0, 0.0), (1, 1000.0, 1.0, 0.0, 0.0), (2, 1000.0, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 0.0, 0.0)]
+
+
+def test_frequency_windows():
+    from voxelspark.operators.grid import frequency_window
+
+    assert frequency_window(4, 1.0, "boxcar").tolist() == [0, 1, 1, 1]
+    assert frequency_window(5, 2.0, "triangular").tolist() == [0, 0.5, 1, 0.5, 0]
+    np.testing.assert_allclose(frequency_window(5, 2.0, "lukosz"), [0, 0.5, 1, 0.5, 0], atol=1e-12)
+    np.testing.assert_allclose(frequency_window(7, 2.0, "staircase"), [0, 0, 0, 0.5, 0, 0, 0], atol=1e-12)
+    np.testing.assert_allclose(frequency_window(9, 3.0, "staircase"), [0, 0, 0, 0.5, np.sqrt(0.5), 0.5, 0, 0, 0], atol=1e-12)
+    with pytest.raises(ValueError):
+        frequency_window(4, 1.0, "other")
+
+
+def test_reorient_refuses_oblique_axes(spark):
+    from pyspark.errors import PySparkException
+
+    from voxelspark.operators.grid import reorient_ras
+
+    voxels = spark.createDataFrame([(1, 0, 1, 2, 5.0)], "scan_id long, x int, y int, z int, v double")
+    scans = "scan_id long, affine array<double>, dims array<int>"
+    turned = [0.0, -2.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    row = reorient_ras(voxels, spark.createDataFrame([(1, turned, [4, 5, 6])], scans)).first()
+    assert (row.x, row.y, row.z, row.v) == (3, 0, 2, 5.0)
+    for bad in ([2.0, 0.0, 0.0, 0.0, 0.9, 2.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0], [0.0] * 12):
+        with pytest.raises(PySparkException):
+            reorient_ras(voxels, spark.createDataFrame([(1, bad, [4, 5, 6])], scans)).collect()
+
+
+def test_apodize_counts_holes_as_zero(spark):
+    from voxelspark.operators.grid import apodize
+
+    voxels = spark.createDataFrame([(1, 0, 0, 0, 4.0), (1, 1, 1, 0, None), (1, 2, 0, 0, float("nan"))], "scan_id long, x int, y int, z int, v double")
+    got = {(r.x, r.y): r.v for r in apodize(voxels, (3, 2), (9.0, 9.0), "boxcar").collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {(0, 0): 4.0, (1, 1): 0.0, (2, 0): 0.0}
+    assert apodize(voxels.limit(0), (3, 2), (9.0, 9.0)).count() == 0

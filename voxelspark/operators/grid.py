@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -168,3 +170,47 @@ def reorient_ras(df: DataFrame, scans: DataFrame, tolerance: float = 0.1) -> Dat
     at = [F.get(F.array(*AXES), F.col("_turns")[i]["j"]) for i in range(3)]
     new = [F.when(F.col("_turns")[i]["back"], F.col("_turns")[i]["last"] - at[i]).otherwise(at[i]).cast("int") for i in range(3)]
     return df.join(plan, "scan_id").withColumns(dict(zip(AXES, new))).drop("_turns")
+
+
+def frequency_window(n: int, width: float, kind: str) -> np.ndarray:
+    """Weights of the n frequencies of an axis, lowest (most negative) first.
+
+    width is the largest frequency kept; for "gauss" it is the standard
+    deviation of the blur in voxels.
+    """
+    k = np.arange(n) - n // 2
+    r = np.abs(k) / width
+    if kind == "gauss":
+        return np.exp(-2 * (math.pi * width * k / n) ** 2)
+    if kind == "staircase":  # the step that a frequency is on: the largest whole m <= width with |k| < width / m
+        top = math.floor(width)
+        m = np.array([top if a == 0 else min(top, math.ceil(1 / a) - 1) for a in r])
+        return np.where(m >= 1, np.cos(math.pi / (np.maximum(m, 1) + 1)), 0.0)
+    shapes = {"lukosz": lambda: np.cos(math.pi * r / (r + 1)), "boxcar": lambda: np.ones(n), "triangular": lambda: 1 - r}
+    if kind not in shapes:
+        raise ValueError(f"unknown window {kind!r}")
+    return np.where(r <= 1, shapes[kind](), 0.0)
+
+
+def apodize(df: DataFrame, size: tuple[int, int], width: tuple[float, float], kind: str = "gauss", sigma_z: float = 0.0, by: tuple[str, ...] = (), value: str = "v") -> DataFrame:
+    """Magnitude of each slice after a window in frequency space, then a blur along z where sigma_z > 0.
+
+    A slice is (scan_id, z) and the columns of `by` (a volume number, say), at
+    most size[0] by size[1] voxels, so a group is one image. Voxels that are
+    not there, null or not finite count as 0; the result has the rows of df.
+    sigma_z needs one volume for each scan_id. Returns scan_id, x, y, z, `by`
+    and the value.
+    """
+    if sigma_z > 0 and by:
+        raise ValueError("blur each volume by itself")
+    weights = np.fft.ifftshift(np.outer(frequency_window(size[0], width[0], kind), frequency_window(size[1], width[1], kind)))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        image = np.zeros(size)
+        image[x, y] = np.nan_to_num(rows[value].to_numpy(dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
+        return rows.assign(**{value: np.abs(np.fft.ifft2(np.fft.fft2(image) * weights))[x, y]})
+
+    rows = df.select("scan_id", *AXES, *by, F.col(value).cast("double").alias(value))
+    out = rows.groupBy("scan_id", "z", *by).applyInPandas(one, rows.schema)
+    return gauss_blur(out, (0, 0, sigma_z), value) if sigma_z > 0 else out

@@ -250,6 +250,15 @@ def j8(spark, d):
     return G.resample(v, t).select("scan_id", "id", F.round("v", 8).alias("v"))
 
 
+_KERNEL = """n AS (SELECT unnest(range(4)) AS n), f AS (SELECT unnest([-2, -1, 0, 1]) AS k),
+  kernel AS (SELECT n, sum(exp(-2 * pow(pi() * 0.8::DOUBLE * k / 4, 2)) * cos(pi() * k * n / 2)) / 4 AS kx, sum(exp(-2 * pow(pi() * 0.5::DOUBLE * k / 4, 2)) * cos(pi() * k * n / 2)) / 4 AS ky FROM n, f GROUP BY n)"""
+
+
+@_query("w4_apodize", f"WITH {VOLUME}, {_KERNEL} SELECT a.scan_id, a.x, a.y, a.z, round(abs(sum(p.kx * q.ky * b.v)), 8) AS v FROM vol a JOIN vol b USING (scan_id, z) JOIN kernel p ON p.n = (a.x - b.x + 4) % 4 JOIN kernel q ON q.n = (a.y - b.y + 4) % 4 GROUP BY ALL")
+def w4(spark, d):
+    return G.apodize(X.volume(spark, d), (4, 4), (0.8, 0.5)).select("scan_id", "x", "y", "z", F.round("v", 8).alias("v"))
+
+
 @_query("g2_reorient_ras", f"WITH {VOLUME}, t AS (SELECT scan_id, v, [CASE WHEN scan_id % 2 = 1 THEN 3 - x ELSE x END, CASE WHEN (scan_id // 2) % 2 = 1 THEN 3 - y ELSE y END, CASE WHEN (scan_id // 4) % 2 = 1 THEN 3 - z ELSE z END] AS c, scan_id % 3 AS p FROM vol) SELECT scan_id, c[1 + (3 - p) % 3] AS x, c[1 + (4 - p) % 3] AS y, c[1 + (5 - p) % 3] AS z, v FROM t")
 def g2(spark, d):
     """Scans whose voxel axis j follows world axis (j + scan_id) mod 3, backwards where bit j of scan_id is set, slightly oblique."""
