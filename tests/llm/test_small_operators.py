@@ -106,6 +106,47 @@ def test_leaks(spark, block_words):
     assert leaks(df.limit(0), bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 60])
+def test_leaks_of_texts_shorter_than_the_item(spark, block_words):
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 5, 8, 9, 10, 14, 30, 50, 50, 200])] + [(20, "a " * 12)]
+    docs = []
+    for i, x in items:
+        w = x.split()
+        docs += [(100 * i + cut, " ".join(w[cut // 2 : len(w) - (cut + 1) // 2])) for cut in range(15)]
+        docs += [(100 * i + 50 + cut, " ".join(w[:-cut])) for cut in range(1, 15)]
+        docs.append((100 * i + 99, " ".join([*w[: len(w) // 2], "edited", *w[len(w) // 2 + 1 : -1]])))
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    want = brute_leaks(docs, items)
+    full = len(want)
+    for d, t in docs:
+        for i, x in items:
+            w, v = t.split(), x.split()
+            a, b = bag(w), bag(v)
+            if len(w) < len(v) and 5 * (a & b).total() >= 4 * (a | b).total():
+                want.add((d, i))
+    assert len(want) > full + 50 and (701, 7) in want
+    df = spark.createDataFrame([(d, t, "s") for d, t in docs], SCHEMA).repartition(3)
+    got = leaks(df, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got}) and {(r.doc_id, r.item_id) for r in got} == want
+    assert {(r.start_word, r.n_words, round(r.similarity, 6)) for r in got if (r.doc_id, r.item_id) == (751, 7)} == {(0, 49, round(45 / 46, 6))}
+
+
+def test_large_benchmark_stays_off_the_driver(spark, monkeypatch):
+    from voxelspark.llm import decontamination
+
+    def on_driver(*_):
+        raise AssertionError("items built on the driver")
+
+    df = spark.createDataFrame([(1, "a b c d e f g h", "s"), (1, "other", "s"), (None, "A b c d e f g h", "s")], SCHEMA)
+    bench = spark.createDataFrame([(1, "a b c d e f g h"), (1, "a b c d e f g h i"), (2, "x y")] * 20, "item_id long, text string")
+    monkeypatch.setattr(decontamination.Items, "__init__", on_driver)
+    got = leaks(df, bench, block_words=20)
+    monkeypatch.undo()
+    assert sorted((r.doc_id or 0, r.item_id, r.similarity) for r in got.collect()) == [(0, 1, 1.0), (1, 1, 1.0)]
+
+
 def test_top_k(spark):
     rng = random.Random(2)
     rows = [(i, float(rng.choice([rng.randrange(5), rng.random() * 1e6, 3.0]))) for i in range(2000)]

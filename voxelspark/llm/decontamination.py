@@ -7,10 +7,13 @@ get a 64-bit fingerprint (each shingle votes with its weight, its
 multiplicity). Fingerprints are cut into radius + 1 blocks: two within the
 radius agree on a block at least, so looking up the blocks finds all of them.
 What is within the radius is confirmed by the weighted Jaccard similarity,
-sum of smaller over sum of larger multiplicities.
+sum of smaller over sum of larger multiplicities. A text with fewer words than
+the item is one window as a whole; items for it are looked up by its rarest
+shingles, which misses none.
 
-The benchmark is broadcast in blocks of `block_words` words: each block has a
-bounded size, and a larger benchmark takes more passes.
+A benchmark of at most `block_words` words is broadcast. A larger one is dealt
+into blocks on Spark and never passes the driver: documents that share a
+shingle with it (by a bitmap of fixed size) meet each block in tasks.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, read
+from .common import bitmap, documents, in_bitmap, read, table
 from .words import lower_ascii, mix, ngram_hashes, text_slices, word_hashes
 
 _U = np.uint64
+PART_CHARS = 32 << 20
 
 
 def fingerprints(shingles: np.ndarray) -> np.ndarray:
@@ -65,10 +69,39 @@ class Items:
             anchors = np.unique(np.concatenate([s for _, s in own]))
             self.lengths[n] = ([i for i, _ in own], [Counter(s.tolist()) for _, s in own], prints, order, anchors)
         self.anchors = {w: np.unique(np.concatenate([s for s, n in shingles if min(k, n) == w])) for w in {min(k, n) for _, n in shingles}}
+        self.longest = max(self.lengths, default=0)
+        # for shorter texts: the items that have a shingle, of items with k words or more
+        self.long = [(i, len(s), bag) for n, own in by_length.items() if n >= k for (i, s), bag in zip(own, self.lengths[n][1])]
+        flat = [s for n, own in by_length.items() if n >= k for _, s in own]
+        holder = np.repeat(np.arange(len(flat), dtype=np.int32), [len(s) for s in flat])
+        flat = np.concatenate([*flat, np.zeros(0, np.uint64)])
+        by = np.argsort(flat, kind="stable")
+        self.shingle, self.holder = flat[by], holder[by]
+
+    def _whole(self, h: np.ndarray, num: int, den: int) -> list[tuple[int, int, int, float]]:
+        """Matches of a text as a whole with the items that have more words."""
+        grams = ngram_hashes(h, self.k)
+        m = len(grams)
+        least = -(-num * (2 * m + 1) // (num + den))  # shingles that it has in common with an item of m + 1, the smallest
+        if not m or least > m:
+            return []
+        a, b = np.searchsorted(self.shingle, grams, "left"), np.searchsorted(self.shingle, grams, "right")
+        if (b > a).sum() < least:
+            return []
+        # an item without the m - least + 1 rarest has too few of the others
+        rare = np.argsort(b - a, kind="stable")[: m - least + 1]
+        found = np.unique(np.concatenate([self.holder[a[x] : b[x]] for x in rare.tolist()]))
+        bag, out = Counter(grams.tolist()), []
+        for item, size, other in map(self.long.__getitem__, found.tolist()):
+            if size > m and den * m >= num * size:
+                same = sum(min(c, other[s]) for s, c in bag.items() if s in other)
+                if same and den * same >= num * (m + size - same):
+                    out.append((item, 0, len(h), same / (m + size - same)))
+        return out
 
     def matches(self, h: np.ndarray, num: int, den: int) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the windows of a text with num/den or more; the best window of each run."""
-        out = []
+        out = self._whole(h, num, den) if len(h) < self.longest else []
         hits = {}
         for w, known in self.anchors.items():
             grams = ngram_hashes(h, w)
@@ -114,31 +147,90 @@ class Items:
         return out
 
 
+def _matched(own: Items, rows, key: str, num: int, den: int) -> Iterator[dict]:
+    """For each text of rows (a batch or table) and item the best window."""
+    for i, j, raw, off in text_slices(rows.column("text")):
+        h, _, first = word_hashes(lower_ascii(raw), off)
+        marked = {w: own_hits(ngram_hashes(h, w), known) for w, known in own.anchors.items()}
+        maybe = np.zeros(j - i, bool)
+        for hit in marked.values():
+            maybe[np.searchsorted(first, hit, side="right") - 1] = True
+        ids = rows.column(key).slice(i, j - i)
+        for t in np.flatnonzero(maybe).tolist():
+            best: dict[int, tuple] = {}
+            for item, start, n, s in own.matches(h[first[t] : first[t + 1]], num, den):
+                if item not in best or s > best[item][2]:
+                    best[item] = (start, n, s)
+            for item, b in best.items():
+                yield {key: ids[t].as_py(), "item_id": item, "start_word": b[0], "n_words": b[1], "similarity": b[2]}
+
+
+def _schema(key: str) -> pa.Schema:
+    return pa.schema([(key, pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
+
+
 def _find(items, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Items = items.value
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
         for batch in batches:
-            out = []
-            for i, j, raw, off in text_slices(batch.column("text")):
+            if out := list(_matched(items.value, batch, "doc_id", num, den)):
+                yield pa.RecordBatch.from_pylist(out, _schema("doc_id"))
+
+    return run
+
+
+def _shingles(k: int):
+    """mapInArrow function: (width, hash) of the shingles of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, off in text_slices(batch.column("text")):
+                h, _, first = word_hashes(lower_ascii(raw), off)
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                    if b > a:
+                        s = ngram_hashes(h[a:b], min(k, b - a))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), min(k, b - a))), pa.array(s.view(np.int64))], ["width", "h"])
+
+    return run
+
+
+def _sharing(bits, widths: list[int]):
+    """mapInArrow function: the rows whose text may have a shingle in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maybe = np.zeros(batch.num_rows, bool)
+            for i, _, raw, off in text_slices(batch.column("text")):
                 h, _, first = word_hashes(lower_ascii(raw), off)
-                marked = {w: own_hits(ngram_hashes(h, w), known) for w, known in own.anchors.items()}
-                maybe = np.zeros(j - i, bool)
-                for hit in marked.values():
-                    maybe[np.searchsorted(first, hit, side="right") - 1] = True
-                ids = batch.column("doc_id").slice(i, j - i)
-                for t in np.flatnonzero(maybe).tolist():
-                    best: dict[int, tuple] = {}
-                    for item, start, n, s in own.matches(h[first[t] : first[t + 1]], num, den):
-                        if item not in best or s > best[item][2]:
-                            best[item] = (start, n, s)
-                    out += [{"doc_id": ids[t].as_py(), "item_id": item, "start_word": b[0], "n_words": b[1], "similarity": b[2]} for item, b in best.items()]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                for w in widths:
+                    hit = np.flatnonzero(in_bitmap(bits.value, ngram_hashes(h, w)))
+                    maybe[i + np.searchsorted(first, hit, side="right") - 1] = True
+            if maybe.any():
+                yield batch.filter(pa.array(maybe))
 
     return run
 
 
+def _by_blocks(docs: DataFrame, items: DataFrame, blocks: int, k: int, num: int, den: int, radius: int) -> DataFrame:
+    """leaks() by blocks of items: parts of the documents that share a shingle with the benchmark meet each block in a task."""
+    shingles = items.mapInArrow(_shingles(k), "width long, h long")
+    widths = [r.width for r in shingles.select("width").distinct().collect()]
+    near = docs.mapInArrow(_sharing(bitmap(shingles, F.col("h"), 26), widths), docs.schema)
+    near = table(near.withColumn("row", F.monotonically_increasing_id()))
+    chars = near.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    parts = 1 + chars // PART_CHARS
+    left = near.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = items.distinct().withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+
+    def search(texts: pa.Table, block: pa.Table) -> pa.Table:
+        own = Items(list(zip(block.column("item_id").to_pylist(), block.column("text").to_pylist())) if texts.num_rows else [], k, radius)
+        return pa.Table.from_pylist(list(_matched(own, texts, "row", num, den)), _schema("row"))
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(search, "row long, item_id long, start_word long, n_words long, similarity double")
+    # an item_id whose texts are in several blocks
+    best = found.groupBy("row", "item_id").agg(F.max_by(F.struct("start_word", "n_words", "similarity"), "similarity").alias("b"))
+    return near.select("row", "doc_id").join(best, "row").select("doc_id", "item_id", "b.*")
+
+
 def own_hits(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Places whose hash is known; a table of 2**16 low bits keeps most of them from the search."""
     low = np.zeros(1 << 16, bool)
@@ -152,25 +244,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den:
     """Leaks: doc_id, item_id, and the best window's start_word, n_words, similarity; one row per document and item.
 
     An item with fewer than k words is one shingle; an empty or null item or
-    text has none. Null doc_ids are reported as null.
+    text has none. A text with fewer words than an item is compared with it as
+    a whole. Null doc_ids are reported as null.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = documents(docs)
-    out, block, size = None, [], 0
-
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Items(block, k, radius))
-        return docs.mapInArrow(_find(shared, num, den), "doc_id long, item_id long, start_word long, n_words long, similarity double")
-
-    for row in items.toLocalIterator():
-        block.append((row.item_id, row.text))
-        size += len(row.text.split()) + 1
-        if size >= block_words:
-            found, block, size = search(block), [], 0
-            out = found if out is None else out.unionByName(found)
-    found = search(block)
-    return found if out is None else out.unionByName(found)
+    words = items.agg(F.sum(F.size(F.split("text", "[ \t-\r]+")) + 1)).first()[0] or 0
+    if words > block_words:
+        return _by_blocks(docs, items, -(-words // block_words), k, num, den, radius)
+    shared = docs.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in items.collect()], k, radius))
+    return docs.mapInArrow(_find(shared, num, den), "doc_id long, item_id long, start_word long, n_words long, similarity double")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
