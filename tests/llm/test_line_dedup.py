@@ -55,6 +55,16 @@ def test_empty_table_null_and_repeated_ids(spark):
     assert got == [(-3, "a b c d f e", 1, 0), (0, "a b c d\na b c d", 2, 0), (1, "", 1, 1), (1, "", 1, 1)]
 
 
+def test_any_doc_id_and_number_of_lines(spark):
+    blank, same = "\n" * ((1 << 22) + 2), "x\n" * 200_000
+    rows = [(2**62, "a b c d e"), (-(2**63), "a b c d f e"), (2**63 - 1, "new\na b c d e"), (1 << 40, f"one{blank}two\none"), ((1 << 40) + 1, same), (5, "two")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup(df).collect()}
+    assert got.pop(1 << 40) == (f"one{blank}"[:-1], (1 << 22) + 4, 2)
+    assert got.pop((1 << 40) + 1) == ("x\n", 200_001, 199_999)
+    assert got == {2**62: ("", 1, 1), -(2**63): ("a b c d f e", 1, 0), 2**63 - 1: ("new", 2, 1), 5: ("two", 1, 0)}
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a b c d e", "x", 1)], SCHEMA)
     plan = line_dedup(df)._jdf.queryExecution().executedPlan().toString()

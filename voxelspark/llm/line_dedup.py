@@ -21,17 +21,14 @@ from pyspark.sql.window import Window
 
 from .common import documents, read, table
 
-LINE_BITS, DOC_BITS = 22, 40
 HEAVY = 10_000
 RANKS, NEED = 1 << 16, 1 << 17
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, raw) of documents with an id; place orders all lines."""
+    """(place, raw) of documents with an id; place, of doc_id and line number, orders all lines."""
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
-    fits = (F.abs("doc_id") < (1 << DOC_BITS)) & (F.col("no") < (1 << LINE_BITS))
-    place = F.when(fits, F.shiftleft("doc_id", LINE_BITS) + F.col("no")).otherwise(F.raise_error(F.lit("doc_id or number of lines out of range")))
-    return rows.select(place.alias("place"), "raw")
+    return rows.select(F.struct("doc_id", "no").alias("place"), "raw")
 
 
 def _plain() -> Column:
@@ -67,20 +64,21 @@ def _ranks(lines: DataFrame) -> DataFrame:
 
 
 def _index(lines: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Prefix rows (token, place, n, i, bits) of each line."""
+    """Prefix rows (token, a) of each line, a of doc_id, no, n, i, bits."""
 
     def code(h: Column) -> Column:
         level = F.get("rank", _bucket(h, RANKS)).cast("bigint")
         return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     tokens = F.array_remove(F.array_distinct(F.transform(F.split(_plain(), " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    rows = lines.crossJoin(ranks).select("place", F.sort_array(F.transform(tokens, code)).alias("s"))
+    # tokens first: this keeps the rank table out of the rows that Spark buffers for all lines of a text
+    rows = lines.select("place", tokens.alias("t")).crossJoin(ranks).select("place", F.sort_array(F.transform("t", code)).alias("s"))
     # all of a line is worked out before its rows are made; lines without tokens make none (no filter: it would work out the tokens twice)
     bits = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
     rows = rows.select("place", F.size("s").alias("n"), bits.alias("bits"), "s")
     prefix = F.slice("s", F.lit(1), F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))
     rows = rows.select("place", "n", "bits", F.posexplode(prefix).alias("i", "token"))
-    return rows.select("token", F.struct("place", F.col("n").cast("int").alias("n"), F.col("i").cast("int").alias("i"), "bits").alias("a"))
+    return rows.select("token", F.struct("place.doc_id", "place.no", F.col("n").cast("int").alias("n"), F.col("i").cast("int").alias("i"), "bits").alias("a"))
 
 
 _FITS = """5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
@@ -88,6 +86,10 @@ _FITS = """5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
     and 9 * bit_count(a.bits ^ b.bits) <= a.n + b.n"""
 
 
+def _place(line: str) -> Column:
+    return F.struct(f"{line}.doc_id", f"{line}.no")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Pairs (a, b) of places whose token sets have a Jaccard similarity of 0.8 or more."""
     places = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
@@ -104,25 +106,25 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Places of the lines to remove: rows (doc_id, no)."""
-    lines = _lines(documents(docs))
-    keyed = table(lines.where(F.trim("raw") != "").select("place", F.xxhash64("raw").alias("k"), F.hash("raw").alias("k2")))
+    lines = _lines(documents(docs)).where(F.trim("raw") != "")
+    keyed = table(lines.select("place", F.xxhash64("raw").alias("k"), F.hash("raw").alias("k2")))
     classes = table(keyed.groupBy("k", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1"))
     equal = keyed.join(classes.select("k", "k2", "first"), ["k", "k2"]).where("place > first").select("place")
     # of the most repeated lines only the first enters the join: HEAVY rows at most
     heavy = F.broadcast(classes.orderBy(F.col("times").desc(), "first").limit(HEAVY).select("k", "k2", "first"))
     single = lines.withColumns({"k": F.xxhash64("raw"), "k2": F.hash("raw")}).join(heavy, ["k", "k2"], "left").where("first is null or place = first").select("place", "raw")
     group = Window.partitionBy("token")
-    index = _index(single, _ranks(lines)).select("token", "a", F.min("a").over(group).alias("b"), F.max("a.place").over(group).alias("last"))
-    live = table(index.where("last > b.place").select("token", "a", "b"))
-    star = table(live.where("a.place > b.place").where(_FITS).select(F.col("a.place").alias("a"), F.col("b.place").alias("b")).distinct())
+    index = _index(single, _ranks(lines)).select("token", "a", F.min("a").over(group).alias("b"), F.max(_place("a")).over(group).alias("last"))
+    live = table(index.where(F.col("last") > _place("b")).select("token", "a", "b"))
+    star = table(live.where(_place("a") > _place("b")).where(_FITS).select(_place("a").alias("a"), _place("b").alias("b")).distinct())
     settled = table(_verified(star, lines).select("a").distinct())
-    open_rows = live.select("token", "a").join(settled.select(F.col("a").alias("p")), F.col("a.place") == F.col("p"), "left_anti")
+    open_rows = live.select("token", "a").join(settled.select(F.col("a").alias("p")), _place("a") == F.col("p"), "left_anti")
     earlier = live.select(F.col("token").alias("t"), F.col("a").alias("b"))
-    rest = open_rows.join(earlier, (F.col("token") == F.col("t")) & F.expr("b.place < a.place") & F.expr(_FITS)).select(F.col("a.place").alias("a"), F.col("b.place").alias("b")).distinct()
+    rest = open_rows.join(earlier, (F.col("token") == F.col("t")) & (_place("b") < _place("a")) & F.expr(_FITS)).select(_place("a").alias("a"), _place("b").alias("b")).distinct()
     rest = table(rest.join(star, ["a", "b"], "left_anti"))
     near = settled.unionByName(_verified(rest, lines).select("a")).select(F.col("a").alias("place"))
     gone = equal.unionByName(near).distinct()
-    return gone.select(F.shiftright("place", LINE_BITS).alias("doc_id"), F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("no"))
+    return gone.select("place.doc_id", "place.no")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -134,14 +136,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     not remove each other's lines at the same place. All columns are kept;
     n_lines and n_removed must not be among them.
     """
-    if clash := {"n_lines", "n_removed", "_gone"} & {c.lower() for c in docs.columns}:
+    if clash := {"n_lines", "n_removed", "_gone", "_lines"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has columns that line dedup adds: {sorted(clash)}")
     gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
     out = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_doc"), "left").drop("_doc")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))})
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone")
+    # split once, before the lines are looked up by number: the work is linear in the lines
+    out = out.withColumn("_lines", F.explode(F.array(F.split("text", "\n", -1))))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.array_join(F.transform(numbers, lambda i: F.get("_lines", i)), "\n")
+    out = out.withColumns({"n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))})
+    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone", "_lines")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
