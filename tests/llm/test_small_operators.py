@@ -181,6 +181,32 @@ def test_quality_and_toxicity(spark):
     assert {r.score for r in toxicity(df, lab.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_sample_is_of_documents(spark):
+    from voxelspark.llm.toxicity import SubwordSoftmax, sample
+
+    df = spark.createDataFrame([(d, f"text {d}", "s") for d in range(60)] + [(7, f"again {i}", "s") for i in range(300)], SCHEMA).repartition(5)
+    labels = [(d, d % 2) for d in range(60)] + [(d, d % 2) for d in range(60) for _ in range(200 if d < 20 else 0)] + [(20, 1), (22, 1), (22, 1)]
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int").repartition(3)
+    got = [(r.doc_id, r.toxic, r.text) for r in sample(df, lab, 8).collect()]
+    assert len(got) == len({g[0] for g in got}) == 16 and sum(g[1] for g in got) == 8
+    every = {r.doc_id: (r.toxic, r.text) for r in sample(df, lab, 1000).collect()}
+    import zlib
+
+    left = [d for d in range(60) if zlib.crc32(str(d).encode()) % 3 != 1 and d != 20]
+    assert every == {d: (1 if d == 22 else d % 2, "again 0" if d == 7 else f"text {d}") for d in left}
+    rng, folded = random.Random(4), []
+    monkey = SubwordSoftmax.fit
+    try:
+        SubwordSoftmax.fit = lambda self, texts, *a, **b: (folded.append(len(texts)), setattr(self, "scale", 1), setattr(self, "shift", 0), setattr(self, "slope", 1), self)[-1]
+        for n in (30, 1200):
+            import numpy as np
+
+            SubwordSoftmax.calibrated([rng.choice("abc") * 5 for _ in range(n)], np.arange(n) % 2, 2000)
+    finally:
+        SubwordSoftmax.fit = monkey
+    assert folded == [30, 20, 20, 20, 1200, 800, 800, 800]
+
+
 def test_sharding(spark):
     rows = [(i if i % 10 else None, "t" * (i % 7), "s") for i in range(200)] + [(5, "dup", "s")] * 3
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)

@@ -7,8 +7,8 @@ Embeddings and softmax are trained together, so an unseen misspelling shares
 the vectors of its n-grams. A document is scored by spans of `span` n-gram
 starts and takes its highest span, so that a long text does not thin it out.
 
-Learning uses a bounded sample of labelled rows (`per_class` of each class,
-by hash order); everything else is one narrow pass over all documents.
+Learning uses a bounded sample of labelled doc_ids (`per_class` of each class,
+by hash order, one text each); everything else is one narrow pass over all documents.
 """
 
 from __future__ import annotations
@@ -65,21 +65,25 @@ class SubwordSoftmax:
         self.g2 = np.full(BUCKETS, 1e-4, np.float32)
 
     @classmethod
-    def calibrated(cls, texts: list[str], y: np.ndarray, span: int, folds: int = 3, few: int = 1000) -> SubwordSoftmax:
-        """A model of all texts. Of few texts its own margins are too sure: it is calibrated on those of models of the other folds."""
-        model = cls().fit(texts, y, span)
-        if len(y) < few and min((y == 0).sum(), (y == 1).sum()) >= folds:
-            m = np.zeros(len(y))
-            for f in range(folds):
-                out = np.arange(len(y)) % folds == f
-                if len(set(y[~out].tolist())) < 2:
-                    return model
-                part = cls().fit([t for t, o in zip(texts, out) if not o], y[~out], span)
-                table = part.table()
-                for i in np.flatnonzero(out):
-                    x = ngram_buckets(np.frombuffer(texts[i].encode(), np.uint8))
-                    m[i] = part._margins(x, _spans(len(x), span), table).max()
-            model.shift, model.slope = _logistic(m, y, np.ones(len(y)))
+    def calibrated(cls, texts: list[str], y: np.ndarray, span: int, folds: int = 3, share: float = 0.1) -> SubwordSoftmax:
+        """A model of all texts, calibrated on the margins that models of the other folds give, weighted to `share` of class 1.
+
+        Only with fewer texts of a class than folds its own margins are used, by the same weights.
+        """
+        model = cls().fit(texts, y, span, share=share)
+        if min((y == 0).sum(), (y == 1).sum()) < folds:
+            return model
+        m, fold = np.zeros(len(y)), np.zeros(len(y), np.int64)
+        for c in (0, 1):
+            fold[y == c] = np.arange((y == c).sum()) % folds
+        for f in range(folds):
+            out = fold == f
+            part = cls().fit([t for t, o in zip(texts, out) if not o], y[~out], span)
+            table = part.table()
+            for i in np.flatnonzero(out):
+                x = ngram_buckets(np.frombuffer(texts[i].encode(), np.uint8))
+                m[i] = part._margins(x, _spans(len(x), span), table).max()
+        model.shift, model.slope = _logistic(m, y, np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y))
         return model
 
     def fit(self, texts: list[str], y: np.ndarray, span: int, steps: int = 15_000, rate: float = 0.3, scale: float = 20.0, share: float = 0.1, seed: int = 2) -> SubwordSoftmax:
@@ -154,13 +158,23 @@ def _logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return a, b
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, span: int = 2000) -> SubwordSoftmax | None:
-    """Model from at most per_class labelled rows of each class whose crc32(doc_id) mod 3 is not 1; None without both classes."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """(doc_id, text, toxic) of at most per_class labelled doc_ids of each class whose crc32(doc_id) mod 3 is not 1.
+
+    A doc_id counts once, with the label of most of its rows; as many of both
+    leave it out. Of several texts the smallest is taken.
+    """
     rows = labels.where("toxic in (0, 1) and doc_id is not null").where("crc32(cast(cast(doc_id as bigint) as string)) % 3 <> 1")
-    rows = rows.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"))
+    rows = rows.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sum(2 * F.col("toxic").cast("int") - 1).alias("votes"))
+    rows = rows.where("votes <> 0").select("doc_id", (F.col("votes") > 0).cast("int").alias("toxic"))
     parts = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    some = documents(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    some = some.drop_duplicates("doc_id").sort_values("doc_id")
+    some = documents(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    return some.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, span: int = 2000) -> SubwordSoftmax | None:
+    """Model from sample(); None without both classes."""
+    some = sample(docs, labels, per_class).toPandas().sort_values("doc_id")
     y = some["toxic"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
