@@ -18,15 +18,24 @@ from voxelspark.llm.sentencepiece_scan import encode_digests
 from voxelspark.llm.toxicity import toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in ids."""
-    gone = ids.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+KEYS = ("_k1", "_k2")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a 128-bit key of doc_id and text, nulls included: rows of one key get the same decisions."""
+    of = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))]
+    return docs.withColumns({k: F.xxhash64(F.lit(i), *of) for i, k in enumerate(KEYS)})
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of keyed whose key is not in gone, without the key."""
+    return keyed.join(gone.select(*KEYS).distinct(), list(KEYS), "left_anti").drop(*KEYS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic (a doc_id goes if any row of it is)."""
-    return _without(docs, toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents not predicted toxic; each row by its own text, whatever its doc_id."""
+    keyed = _keyed(docs)
+    return _without(keyed, toxicity(keyed, read(spark, sf_dir, "labels"), keys=KEYS).where("predicted = 1")).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +45,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the smallest doc_id. Five words, similarity 0.8."""
-    return _without(docs, near_dedup(docs, k=5, num=80, den=100).where("not kept"))
+    keyed = _keyed(docs)
+    return _without(keyed, near_dedup(keyed, k=5, num=80, den=100, keys=KEYS).where("not kept")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return _without(docs, leaks(docs, read(spark, sf_dir, "benchmark")))
+    """Documents without a benchmark passage; each row by its own text, whatever its doc_id."""
+    keyed = _keyed(docs)
+    return _without(keyed, leaks(keyed, read(spark, sf_dir, "benchmark"), keys=KEYS)).select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +68,7 @@ STAGES = [
     ("sentencepiece", encode_texts),
 ]
 
-#: No stage but the last can be written in SQL that ends in time; tests hold the stages against brute force.
+#: No stage but the last can be written in SQL that ends in time; tests/test_pipeline.py holds the stages that drop rows against brute force.
 ORACLE_SQL = None
 
 

@@ -28,9 +28,9 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id as bigint and text as string; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def documents(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id as bigint and text as string; a null text is empty. keys: bigint columns that are kept."""
+    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keys)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -147,7 +147,7 @@ class Items:
         return out
 
 
-def _matched(own: Items, rows, key: str, num: int, den: int) -> Iterator[dict]:
+def _matched(own: Items, rows, keys: tuple[str, ...], num: int, den: int) -> Iterator[dict]:
     """For each text of rows (a batch or table) and item the best window."""
     for i, j, raw, off in text_slices(rows.column("text")):
         h, _, first = word_hashes(lower_ascii(raw), off)
@@ -155,25 +155,25 @@ def _matched(own: Items, rows, key: str, num: int, den: int) -> Iterator[dict]:
         maybe = np.zeros(j - i, bool)
         for hit in marked.values():
             maybe[np.searchsorted(first, hit, side="right") - 1] = True
-        ids = rows.column(key).slice(i, j - i)
+        ids = {key: rows.column(key).slice(i, j - i) for key in keys}
         for t in np.flatnonzero(maybe).tolist():
             best: dict[int, tuple] = {}
             for item, start, n, s in own.matches(h[first[t] : first[t + 1]], num, den):
                 if item not in best or s > best[item][2]:
                     best[item] = (start, n, s)
             for item, b in best.items():
-                yield {key: ids[t].as_py(), "item_id": item, "start_word": b[0], "n_words": b[1], "similarity": b[2]}
+                yield {**{key: v[t].as_py() for key, v in ids.items()}, "item_id": item, "start_word": b[0], "n_words": b[1], "similarity": b[2]}
 
 
-def _schema(key: str) -> pa.Schema:
-    return pa.schema([(key, pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
+def _schema(keys: tuple[str, ...]) -> pa.Schema:
+    return pa.schema([*[(key, pa.int64()) for key in keys], ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
 
 
-def _find(items, num: int, den: int):
+def _find(items, keys: tuple[str, ...], num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if out := list(_matched(items.value, batch, "doc_id", num, den)):
-                yield pa.RecordBatch.from_pylist(out, _schema("doc_id"))
+            if out := list(_matched(items.value, batch, keys, num, den)):
+                yield pa.RecordBatch.from_pylist(out, _schema(keys))
 
     return run
 
@@ -210,7 +210,7 @@ def _sharing(bits, widths: list[int]):
     return run
 
 
-def _by_blocks(docs: DataFrame, items: DataFrame, blocks: int, k: int, num: int, den: int, radius: int) -> DataFrame:
+def _by_blocks(docs: DataFrame, items: DataFrame, blocks: int, k: int, num: int, den: int, radius: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """leaks() by blocks of items: parts of the documents that share a shingle with the benchmark meet each block in a task."""
     shingles = items.mapInArrow(_shingles(k), "width long, h long")
     widths = [r.width for r in shingles.select("width").distinct().collect()]
@@ -223,12 +223,12 @@ def _by_blocks(docs: DataFrame, items: DataFrame, blocks: int, k: int, num: int,
 
     def search(texts: pa.Table, block: pa.Table) -> pa.Table:
         own = Items(list(zip(block.column("item_id").to_pylist(), block.column("text").to_pylist())) if texts.num_rows else [], k, radius)
-        return pa.Table.from_pylist(list(_matched(own, texts, "row", num, den)), _schema("row"))
+        return pa.Table.from_pylist(list(_matched(own, texts, ("row",), num, den)), _schema(("row",)))
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(search, "row long, item_id long, start_word long, n_words long, similarity double")
     # an item_id whose texts are in several blocks
     best = found.groupBy("row", "item_id").agg(F.max_by(F.struct("start_word", "n_words", "similarity"), "similarity").alias("b"))
-    return near.select("row", "doc_id").join(best, "row").select("doc_id", "item_id", "b.*")
+    return near.select("row", "doc_id", *keys).join(best, "row").select("doc_id", *keys, "item_id", "b.*")
 
 
 def own_hits(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -240,20 +240,21 @@ def own_hits(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
     return at[known[where] == grams[at]]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100, radius: int = 24, block_words: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100, radius: int = 24, block_words: int = 2_000_000, keys: tuple[str, ...] = ()) -> DataFrame:
     """Leaks: doc_id, item_id, and the best window's start_word, n_words, similarity; one row per document and item.
 
     An item with fewer than k words is one shingle; an empty or null item or
     text has none. A text with fewer words than an item is compared with it as
-    a whole. Null doc_ids are reported as null.
+    a whole. Null doc_ids are reported as null. keys names bigint columns of
+    docs that are carried, after doc_id.
     """
     items = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = documents(docs)
+    docs = documents(docs, *keys)
     words = items.agg(F.sum(F.size(F.split("text", "[ \t-\r]+")) + 1)).first()[0] or 0
     if words > block_words:
-        return _by_blocks(docs, items, -(-words // block_words), k, num, den, radius)
+        return _by_blocks(docs, items, -(-words // block_words), k, num, den, radius, keys)
     shared = docs.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in items.collect()], k, radius))
-    return docs.mapInArrow(_find(shared, num, den), "doc_id long, item_id long, start_word long, n_words long, similarity double")
+    return docs.mapInArrow(_find(shared, ("doc_id", *keys), num, den), "doc_id long, " + "".join(f"{c} long, " for c in keys) + "item_id long, start_word long, n_words long, similarity double")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

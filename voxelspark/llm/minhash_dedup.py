@@ -46,7 +46,7 @@ def _multipliers() -> np.ndarray:
     return mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-def _signatures(k: int):
+def _signatures(k: int, keys: tuple[str, ...] = ()):
     """mapInArrow function: size, 128-bit set hash, sketch and MinHash signature of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +73,8 @@ def _signatures(k: int):
                 small = (mins >> _U(32)).astype(np.uint32).view(np.int32)
                 rows = np.arange(len(sets) + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array((rows * 4).astype(np.int32)), pa.array(sketch.view(np.int64).ravel())), pa.ListArray.from_arrays(pa.array((rows * SIGNATURE).astype(np.int32)), pa.array(small.ravel()))],
-                    ["doc_id", "n_shingles", "h1", "h2", "s", "mins"],
+                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array((rows * 4).astype(np.int32)), pa.array(sketch.view(np.int64).ravel())), pa.ListArray.from_arrays(pa.array((rows * SIGNATURE).astype(np.int32)), pa.array(small.ravel())), *[batch.column(c).slice(i, j - i) for c in keys]],
+                    ["doc_id", "n_shingles", "h1", "h2", "s", "mins", *keys],
                 )
 
     return run
@@ -211,22 +211,23 @@ def _child(node: Column, branch: int) -> Column:
     return F.xxhash64(node, place, F.element_at("mins", place + 1))
 
 
-def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = 8, branches: tuple[int, ...] = (2, 1, 1), leaf: int = 256, deeper: int = 3, block: int = 1024) -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = 8, branches: tuple[int, ...] = (2, 1, 1), leaf: int = 256, deeper: int = 3, block: int = 1024, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if den * |A & B| >= num * |A | B| for their sets
     of k-word shingles (lower-cased A-Z); component_id is the smallest doc_id
     that links reach. Empty and null texts have no shingles and no links. A
     null doc_id gives component_id null and kept true. Rows that repeat a
-    doc_id and its text get the same result each. Other columns are ignored.
+    doc_id and its text get the same result each. Other columns are ignored, but for
+    the bigint columns named by keys, which are carried.
 
     A pair at the limit is in one node of a tree with probability about
     1 - (1 - s**3)**2 (s the similarity); over eight trees a pair at
     0.8 is missed about once in 100,000, at 0.85 once in four millions. The sketch slack is 5.5 deviations. A
     group of more than `block` classes takes a task for each pair of blocks.
     """
-    docs = documents(docs)
-    signed = table(docs.mapInArrow(_signatures(k), _SIGNED))
+    docs = documents(docs, *keys)
+    signed = table(docs.mapInArrow(_signatures(k, keys), "".join([_SIGNED, *[f", {c} long" for c in keys]])))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("s").alias("s"), F.first("mins").alias("mins"))
     classes = table(classes)
     differ = (1 - num / den) * 15 / 16
@@ -265,9 +266,9 @@ def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees
     grouped = _in_blocks(texts, "family", F.col("blocks")).select("family", "i", "j", "rep", "text")
     found = components(grouped.mapInArrow(_exact(k, num, den), "a long, b long"))
     named = classes.select("h1", "h2", "rep").join(table(found).withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    out = signed.select("doc_id", "n_shingles", "h1", "h2", *keys).join(named, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *keys).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, span: int =
     return SubwordSoftmax.calibrated(some["text"].tolist(), y, span)
 
 
-def _score(model, span: int):
+def _score(model, span: int, keys: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias, shift, slope = model.value
         for batch in batches:
@@ -201,27 +201,28 @@ def _score(model, span: int):
                 margin = np.add.reduceat(value, cut) / np.maximum(1, np.add.reduceat(count, cut)) + bias
                 score[i:j] = np.maximum.reduceat(margin, first)
             out = 1 / (1 + np.exp(-np.clip(shift + slope * score, -30, 30)))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(out), *[batch.column(k) for k in keys]], ["doc_id", "score", *keys])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, span: int = 2000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, span: int = 2000, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (score >= 0.7).
 
     Null texts count as empty; an empty text has the score of no evidence. A
     null doc_id is never held out. Without labels of both classes every score
-    is 0. Only doc_id and text of docs are used, and doc_id in no score.
+    is 0. Only doc_id and text of docs are used, and doc_id in no score; keys
+    names bigint columns that are carried.
     """
-    docs = documents(docs)
+    docs = documents(docs, *keys)
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
     model = train(docs, labels, per_class, span)
     if model is None:
-        scored = docs.select("doc_id", F.lit(0.0).alias("score"))
+        scored = docs.select("doc_id", F.lit(0.0).alias("score"), *keys)
     else:
         parts = (model.table(), float(model.b[1] - model.b[0]), model.shift, model.slope)
-        scored = docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(parts), span), "doc_id long, score double")
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+        scored = docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(parts), span, keys), "".join(["doc_id long, score double", *[f", {k} long" for k in keys]]))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *keys)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
