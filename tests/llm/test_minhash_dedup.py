@@ -64,3 +64,13 @@ def test_empty_table_and_null_id(spark):
     df = spark.createDataFrame([(None, "a b c d e f", None), (1, "a b c d e f", "x"), (1, "a b c d e f", "y")], SCHEMA)
     got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in near_dedup(df).collect())
     assert got == [(0, None, True), (1, 1, True), (1, 1, True)]
+
+
+def test_texts_of_one_doc_id_are_classes_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (4, c + " end")] + [(4, c)] * 200
+    got = near_dedup(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(4)).collect()
+    assert sorted({(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got}) == [(1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 56, 4, True), (4, 57, 4, True)]
+    rows = [(1, a), (2, a + " end"), (2, b)]
+    got = near_dedup(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 56, 1, True), (2, 56, 2, True), (2, 57, 1, False)]

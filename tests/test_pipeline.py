@@ -48,3 +48,10 @@ def test_decisions_are_by_row(spark, tmp_path):
     assert rows_of(corpus_pipeline.drop_near_duplicates(spark, one, str(tmp_path))) == Counter(r for r in single if kept[r[0]][2])
     lines = brute_lines([r[:2] for r in single])
     assert rows_of(corpus_pipeline.drop_lines(spark, one, str(tmp_path))) == Counter((d, lines[d][0], s) for d, _, s in single)
+
+
+def test_texts_of_one_doc_id_are_decided_apart(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near, "s"), (2, near + " end", "s"), (2, "quite another text of its own kind", "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert rows_of(corpus_pipeline.drop_near_duplicates(spark, df, "")) == Counter([rows[0], rows[2]])

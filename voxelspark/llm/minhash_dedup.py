@@ -1,7 +1,7 @@
 """MinHash near-dedup: chosen-path set similarity join over word shingles.
 
-Documents with equal shingle sets form a class; the smallest doc_id stands for
-it. Independent trees branch the classes: at each step a node chooses places of
+Documents with equal shingle sets form a class, named by the hash of its set;
+one text stands for it. Independent trees branch the classes: at each step a node chooses places of
 the MinHash signature by the hash of its own path, and a class goes to the
 child of its value at that place. Nodes over `leaf` classes branch on. Within a
 node all classes are compared by a 4-bit sketch; those within its slack of the
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, read, table
+from .common import bitmap, components, documents, in_bitmap, read, table
 from .words import lower_ascii, mix, ngram_hashes, text_slices, word_hashes
 
 _U = np.uint64
@@ -42,6 +42,32 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of each set, in two halves; 0 for an empty one."""
+    size = np.array([len(s) for s in sets])
+    flat, full = np.concatenate(sets), np.flatnonzero(size)
+    h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+    if len(flat):
+        begin = np.concatenate(([0], np.cumsum(size)))[:-1][full]
+        h1[full] = np.add.reduceat(mix(flat), begin)
+        h2[full] = np.bitwise_xor.reduceat(mix(flat ^ _U(0x5851F42D4C957F2D)), begin)
+    return h1, h2
+
+
+def _texts(k: int, bits):
+    """mapInArrow function: set hash and text of the documents whose set may be in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, off in text_slices(batch.column("text")):
+                h1, h2 = set_hashes(shingle_sets(raw, off, k))
+                own = in_bitmap(bits.value, h1)
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[own].view(np.int64)), pa.array(h2[own].view(np.int64)), batch.column("text").slice(i, j - i).filter(pa.array(own))], ["h1", "h2", "text"])
+
+    return run
+
+
 def _multipliers() -> np.ndarray:
     return mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
@@ -60,13 +86,11 @@ def _signatures(k: int, keys: tuple[str, ...] = ()):
                 full = np.flatnonzero(size)
                 begin = np.concatenate(([0], np.cumsum(size)))[:-1][full]
                 mins = np.zeros((len(sets), SIGNATURE), np.uint64)
-                h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+                h1, h2 = set_hashes(sets)
                 if len(flat):
                     for m in range(SIGNATURE):
                         x = flat * a[m]
                         mins[full, m] = np.minimum.reduceat(x ^ (x >> _U(32)), begin)
-                    h1[full] = np.add.reduceat(mix(flat), begin)
-                    h2[full] = np.bitwise_xor.reduceat(mix(flat ^ _U(0x5851F42D4C957F2D)), begin)
                 mins = mix(mins)
                 nibbles = (mins & _U(15)).reshape(len(sets), 4, 16)
                 sketch = (nibbles << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=2, dtype=np.uint64)
@@ -223,13 +247,16 @@ def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees
 
     A pair at the limit is in one node of a tree with probability about
     1 - (1 - s**3)**2 (s the similarity); over eight trees a pair at
-    0.8 is missed about once in 100,000, at 0.85 once in four millions. The sketch slack is 5.5 deviations. A
+    0.8 is missed about once in 100,000, at 0.85 once in four millions. In nodes
+    that branch on, each level keeps a pair with 1 - (1 - s * q)**2, q being what
+    the next keeps: with all three, 2.7 of 100,000 at 0.8 and one of two millions
+    at 0.85 (by this model, with independent paths; not measured). The sketch slack is 5.5 deviations. A
     group of more than `block` classes takes a task for each pair of blocks.
     """
     docs = documents(docs, *keys)
     signed = table(docs.mapInArrow(_signatures(k, keys), "".join([_SIGNED, *[f", {c} long" for c in keys]])))
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("s").alias("s"), F.first("mins").alias("mins"))
-    classes = table(classes)
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("s").alias("s"), F.first("mins").alias("mins"))
+    classes = table(classes.withColumn("rep", F.xxhash64("h1", "h2")))
     differ = (1 - num / den) * 15 / 16
     slack = int(SIGNATURE * differ + 5.5 * (SIGNATURE * differ * (1 - differ)) ** 0.5)
 
@@ -262,10 +289,14 @@ def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees
     families = components(alike)
     families = table(families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n_shingles"), "rep"))
     sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / (2000 * block))).alias("blocks"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(families.join(sizes, "family"), "rep")
+    # one text of each class, found by its set: a doc_id may have many rows and texts
+    wanted = bitmap(families.join(classes.select("rep", "h1"), "rep"), F.col("h1"), 26)
+    texts = docs.where("doc_id is not null").select("text").mapInArrow(_texts(k, wanted), "h1 long, h2 long, text string").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    texts = texts.select(F.xxhash64("h1", "h2").alias("rep"), "text").join(families.join(sizes, "family"), "rep")
     grouped = _in_blocks(texts, "family", F.col("blocks")).select("family", "i", "j", "rep", "text")
-    found = components(grouped.mapInArrow(_exact(k, num, den), "a long, b long"))
-    named = classes.select("h1", "h2", "rep").join(table(found).withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
+    found = table(components(grouped.mapInArrow(_exact(k, num, den), "a long, b long")))
+    lowest = found.join(classes.select(F.col("rep").alias("node"), "low"), "node").groupBy("component").agg(F.min("low").alias("c"))
+    named = classes.select("h1", "h2", "rep", "low").join(found.join(lowest, "component").select(F.col("node").alias("rep"), "c"), "rep", "left").select("h1", "h2", F.coalesce("c", "low").alias("c"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2", *keys).join(named, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), *keys).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
