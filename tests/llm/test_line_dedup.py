@@ -65,6 +65,12 @@ def test_any_doc_id_and_number_of_lines(spark):
     assert got == {2**62: ("", 1, 1), -(2**63): ("a b c d f e", 1, 0), 2**63 - 1: ("new", 2, 1), 5: ("two", 1, 0)}
 
 
+def test_lines_of_white_space_stay(spark):
+    text = "a b c\r\n\r\n\t\n\r\n \t\n\t\n\x0b\n\x0b\nA b c"
+    df = spark.createDataFrame([(1, text, "x", 1), (2, "\r\n\t", "x", 1)], SCHEMA)
+    assert {r.doc_id: (r.text, r.n_removed) for r in line_dedup(df).collect()} == {1: (text[: -len("\nA b c")], 1), 2: ("\r\n\t", 0)}
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a b c d e", "x", 1)], SCHEMA)
     plan = line_dedup(df)._jdf.queryExecution().executedPlan().toString()

@@ -106,7 +106,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Places of the lines to remove: rows (doc_id, no)."""
-    lines = _lines(documents(docs)).where(F.trim("raw") != "")
+    lines = _lines(documents(docs)).where(F.btrim("raw", F.lit(" \t\r\x0b\x0c")) != "")
     keyed = table(lines.select("place", F.xxhash64("raw").alias("k"), F.hash("raw").alias("k2")))
     classes = table(keyed.groupBy("k", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1"))
     equal = keyed.join(classes.select("k", "k2", "first"), ["k", "k2"]).where("place > first").select("place")
