@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where that setting is unset."""
+    """A new path below spark.checkpoint.dir; a temporary folder only where that setting is unset and the master is local."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
@@ -25,7 +27,55 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete results of table() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df does not have in any case."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name = f"_{name}"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hit_words(keys: DataFrame, key: Column, log2_words: int = 18) -> DataFrame:
+    """Bitmap of 64 * 2**log2_words hashed keys as rows (word, mask), broadcast: that many rows at most, whatever the input.
+
+    A join with it keeps every row that has a partner, and few others; it
+    skips rows only, so a full bitmap costs time and never changes a result.
+    """
+    slot = F.xxhash64(key)
+    bits = keys.select(_word(slot, log2_words).alias("word"), _mask(slot).alias("mask"))
+    return F.broadcast(bits.groupBy("word").agg(F.bit_or("mask").alias("mask")))
+
+
+def may_hit(df: DataFrame, words: DataFrame, key: Column, log2_words: int = 18, outside: bool = False) -> DataFrame:
+    """Rows of df whose key may be in hit_words(); with outside the others."""
+    slot, names = F.xxhash64(key), df.columns
+    word, mask = fresh(df, "word", "mask")
+    words = words.select(F.col("word").alias(word), F.col("mask").alias(mask))
+    found = (F.col(word) == _word(slot, log2_words)) & (F.col(mask).bitwiseAND(_mask(slot)) != 0)
+    return df.join(F.broadcast(words), found, "left_anti" if outside else "left_semi").select(*[F.col(f"`{c.replace('`', '``')}`") for c in names])
+
+
+def _word(slot: Column, log2_words: int) -> Column:
+    return F.shiftright(slot, 6).bitwiseAND(F.lit((1 << log2_words) - 1))
+
+
+def _mask(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def documents(docs: DataFrame, *keys: str) -> DataFrame:

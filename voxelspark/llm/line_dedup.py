@@ -7,28 +7,32 @@ by grouping. The others go through a prefix join: tokens are ordered by rarity
 (counts of hashed tokens, a table of fixed size), and two similar lines share a
 token among the first n - ceil(0.8 n) + 1. Length and positional filters and the
 parity of 64 token bits (at most the size of the symmetric difference) drop
-pairs that can't reach 0.8; what is left is verified on the texts. Each line is
-first compared with the earliest line of its prefix tokens, so that a large
-group of near copies is settled by a star of pairs; only undecided lines meet
-the other earlier lines.
+pairs that can't reach 0.8.
+
+The prefix rows are shuffled once, by token. A semi-join within that shuffle
+keeps the rows that have any partner left after the filters, never the pairs.
+These few rows are then paired: each line first with the earliest line of its
+tokens, so that a large group of near copies is settled by a star of pairs, and
+only undecided lines with the other earlier lines. Pairs are verified on the
+token sets.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import documents, read, table
+from .common import discard, documents, fresh, hit_words, may_hit, read, table
 
-HEAVY = 10_000
-RANKS, NEED = 1 << 16, 1 << 17
+HEAVY = 1 << 16
+RANKS = 1 << 18
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(place, raw) of documents with an id; place, of doc_id and line number, orders all lines."""
+    """(doc_id, no, raw) of documents with an id, without lines that have no tokens."""
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
-    return rows.select(F.struct("doc_id", "no").alias("place"), "raw")
+    return rows.where(F.ltrim("raw", F.lit(" \t\r\x0b\x0c")) != "")
 
 
 def _plain() -> Column:
@@ -38,93 +42,87 @@ def _plain() -> Column:
     return F.when(other[0] | other[1] | other[2] | other[3], F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
 
 
-def _dense(values: DataFrame, size: int, name: str) -> DataFrame:
-    """One row with an array of `size` values, from rows (b, v); 0 where there is none."""
-    rows = values.sparkSession.range(size).join(values, F.col("id") == F.col("b"), "left").select("id", F.coalesce("v", F.lit(0).cast(values.schema["v"].dataType)).alias("v"))
-    rows = rows.groupBy((F.col("id") % 64).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("x"))
-    return F.broadcast(rows.agg(F.transform(F.sort_array(F.flatten(F.collect_list("x"))), lambda e: e["v"]).alias(name)))
+def _place(side: str = "") -> Column:
+    return F.struct(F.col(f"{side}doc_id").alias("doc_id"), F.col(f"{side}no").alias("no"))
 
 
-def _bucket(h: Column, size: int) -> Column:
-    return h.bitwiseAND(F.lit(size - 1)).cast("int")
+def _rank_table(lines: DataFrame) -> bytes:
+    """Rarity of hashed tokens: quarter steps of the logarithm of their counts, a byte each, RANKS bytes in all.
 
-
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i.bitwiseAND(F.lit(63)).cast("int"))
-
-
-def _ranks(lines: DataFrame) -> DataFrame:
-    """Rarity of hashed tokens: quarter steps of the logarithm of their counts, a byte each.
-
-    The table stays this small because Spark copies it into the row of each line.
+    Counts are summed by Spark; the driver gets RANKS rows at most.
     """
     tokens = lines.select(F.explode(F.split(_plain(), " ")).alias("t")).where("t <> ''")
-    counts = tokens.groupBy(_bucket(F.xxhash64("t"), RANKS).alias("b")).count()
-    return _dense(counts.select("b", F.floor(F.ln(F.col("count") + 1) * 4).cast("tinyint").alias("v")), RANKS, "rank")
-
-
-def _index(lines: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Prefix rows (token, a) of each line, a of doc_id, no, n, i, bits."""
-
-    def code(h: Column) -> Column:
-        level = F.get("rank", _bucket(h, RANKS)).cast("bigint")
-        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    tokens = F.array_remove(F.array_distinct(F.transform(F.split(_plain(), " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    # tokens first: this keeps the rank table out of the rows that Spark buffers for all lines of a text
-    rows = lines.select("place", tokens.alias("t")).crossJoin(ranks).select("place", F.sort_array(F.transform("t", code)).alias("s"))
-    # all of a line is worked out before its rows are made; lines without tokens make none (no filter: it would work out the tokens twice)
-    bits = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
-    rows = rows.select("place", F.size("s").alias("n"), bits.alias("bits"), "s")
-    prefix = F.slice("s", F.lit(1), F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))
-    rows = rows.select("place", "n", "bits", F.posexplode(prefix).alias("i", "token"))
-    return rows.select("token", F.struct("place.doc_id", "place.no", F.col("n").cast("int").alias("n"), F.col("i").cast("int").alias("i"), "bits").alias("a"))
-
-
-_FITS = """5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
+    counts = tokens.groupBy(F.hash("t").bitwiseAND(F.lit(RANKS - 1)).alias("b")).count()
+    rows = counts.select("b", F.floor(F.ln(F.col("count") + 1) * 4).cast("int").alias("v")).toArrow()
+    rank = np.zeros(RANKS, np.uint8)
+    rank[rows["b"].to_numpy()] = np.minimum(rows["v"].to_numpy(), 127)
+    return rank.tobytes()
+
+
+def _code(token: Column, rank: bytes) -> Column:
+    """A token as a long that sorts by rarity: its rank, then 56 bits of its hash."""
+    byte = F.substring(F.lit(rank), F.hash(token).bitwiseAND(F.lit(RANKS - 1)) + 1, 1)
+    level = F.ascii(byte.cast("string")).cast("bigint")
+    return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.xxhash64(token).bitwiseAND(F.lit((1 << 56) - 1)))
+
+
+def _index(lines: DataFrame, rank: bytes) -> DataFrame:
+    """Prefix rows (token, doc_id, no, n, i, bits) of each line."""
+    tokens = F.array_distinct(F.transform(F.split("low", " "), lambda t: _code(t, rank)))
+    # explode of one element: what stands below and above it is not merged into it, so each line is worked out once
+    rows = lines.select("doc_id", "no", _plain().alias("low"))
+    rows = rows.select("doc_id", "no", F.explode(F.array(F.sort_array(F.array_remove(tokens, _code(F.lit(""), rank))))).alias("s"))
+    bits = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    n = F.size("s")
+    prefix = F.slice("s", F.lit(1), n - F.expr("(4 * size(s) + 4) div 5").cast("int") + 1)
+    rows = rows.select("doc_id", "no", F.explode(F.array(F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")))).alias("x"))
+    return rows.select("doc_id", "no", "x.n", "x.bits", F.posexplode("x.prefix").alias("i", "token"))
+
+
+_FITS = """9 * bit_count(a.bits ^ b.bits) <= a.n + b.n
     and 9 * least(a.n - a.i, b.n - b.i) >= 4 * (a.n + b.n)
-    and 9 * bit_count(a.bits ^ b.bits) <= a.n + b.n"""
+    and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n"""
+_APART = "(a.doc_id <> b.doc_id or a.no <> b.no)"
+_LATER = "(b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.no < a.no)"
 
 
-def _place(line: str) -> Column:
-    return F.struct(f"{line}.doc_id", f"{line}.no")
+def _pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs of places (a, b), b the earlier, that share a token and pass the filters."""
+    return later.alias("a").join(earlier.alias("b"), F.expr(f"a.token = b.token and {_FITS} and {_LATER}")).select(_place("a.").alias("a"), _place("b.").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of places whose token sets have a Jaccard similarity of 0.8 or more."""
-    places = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
-    slot = F.xxhash64("place").bitwiseAND(F.lit(NEED * 64 - 1))
-    bits = places.select(F.shiftright(slot, 6).alias("b"), _bit(slot).alias("m"))
-    need = _dense(bits.groupBy("b").agg(F.bit_or("m").alias("v")), NEED, "need")
-    wanted = F.get("need", F.shiftright(slot, 6).cast("int")).bitwiseAND(_bit(slot)) != 0
-    kept = lines.crossJoin(need).where(wanted).select("place", F.array_remove(F.array_distinct(F.split(_plain(), " ")), "").alias("s"))
-    sets = kept.join(places, "place", "left_semi").select("place", F.transform("s", lambda t: F.xxhash64(t)).alias("s")).dropDuplicates(["place"])
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Places a of pairs (a, b) whose token sets, any of those at a place, have a Jaccard similarity of 0.8 or more."""
     full = pairs.join(sets.select(F.col("place").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("place").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
-    return full.where(5 * same >= 4 * (F.size("x") + F.size("y") - same)).select("a", "b")
+    return full.where(5 * same >= 4 * (F.size("x") + F.size("y") - same)).select(F.col("a").alias("place")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """Places of the lines to remove: rows (doc_id, no)."""
-    lines = _lines(documents(docs)).where(F.btrim("raw", F.lit(" \t\r\x0b\x0c")) != "")
-    keyed = table(lines.select("place", F.xxhash64("raw").alias("k"), F.hash("raw").alias("k2")))
-    classes = table(keyed.groupBy("k", "k2").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1"))
-    equal = keyed.join(classes.select("k", "k2", "first"), ["k", "k2"]).where("place > first").select("place")
-    # of the most repeated lines only the first enters the join: HEAVY rows at most
-    heavy = F.broadcast(classes.orderBy(F.col("times").desc(), "first").limit(HEAVY).select("k", "k2", "first"))
-    single = lines.withColumns({"k": F.xxhash64("raw"), "k2": F.hash("raw")}).join(heavy, ["k", "k2"], "left").where("first is null or place = first").select("place", "raw")
-    group = Window.partitionBy("token")
-    index = _index(single, _ranks(lines)).select("token", "a", F.min("a").over(group).alias("b"), F.max(_place("a")).over(group).alias("last"))
-    live = table(index.where(F.col("last") > _place("b")).select("token", "a", "b"))
-    star = table(live.where(_place("a") > _place("b")).where(_FITS).select(_place("a").alias("a"), _place("b").alias("b")).distinct())
-    settled = table(_verified(star, lines).select("a").distinct())
-    open_rows = live.select("token", "a").join(settled.select(F.col("a").alias("p")), _place("a") == F.col("p"), "left_anti")
-    earlier = live.select(F.col("token").alias("t"), F.col("a").alias("b"))
-    rest = open_rows.join(earlier, (F.col("token") == F.col("t")) & (_place("b") < _place("a")) & F.expr(_FITS)).select(_place("a").alias("a"), _place("b").alias("b")).distinct()
-    rest = table(rest.join(star, ["a", "b"], "left_anti"))
-    near = settled.unionByName(_verified(rest, lines).select("a")).select(F.col("a").alias("place"))
-    gone = equal.unionByName(near).distinct()
-    return gone.select("place.doc_id", "place.no")
+    """Lines to remove: rows (doc_id, no)."""
+    lines = _lines(documents(docs))
+    keyed = lines.select("doc_id", "no", F.xxhash64("raw").alias("k"), F.hash("raw").alias("k2"))
+    classes = table(keyed.groupBy("k", "k2").agg(F.min(_place()).alias("first"), F.count("*").alias("times")).where("times > 1"))
+    equal = keyed.join(classes.select("k", "k2", "first"), ["k", "k2"]).select(_place().alias("place"), "first").where("place > first").select("place")
+    # of the most repeated lines only the first enters the index: HEAVY broadcast rows at most, and nothing but time depends on them
+    heavy = F.broadcast(classes.orderBy(F.col("times").desc(), "first").limit(HEAVY).select(F.col("k").alias("h"), F.col("k2").alias("h2"), "first"))
+    copy = (F.xxhash64("raw") == F.col("h")) & (F.hash("raw") == F.col("h2")) & (_place() > F.col("first"))
+    index = _index(lines.join(heavy, copy, "left_anti"), _rank_table(lines))
+    # both sides are one exchange: they have the same plan and the same columns
+    hits = table(index.alias("a").join(index.alias("b"), F.expr(f"a.token = b.token and {_FITS} and {_APART}"), "left_semi"))
+    some = may_hit(lines, hit_words(hits, _place()), _place()).select(_place().alias("place"), _plain().alias("low"))
+    some = some.select("place", F.explode(F.array(F.transform(F.array_remove(F.split("low", " "), ""), lambda t: F.xxhash64(t)))).alias("s"))
+    sets = table(some.select("place", F.sort_array(F.array_distinct("s")).alias("s")).distinct())
+    low = hits.groupBy("token").agg(F.min(F.struct("doc_id", "no", "n", "i", "bits")).alias("low")).select("token", "low.*")
+    star = table(_pairs(hits, low))
+    settled = table(_verified(star, sets))
+    undecided = hits.join(settled.select("place.doc_id", "place.no"), ["doc_id", "no"], "left_anti")
+    rest = _pairs(undecided, hits).join(star, ["a", "b"], "left_anti")
+    near = table(settled.unionByName(_verified(rest, sets)))
+    discard(hits, sets, star, settled)
+    gone = table(equal.unionByName(near).distinct().select("place.doc_id", "place.no"))
+    discard(classes, near)
+    return gone
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -133,19 +131,26 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Lines end at line feeds; a line without tokens is never removed. A null
     text stays null, an empty one is one empty line. Rows with a null doc_id
     are not compared. Rows that repeat a doc_id count as that document: they do
-    not remove each other's lines at the same place. All columns are kept;
-    n_lines and n_removed must not be among them.
+    not remove each other's lines at the same place. Texts of any length are
+    taken whole. All columns are kept; n_lines and n_removed must not be among
+    them.
     """
-    if clash := {"n_lines", "n_removed", "_gone", "_lines"} & {c.lower() for c in docs.columns}:
+    if clash := {"n_lines", "n_removed"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has columns that line dedup adds: {sorted(clash)}")
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    out = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_doc"), "left").drop("_doc")
+    doc, gone, parts = fresh(docs, "doc", "gone", "parts")
+    removed = removed_lines(docs)
+    by_doc = removed.groupBy("doc_id").agg(F.collect_set("no").alias(gone)).withColumnRenamed("doc_id", doc)
+    key, words = F.col("doc_id").cast("bigint"), hit_words(removed, F.col("doc_id"))
+    # only documents that may lose lines are shuffled
+    whole = may_hit(docs, words, key, outside=True).withColumns({"n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), "n_removed": F.lit(0)})
+    some = may_hit(docs, words, key).join(by_doc, key == F.col(doc), "left").drop(doc)
     # split once, before the lines are looked up by number: the work is linear in the lines
-    out = out.withColumn("_lines", F.explode(F.array(F.split("text", "\n", -1))))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.array_join(F.transform(numbers, lambda i: F.get("_lines", i)), "\n")
-    out = out.withColumns({"n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))})
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone", "_lines")
+    some = some.withColumn(parts, F.explode(F.array(F.split("text", "\n", -1))))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    kept = F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+    some = some.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_removed": F.coalesce(F.size(gone), F.lit(0))})
+    some = some.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).drop(gone, parts)
+    return whole.unionByName(some)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
