@@ -6,7 +6,7 @@ similarity of 0.8 or more; lines are judged on the input. Equal lines are found
 by grouping. The others go through a prefix join: tokens are ordered by rarity
 (counts of hashed tokens, a table of fixed size), and two similar lines share a
 token among the first n - ceil(0.8 n) + 1. Length and positional filters and the
-parity of 64 token bits (at most the size of the symmetric difference) drop
+parity of 128 token bits (at most the size of the symmetric difference) drop
 pairs that can't reach 0.8.
 
 The prefix rows are shuffled once, by token. A semi-join within that shuffle
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents, fresh, hit_words, may_hit, read, table
 
-HEAVY = 1 << 16
 RANKS = 1 << 18
 
 
@@ -46,40 +45,52 @@ def _place(side: str = "") -> Column:
     return F.struct(F.col(f"{side}doc_id").alias("doc_id"), F.col(f"{side}no").alias("no"))
 
 
-def _rank_table(lines: DataFrame) -> bytes:
-    """Rarity of hashed tokens: quarter steps of the logarithm of their counts, a byte each, RANKS bytes in all.
+def _rank_table(lines: DataFrame) -> Column:
+    """Rarity of hashed tokens as an array literal of RANKS bytes: quarter steps of the logarithm of their counts.
 
-    Counts are summed by Spark; the driver gets RANKS rows at most.
+    Counts (of tokens as they are written) are summed by Spark; the driver
+    gets RANKS rows at most.
     """
-    tokens = lines.select(F.explode(F.split(_plain(), " ")).alias("t")).where("t <> ''")
-    counts = tokens.groupBy(F.hash("t").bitwiseAND(F.lit(RANKS - 1)).alias("b")).count()
+    tokens = lines.select(F.explode(F.split("raw", " ")).alias("t")).where("t <> ''")
+    counts = tokens.groupBy(_bucket(F.col("t")).alias("b")).count()
     rows = counts.select("b", F.floor(F.ln(F.col("count") + 1) * 4).cast("int").alias("v")).toArrow()
     rank = np.zeros(RANKS, np.uint8)
     rank[rows["b"].to_numpy()] = np.minimum(rows["v"].to_numpy(), 127)
-    return rank.tobytes()
+    return F.from_json(F.lit(str(rank.tolist())), "array<tinyint>")  # folded once, when the plan is optimised
 
 
-def _code(token: Column, rank: bytes) -> Column:
+def _bucket(token: Column) -> Column:
+    return F.hash(token).bitwiseAND(F.lit(RANKS - 1))
+
+
+def _code(token: Column, rank: Column) -> Column:
     """A token as a long that sorts by rarity: its rank, then 56 bits of its hash."""
-    byte = F.substring(F.lit(rank), F.hash(token).bitwiseAND(F.lit(RANKS - 1)) + 1, 1)
-    level = F.ascii(byte.cast("string")).cast("bigint")
+    level = F.get(rank, _bucket(token)).cast("bigint")
     return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.xxhash64(token).bitwiseAND(F.lit((1 << 56) - 1)))
 
 
-def _index(lines: DataFrame, rank: bytes) -> DataFrame:
-    """Prefix rows (token, doc_id, no, n, i, bits) of each line."""
+def _parity(half: int) -> Column:
+    """Parity of 64 of the 128 token bits of the codes s."""
+    def toggle(a: Column, t: Column) -> Column:
+        own = F.shiftright(t, 6).bitwiseAND(F.lit(1))
+        return a.bitwiseXOR(F.call_function("shiftleft", own if half else own.bitwiseXOR(F.lit(1)), t.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate("s", F.lit(0).cast("bigint"), toggle)
+
+
+def _index(lines: DataFrame, rank: Column) -> DataFrame:
+    """Prefix rows (token, doc_id, no, n, i, lo, hi) of each line."""
     tokens = F.array_distinct(F.transform(F.split("low", " "), lambda t: _code(t, rank)))
     # explode of one element: what stands below and above it is not merged into it, so each line is worked out once
     rows = lines.select("doc_id", "no", _plain().alias("low"))
     rows = rows.select("doc_id", "no", F.explode(F.array(F.sort_array(F.array_remove(tokens, _code(F.lit(""), rank))))).alias("s"))
-    bits = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.expr("(4 * size(s) + 4) div 5").cast("int") + 1)
-    rows = rows.select("doc_id", "no", F.explode(F.array(F.struct(n.alias("n"), bits.alias("bits"), prefix.alias("prefix")))).alias("x"))
-    return rows.select("doc_id", "no", "x.n", "x.bits", F.posexplode("x.prefix").alias("i", "token"))
+    rows = rows.select("doc_id", "no", F.explode(F.array(F.struct(n.alias("n"), _parity(0).alias("lo"), _parity(1).alias("hi"), prefix.alias("prefix")))).alias("x"))
+    return rows.select("doc_id", "no", "x.n", "x.lo", "x.hi", F.posexplode("x.prefix").alias("i", "token"))
 
 
-_FITS = """9 * bit_count(a.bits ^ b.bits) <= a.n + b.n
+_FITS = """9 * (bit_count(a.lo ^ b.lo) + bit_count(a.hi ^ b.hi)) <= a.n + b.n
     and 9 * least(a.n - a.i, b.n - b.i) >= 4 * (a.n + b.n)
     and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n"""
 _APART = "(a.doc_id <> b.doc_id or a.no <> b.no)"
@@ -101,19 +112,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Lines to remove: rows (doc_id, no)."""
     lines = _lines(documents(docs))
-    keyed = lines.select("doc_id", "no", F.xxhash64("raw").alias("k"), F.hash("raw").alias("k2"))
-    classes = table(keyed.groupBy("k", "k2").agg(F.min(_place()).alias("first"), F.count("*").alias("times")).where("times > 1"))
-    equal = keyed.join(classes.select("k", "k2", "first"), ["k", "k2"]).select(_place().alias("place"), "first").where("place > first").select("place")
-    # of the most repeated lines only the first enters the index: HEAVY broadcast rows at most, and nothing but time depends on them
-    heavy = F.broadcast(classes.orderBy(F.col("times").desc(), "first").limit(HEAVY).select(F.col("k").alias("h"), F.col("k2").alias("h2"), "first"))
-    copy = (F.xxhash64("raw") == F.col("h")) & (F.hash("raw") == F.col("h2")) & (_place() > F.col("first"))
-    index = _index(lines.join(heavy, copy, "left_anti"), _rank_table(lines))
+    key = [F.xxhash64("raw").alias("k"), F.hash("raw").alias("k2")]
+    repeated = table(lines.select(*key).groupBy("k", "k2").count().where("count > 1").select("k"))
+    words = hit_words(repeated, F.col("k"))
+    # of equal lines only the first enters the index; lines that surely stand alone are not shuffled for that
+    some = may_hit(lines.select("doc_id", "no", "raw", *key), words, F.col("k"))
+    firsts = table(some.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "no", "raw")).alias("f")).select("k", "k2", "f.*"))
+    equal = some.select("k", "k2", _place().alias("place")).join(firsts.select("k", "k2", _place().alias("first")), ["k", "k2"]).where("place > first").select("place")
+    single = may_hit(lines, words, F.xxhash64("raw"), outside=True).unionByName(firsts.select("doc_id", "no", "raw"))
+    index = _index(single, _rank_table(single))
     # both sides are one exchange: they have the same plan and the same columns
     hits = table(index.alias("a").join(index.alias("b"), F.expr(f"a.token = b.token and {_FITS} and {_APART}"), "left_semi"))
-    some = may_hit(lines, hit_words(hits, _place()), _place()).select(_place().alias("place"), _plain().alias("low"))
-    some = some.select("place", F.explode(F.array(F.transform(F.array_remove(F.split("low", " "), ""), lambda t: F.xxhash64(t)))).alias("s"))
-    sets = table(some.select("place", F.sort_array(F.array_distinct("s")).alias("s")).distinct())
-    low = hits.groupBy("token").agg(F.min(F.struct("doc_id", "no", "n", "i", "bits")).alias("low")).select("token", "low.*")
+    wanted = may_hit(lines, hit_words(hits, _place()), _place()).select(_place().alias("place"), _plain().alias("low"))
+    wanted = wanted.select("place", F.explode(F.array(F.transform(F.array_remove(F.split("low", " "), ""), lambda t: F.xxhash64(t)))).alias("s"))
+    sets = table(wanted.select("place", F.sort_array(F.array_distinct("s")).alias("s")).distinct())
+    low = hits.groupBy("token").agg(F.min(F.struct("doc_id", "no", "n", "i", "lo", "hi")).alias("low")).select("token", "low.*")
     star = table(_pairs(hits, low))
     settled = table(_verified(star, sets))
     undecided = hits.join(settled.select("place.doc_id", "place.no"), ["doc_id", "no"], "left_anti")
@@ -121,7 +134,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     near = table(settled.unionByName(_verified(rest, sets)))
     discard(hits, sets, star, settled)
     gone = table(equal.unionByName(near).distinct().select("place.doc_id", "place.no"))
-    discard(classes, near)
+    discard(repeated, firsts, near)
     return gone
 
 
