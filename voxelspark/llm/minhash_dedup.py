@@ -3,9 +3,9 @@
 Documents with equal shingle sets form a class, named by the hash of its set;
 one text stands for it. Independent trees branch the classes: at each step a node chooses places of
 the MinHash signature by the hash of its own path, and a class goes to the
-child of its value at that place. Nodes over `leaf` classes branch on. Within a
-node all classes are compared by a 4-bit sketch; those within its slack of the
-limit, and what they chain to, form a family. Each family is then compared
+child of its value at that place. Nodes over `leaf` classes branch on. Nodes are
+streamed through tasks, where all classes of one are compared by a 4-bit sketch;
+those within its slack of the limit, and what they chain to, form a family. Each family is then compared
 exhaustively on the full shingle sets of its texts. Both steps return a
 spanning forest of the links found, never all pairs, and cut large groups into
 pairs of blocks.
@@ -157,7 +157,7 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _alike(slack: int):
-    """mapInArrow function over sorted (node, i, j, rep, family, s): sketch links that join the families of each group."""
+    """mapInArrow function over sorted (node, i, j, rep, family, s0..s3): sketch links that join the families of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, heads in whole_groups(batches, ["node", "i", "j"]):
@@ -171,8 +171,10 @@ def _alike(slack: int):
                 x = x[(family[x] != family[x + lag]) & (_apart(s[x], s[x + lag]) <= slack)]
                 pairs.append(np.stack([rep[x], rep[x + lag]], axis=1))
             for g in np.flatnonzero(size > 3).tolist():
-                own, ids = s[heads[g] : heads[g + 1]], rep[heads[g] : heads[g + 1]]
-                found = forest(family[heads[g] : heads[g + 1]], lambda i, o: _apart(own[o], own[i : i + 1]) <= slack)  # noqa: B023
+                own, ids, kin = s[heads[g] : heads[g + 1]], rep[heads[g] : heads[g + 1]], family[heads[g] : heads[g + 1]]
+                if (kin == kin[0]).all():
+                    continue
+                found = forest(kin, lambda i, o: _apart(own[o], own[i : i + 1]) <= slack)  # noqa: B023
                 pairs.append(ids[np.array(found, np.int64).reshape(-1, 2)])
             if pairs and len(p := np.concatenate(pairs)):
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
@@ -235,6 +237,44 @@ def _child(node: Column, branch: int) -> Column:
     return F.xxhash64(node, place, F.element_at("mins", place + 1))
 
 
+def _nodes(known: DataFrame, trees: list[int], branches: tuple[int, ...], leaf: int, deeper: int) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """Rows (node, rep, family, s) of the trees, each time with the sizes (node, m) of the nodes that are larger than leaf, None where there are none.
+
+    Rows of larger nodes branch on, `deeper` times at most; a node of near
+    copies stays together at any depth.
+    """
+    rows = known.select("rep", "family", "s", "mins", F.explode(F.array(*map(F.lit, trees))).alias("tree")).withColumn("node", F.xxhash64("tree")).drop("tree")
+    for width in branches:
+        rows = rows.withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(width)])))
+    for depth in range(deeper + 1):
+        # a large node of one family has nothing to add: it counts as small, and its task skips it
+        large = table(rows.groupBy("node").agg(F.count("*").alias("m"), F.min("family").alias("lo"), F.max("family").alias("hi")).where((F.col("m") > leaf) & (F.col("lo") < F.col("hi"))).select("node", "m"))
+        flat = ["node", "rep", "family", "s"]
+        if large.isEmpty():
+            yield rows.select(*flat), None
+            return
+        yield rows.join(large, "node", "left_anti").select(*flat), None
+        if depth == deeper:
+            yield rows.join(large, "node").select(*flat, "m"), large
+            return
+        on = rows.join(large, "node", "left_semi").withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(2)])))
+        rows = table(on.select(*flat, "mins").dropDuplicates(["node", "rep"]))
+
+
+def _sketch_links(known: DataFrame, slack: int, trees: list[int], branches: tuple[int, ...], leaf: int, deeper: int, block: int) -> DataFrame:
+    """Pairs of classes in a node whose sketches differ in slack places at most: for each node a forest that joins its families."""
+    flat = [F.col("s")[i].alias(f"s{i}") for i in range(4)]
+    out = None
+    for rows, large in _nodes(known, trees, branches, leaf, deeper):
+        if large is None:
+            groups = rows.select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "family", *flat).repartition("node").sortWithinPartitions("node")
+        else:
+            groups = _in_blocks(rows.select("node", "rep", "family", "m", *flat), "node", F.ceil(F.col("m") / block)).select("node", "i", "j", "rep", "family", "s0", "s1", "s2", "s3")
+        links = groups.mapInArrow(_alike(slack), "a long, b long")
+        out = links if out is None else out.unionByName(links)
+    return table(out)
+
+
 def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = 8, branches: tuple[int, ...] = (2, 1, 1), leaf: int = 256, deeper: int = 3, block: int = 1024, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -242,50 +282,32 @@ def near_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees
     of k-word shingles (lower-cased A-Z); component_id is the smallest doc_id
     that links reach. Empty and null texts have no shingles and no links. A
     null doc_id gives component_id null and kept true. Rows that repeat a
-    doc_id and its text get the same result each. Other columns are ignored, but for
-    the bigint columns named by keys, which are carried.
+    doc_id and its text get the same result each. A doc_id on several texts is
+    the name of the group of each, so unlike groups can have one
+    component_id. Texts of any length are taken whole. Other columns are
+    ignored, but for the bigint columns named by keys, which are carried.
 
     A pair at the limit is in one node of a tree with probability about
     1 - (1 - s**3)**2 (s the similarity); over eight trees a pair at
     0.8 is missed about once in 100,000, at 0.85 once in four millions. In nodes
     that branch on, each level keeps a pair with 1 - (1 - s * q)**2, q being what
     the next keeps: with all three, 2.7 of 100,000 at 0.8 and one of two millions
-    at 0.85 (by this model, with independent paths; not measured). The sketch slack is 5.5 deviations. A
-    group of more than `block` classes takes a task for each pair of blocks.
+    at 0.85 (by this model, with independent paths; tests measure the recall
+    against all pairs). The sketch slack is 4.5 deviations: 3 of a million
+    pairs at the limit are beyond it. A group of more than `block` classes
+    takes a task for each pair of blocks.
     """
     docs = documents(docs, *keys)
     signed = table(docs.mapInArrow(_signatures(k, keys), "".join([_SIGNED, *[f", {c} long" for c in keys]])))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("s").alias("s"), F.first("mins").alias("mins"))
     classes = table(classes.withColumn("rep", F.xxhash64("h1", "h2")))
     differ = (1 - num / den) * 15 / 16
-    slack = int(SIGNATURE * differ + 5.5 * (SIGNATURE * differ * (1 - differ)) ** 0.5)
-
-    def links(known: DataFrame, first: int, last: int) -> DataFrame:
-        """Sketch links of trees first..last between the known families (rep, family, s, mins)."""
-        rows = known.select("rep", "family", "s", "mins", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("tree")).withColumn("node", F.xxhash64("tree"))
-        for width in branches:
-            rows = rows.withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(width)])))
-        rows = rows.select("node", "rep", "family", "s")
-        done = None
-        for depth in range(deeper + 1):
-            # a node of one family has nothing to add
-            mixed = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("node", "m")
-            live = table(rows.join(mixed, "node"))
-            small = live if depth == deeper else live.where(F.col("m") <= leaf)  # near copies stay together at any depth
-            done = small if done is None else done.unionByName(small)
-            large = live.where(F.col("m") > leaf)
-            if depth == deeper or large.isEmpty():
-                break
-            rows = large.join(classes.select("rep", "mins"), "rep").withColumn("node", F.explode(F.array(*[_child(F.col("node"), b) for b in range(2)]))).select("node", "rep", "family", "s").dropDuplicates(["node", "rep"])
-        flat = done.select("node", "rep", "family", "m", *[F.col("s")[i].alias(f"s{i}") for i in range(4)])
-        groups = _in_blocks(flat, "node", F.ceil(F.col("m") / block)).select("node", "i", "j", "rep", "family", "s0", "s1", "s2", "s3")
-        return table(groups.mapInArrow(_alike(slack), "a long, b long"))
-
+    slack = int(SIGNATURE * differ + 4.5 * (SIGNATURE * differ * (1 - differ)) ** 0.5)
     # the families of the first trees are known to the others, which only add what joins them
-    alike = links(classes.withColumn("family", F.col("rep")), 0, min(2, trees) - 1)
+    alike = _sketch_links(classes.withColumn("family", F.col("rep")), slack, list(range(min(2, trees))), branches, leaf, deeper, block)
     if trees > 2:
-        known = classes.join(components(alike).withColumnRenamed("node", "rep"), "rep", "left").withColumn("family", F.coalesce("component", "rep"))
-        alike = alike.unionByName(links(known, 2, trees - 1))
+        known = classes.join(components(alike).withColumnRenamed("node", "rep"), "rep", "left").withColumn("family", F.coalesce("component", "rep")).drop("component")
+        alike = alike.unionByName(_sketch_links(table(known), slack, list(range(2, trees)), branches, leaf, deeper, block))
     families = components(alike)
     families = table(families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n_shingles"), "rep"))
     sizes = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / (2000 * block))).alias("blocks"))
