@@ -1,10 +1,11 @@
 """Quality classifier: importance resampling of hashed n-gram models.
 
 Two bag models over hashed word 1- and 2-grams are estimated: the target from
-labelled good texts, the raw one from all documents. The log ratio of a text is
-its log importance weight; adding Gumbel noise and taking the k largest draws k
-documents without replacement in proportion to the weights. Counts are summed
-by Spark: each task sends one row per bucket at most.
+labelled good texts, the raw one from all documents. The log ratio of a text,
+summed over its n-grams, is its log importance weight; adding Gumbel noise and
+taking the k largest draws k documents without replacement in proportion to the
+weights. Counts are summed by Spark: each task sends one row per bucket at most.
+Only texts that may have a good label are shuffled, to find those that do.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, read, table
+from .common import documents, hit_words, may_hit, read, table
 from .words import lower_ascii, ngram_hashes, text_slices, word_hashes
 
 _U = np.uint64
@@ -36,17 +37,21 @@ def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros((2, BUCKETS), np.int64)
+    n = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        good = batch.column("good").to_numpy(zero_copy_only=False)
-        for i, j, raw, off in text_slices(batch.column("text")):
-            one, two, first = _features(raw, off)
-            own = np.repeat(good[i:j], np.diff(first))
-            for f in (one, two):
-                n[0] += np.bincount(f[f >= 0], minlength=BUCKETS)
-                n[1] += np.bincount(f[own & (f >= 0)], minlength=BUCKETS)
-    used = np.flatnonzero(n[0])
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[0][used]), pa.array(n[1][used])], ["bucket", "raw", "target"])
+        for _, _, raw, off in text_slices(batch.column("text")):
+            for f in _features(raw, off)[:2]:
+                n += np.bincount(f[f >= 0], minlength=BUCKETS)
+    used = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["bucket", "n"])
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket is in the texts: BUCKETS numbers, summed by Spark."""
+    rows = texts.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(BUCKETS)
+    n[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return n
 
 
 def _weigh(ratio):
@@ -92,28 +97,28 @@ def top_k(df: DataFrame, key: str, tie: list[Column], k: int, bins: int = 4096,
     return df.where(F.col(key) > hi).unionByName(border)
 
 
-def quality_sample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, length: int = 200, seed: int = 7, smoothing: float = 1.0) -> DataFrame:
+def quality_sample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, length: float | None = None, seed: int = 7, smoothing: float = 1.0) -> DataFrame:
     """The drawn documents: doc_id, n_features, log_weight, key, kept (true).
 
-    k is `fraction` of the documents, rounded. log_weight is the mean log ratio
-    of a text's n-grams times `length` (the size of text that one draw stands
-    for, so that long texts are not preferred for their length). The noise is a
-    hash of doc_id and text: the same rows give the same draw. Empty and null
-    texts have weight 1 (log_weight 0). Without good labels all weights are 1.
-    Repeated rows are drawn together or cut by row at the border.
+    k is `fraction` of the documents, rounded. log_weight is the sum of the log
+    ratios of a text's n-grams, the exact log importance weight; with `length`
+    it is tempered to their mean times `length`, so that the size of a text
+    counts for nothing. The noise is a hash of doc_id and text: the same rows
+    give the same draw. Empty and null texts have weight 1 (log_weight 0).
+    Without good labels all weights are 1. Repeated rows are drawn together or
+    cut by row at the border, and count as often as they are there, in both
+    models; repeated labels count once. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = documents(docs)
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint")).distinct().withColumn("good", F.lit(True))
-    marked = docs.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    n = np.full((2, BUCKETS), smoothing)
-    n[0][counts["bucket"]] += counts["raw"]
-    n[1][counts["bucket"]] += counts["target"]
-    ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum()) if counts["target"].sum() else np.zeros(BUCKETS)
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint")).distinct()
+    target = may_hit(docs, hit_words(good, F.col("doc_id")), F.col("doc_id")).join(good, "doc_id", "left_semi")
+    raw, wanted = _counts(docs), _counts(target)
+    n = np.stack([raw, wanted]) + smoothing
+    ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum()) if wanted.sum() else np.zeros(BUCKETS)
     keyed = docs.withColumn("row_key", F.xxhash64(F.lit(seed), "doc_id", "text"))
     scored = keyed.mapInArrow(_weigh(spark.sparkContext.broadcast(ratio)), "doc_id long, row_key long, n_features long, log_ratio double")
-    weight = F.when(F.col("n_features") > 0, F.col("log_ratio") / F.col("n_features") * length).otherwise(0.0)
+    weight = F.col("log_ratio") if length is None else F.when(F.col("n_features") > 0, F.col("log_ratio") / F.col("n_features") * length).otherwise(0.0)
     uniform = (F.shiftrightunsigned("row_key", 11) + 0.5) / float(1 << 53)
     scored = table(scored.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
     drawn = top_k(scored, "key", [F.col("doc_id"), F.col("row_key")], round(fraction * scored.count()))
