@@ -31,7 +31,9 @@ from .common import documents, read, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NO = -np.inf
-_MEMO = 800_000
+_MEMO = 120_000  # words of 64 characters at most: about 25 MB for each of two generations
+_PAIRS = 250_000  # pairs of pieces, likewise
+_HEADS = 20_000
 _HEAD = 7  # words share the work on so many first characters
 
 
@@ -82,14 +84,14 @@ class Model:
         self.floor = min((s for p, s, k in pieces if k == 1), default=0.0) - 10
         self.value = {p: self.score[i] for p, i in self.ids.items()}
         self.history: dict[int, list[tuple[float, str, str]]] = {}
-        self.apart: dict[int, bool] = {}
+        self.apart: dict[int, bool] = _Recent(_PAIRS)
         self.alone = {p: i for p, i in self.ids.items() if not bpe or len(p) == 1 or self.merges(p)[0] == [p]}  # pieces that are their own encoding
         self.reach: dict[str, int] = {}  # longest piece by its last three characters
         for p in self.alone:
             if len(p) > 2:
                 self.reach[p[-3:]] = max(self.reach.get(p[-3:], 2), len(p))
-        self.begun: dict[str, tuple[list[int], list[int]]] = {}
-        self.memo: dict[str, bytes] = _Memo(self)
+        self.begun = _Recent(_HEADS)
+        self.memo = _Memo(self)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+") if self.heads and "\n" not in known else re.compile("(?s).+")
 
     @classmethod
@@ -124,9 +126,8 @@ class Model:
         key = before << 20 | after
         ok = self.apart.get(key)
         if ok is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            ok = self.apart[key] = self._stay_apart(before, after)
+            ok = self._stay_apart(before, after)
+            self.apart.put(key, ok)
         return 0.0 if ok else _NO
 
     def merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
@@ -246,9 +247,7 @@ class Model:
             else:
                 begin[p] = p - 1
         if n > _HEAD and not known:
-            if len(self.begun) > _MEMO // 4:
-                self.begun.clear()
-            self.begun[text[:_HEAD]] = (last[: _HEAD + 1], begin[: _HEAD + 1])
+            self.begun.put(text[:_HEAD], (last[: _HEAD + 1], begin[: _HEAD + 1]))
         out, p = [], n
         while p:
             out.append(last[p])
@@ -346,18 +345,40 @@ class Model:
         return self.id_bytes(text[left + over :], states)
 
 
-class _Memo(dict):
-    """Encodings of words; starts anew when it is full."""
+class _Recent(dict):
+    """Two generations of `limit` entries: the older goes when the younger is full, what is used again moves on."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.old = limit, {}
+
+    def get(self, key):
+        found = dict.get(self, key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class _Memo(_Recent):
+    """Encodings of words."""
 
     def __init__(self, model: Model) -> None:
+        super().__init__(_MEMO)
         self.model = model
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > _MEMO:
-            self.clear()
-        ids = self.model.id_bytes(word, self.model.best(word))
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.model.id_bytes(word, self.model.best(word))
         if len(word) <= 64:
-            self[word] = ids
+            self.put(word, ids)
         return ids
 
 
