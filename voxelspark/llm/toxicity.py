@@ -8,7 +8,8 @@ the vectors of its n-grams. A document is scored by spans of `span` n-gram
 starts and takes its highest span, so that a long text does not thin it out.
 
 Learning uses a bounded sample of labelled doc_ids (`per_class` of each class,
-by hash order, one text each); everything else is one narrow pass over all documents.
+by hash order, one text each, of `longest` characters at most); everything else
+is one narrow pass over all documents, whole texts of any length.
 """
 
 from __future__ import annotations
@@ -59,18 +60,17 @@ class SubwordSoftmax:
 
     def __init__(self, dim: int = 8, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
-        self.e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
+        self.e = np.zeros((BUCKETS, dim), np.float32)  # an n-gram that was never seen says nothing; the softmax alone breaks the symmetry
         self.w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
         self.b = np.zeros(2, np.float32)
-        self.g2 = np.full(BUCKETS, 1e-4, np.float32)
 
     @classmethod
-    def calibrated(cls, texts: list[str], y: np.ndarray, span: int, folds: int = 3, share: float = 0.1) -> SubwordSoftmax:
+    def calibrated(cls, texts: list[str], y: np.ndarray, span: int, folds: int = 3, share: float = 0.1, **options) -> SubwordSoftmax:
         """A model of all texts, calibrated on the margins that models of the other folds give, weighted to `share` of class 1.
 
         Only with fewer texts of a class than folds its own margins are used, by the same weights.
         """
-        model = cls().fit(texts, y, span, share=share)
+        model = cls().fit(texts, y, span, share=share, **options)
         if min((y == 0).sum(), (y == 1).sum()) < folds:
             return model
         m, fold = np.zeros(len(y)), np.zeros(len(y), np.int64)
@@ -78,7 +78,7 @@ class SubwordSoftmax:
             fold[y == c] = np.arange((y == c).sum()) % folds
         for f in range(folds):
             out = fold == f
-            part = cls().fit([t for t, o in zip(texts, out) if not o], y[~out], span)
+            part = cls().fit([t for t, o in zip(texts, out) if not o], y[~out], span, **options)
             table = part.table()
             for i in np.flatnonzero(out):
                 x = ngram_buckets(np.frombuffer(texts[i].encode(), np.uint8))
@@ -86,7 +86,7 @@ class SubwordSoftmax:
         model.shift, model.slope = _logistic(m, y, np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y))
         return model
 
-    def fit(self, texts: list[str], y: np.ndarray, span: int, steps: int = 15_000, rate: float = 0.3, scale: float = 20.0, share: float = 0.1, seed: int = 2) -> SubwordSoftmax:
+    def fit(self, texts: list[str], y: np.ndarray, span: int, steps: int = 15_000, rate: float = 3.0, scale: float = 20.0, share: float = 0.1, common: int = 3, damping: float = 0.1, seed: int = 2) -> SubwordSoftmax:
         """Adagrad over documents, about `steps` of them in 5 to 12 epochs.
 
         All of a text learns its label in the first epoch, later the span that
@@ -95,8 +95,12 @@ class SubwordSoftmax:
         """
         rng = np.random.default_rng(seed)
         data = [ngram_buckets(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+        # n-grams of fewer than `common` texts are left out: they would only tell these texts apart
+        spread = np.bincount(np.concatenate([np.unique(x[x >= 0]) for x in data]), minlength=BUCKETS) >= common
+        data = [np.where((x >= 0) & spread[x], x, -1) for x in data]
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         self.scale = np.float32(scale)
+        g2 = np.full(BUCKETS, damping, np.float32)  # large: evidence adds up by text instead of each first step being as large
         gw, gb = np.full_like(self.w, 1e-8), np.full_like(self.b, 1e-8)
         for epoch in range(min(12, max(5, steps // len(data)))):
             for turn, d in enumerate(rng.permutation(len(data))):
@@ -111,7 +115,7 @@ class SubwordSoftmax:
                 if not len(ids):
                     continue
                 part = (count / count.sum()).astype(np.float32)
-                mean = (part @ self.e[ids]) * self.scale
+                mean = np.einsum("i,ij->j", part, self.e[ids]) * self.scale  # too small a product for threads
                 z = mean @ self.w + self.b
                 p = np.exp(z - z.max())
                 p /= p.sum()
@@ -124,8 +128,8 @@ class SubwordSoftmax:
                 self.w -= 0.1 * dw / np.sqrt(gw)
                 self.b -= 0.1 * g / np.sqrt(gb)
                 step = part[:, None] * ge
-                self.g2[ids] += (step * step).mean(1)
-                self.e[ids] -= rate * step / np.sqrt(self.g2[ids])[:, None] * 0.1
+                g2[ids] += (step * step).mean(1)
+                self.e[ids] -= rate * step / np.sqrt(g2[ids])[:, None] * 0.1
         table = self.table()
         m = np.array([self._margins(x, _spans(len(x), span), table).max() for x in data])
         self.shift, self.slope = _logistic(m, y, weight * np.where(y == 1, share, 1 - share) * 2)
@@ -158,17 +162,19 @@ def _logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return a, b
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int = 1 << 16) -> DataFrame:
     """(doc_id, text, toxic) of at most per_class labelled doc_ids of each class whose crc32(doc_id) mod 3 is not 1.
 
     A doc_id counts once, with the label of most of its rows; as many of both
-    leave it out. Of several texts the smallest is taken.
+    leave it out. Of several texts the smallest is taken. Texts of more than
+    `longest` characters are not learned from: the driver gets 2 * per_class *
+    longest characters at most.
     """
     rows = labels.where("toxic in (0, 1) and doc_id is not null").where("crc32(cast(cast(doc_id as bigint) as string)) % 3 <> 1")
     rows = rows.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.sum(2 * F.col("toxic").cast("int") - 1).alias("votes"))
     rows = rows.where("votes <> 0").select("doc_id", (F.col("votes") > 0).cast("int").alias("toxic"))
     parts = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    some = documents(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    some = documents(docs).where(F.length("text") <= longest).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     return some.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
