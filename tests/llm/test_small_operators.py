@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from voxelspark.llm import chat_format, sharding, transport_stream
 from voxelspark.llm.common import shared_folder
 from voxelspark.llm.decontamination import leaks
@@ -208,15 +210,62 @@ def test_toxicity_sample_is_of_documents(spark):
 
 
 def test_sharding(spark):
-    rows = [(i if i % 10 else None, "t" * (i % 7), "s") for i in range(200)] + [(5, "dup", "s")] * 3
-    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    rows = [(i % 90, f"text {i}" if i % 7 else None, "s") for i in range(400)] + [(None, "", None), (None, "", None), (1, "long " * 300_000, "s")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(9)
     root = shared_folder(spark)
-    got = sharding.shard_documents(df, root, arrivals=6, smallest=1 << 10, fan=2).collect()
-    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
-    live = sharding.manifest(spark, root).collect()
-    assert sum(s.docs for s in live) == len(rows) and max(Counter(s.tier for s in live).values()) < 2
-    seen = sharding.versions(spark, root)
-    assert seen == list(range(1, len(seen) + 1)) and len(seen) > 6
+    out = sharding.shard_documents(df, root, arrivals=9, smallest=1 << 10, fan=3)
+    assert Counter((r.doc_id, r.text, r.source) for r in out.collect()) == Counter(rows)
+    found = sharding.versions(spark, root)
+    tiers = Counter(s.tier for s in sharding.manifest(spark, root).collect())
+    assert len(found) >= 3 and all(n < 3 for n in tiers.values())
+    # every version still has all rows
+    for v in found:
+        assert sum(s.docs for s in sharding.manifest(spark, root, v).collect()) == len(rows)
+        assert sharding.shards(spark, root, df.schema, v).count() == len(rows)
+    assert sharding.shard_documents(df.limit(0), shared_folder(spark)).count() == 0
+    clash = df.withColumn("_batch", F.lit(1)).withColumn("batch", F.lit(2))
+    assert sharding.shard_documents(clash, shared_folder(spark), 4).columns[1:] == [*clash.columns, "tier"]
     with pytest.raises(ValueError):
-        sharding.shard_documents(df.withColumnRenamed("source", "tier"), root)
-    assert sharding.shard_documents(df.limit(0), shared_folder(spark), arrivals=1).count() == 0
+        sharding.shard_documents(df.withColumn("Shard", F.lit(1)), shared_folder(spark))
+
+
+def test_two_writers_lose_nothing(spark, monkeypatch):
+    root, one = shared_folder(spark), lambda i: spark.createDataFrame([(i, f"text {i}", "s")], SCHEMA)
+    ids = lambda: sorted(r.doc_id for r in sharding.shards(spark, root, one(0).schema).collect())
+    sharding.append(one(1), root)
+    true_commit, late = sharding.commit, []
+
+    def interrupted(session, live, where, base):
+        if not late:  # another writer commits between this one's reading and its commit
+            late.append(1)
+            sharding.append(one(3), root)
+        return true_commit(session, live, where, base)
+
+    monkeypatch.setattr(sharding, "commit", interrupted)
+    sharding.append(one(2), root)
+    assert ids() == [1, 2, 3]
+    with pytest.raises(FileExistsError):
+        true_commit(spark, [], root, 0)
+    late.clear()
+    sharding.compact(spark, root, one(0).schema, fan=3)  # while 3 is appended once more
+    assert ids() == [1, 2, 3, 3]
+
+
+def test_vacuum_spares_what_is_in_use(spark, monkeypatch):
+    root, one = shared_folder(spark), lambda i: spark.createDataFrame([(i, f"text {i}", "s")], SCHEMA)
+    for i in range(4):
+        sharding.append(one(i), root)
+    before = sharding.newest(spark, root)
+    true_add = sharding._add
+
+    def vacuumed(session, rows, where):  # the shard is written and not yet committed
+        sharding.vacuum(session, where)
+        return true_add(session, rows, where)
+
+    monkeypatch.setattr(sharding, "_add", vacuumed)
+    sharding.append(one(9), root)
+    sharding.compact(spark, root, one(0).schema)
+    assert sharding.shards(spark, root, one(0).schema).count() == 5
+    assert sharding.shards(spark, root, one(0).schema, before).count() == 4
+    assert sharding.vacuum(spark, root, keep=1, age_s=-10) == 4
+    assert sharding.shards(spark, root, one(0).schema).count() == 5
