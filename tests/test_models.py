@@ -179,3 +179,12 @@ def test_apodize_counts_holes_as_zero(spark):
     got = {(r.x, r.y): r.v for r in apodize(voxels, (3, 2), (9.0, 9.0), "boxcar").collect()}
     assert {k: round(v, 9) for k, v in got.items()} == {(0, 0): 4.0, (1, 1): 0.0, (2, 0): 0.0}
     assert apodize(voxels.limit(0), (3, 2), (9.0, 9.0)).count() == 0
+
+
+def test_rows_without_theta_stay(spark):
+    rows = [(1, [1.0, 0.5], None, 0.1), (2, [1.0, 0.5], None, None)]
+    fitted = spark.createDataFrame(rows, "vox int, signal array<double>, theta array<double>, sigma double")
+    protocol = [(0, 1.0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0, 1000.0)]
+    ml = P.fit_ml(fitted, protocol, "balland1stick").collect()
+    assert sorted((r.vox, r.theta, r.loglik) for r in ml) == [(1, None, None), (2, None, None)]
+    assert sorted((r.vox, r.crlb) for r in P.crlb(fitted, protocol, "balland1stick").collect()) == [(1, None), (2, None)]

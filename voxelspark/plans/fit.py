@@ -190,7 +190,7 @@ def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions
     """Rice maximum likelihood from a least-squares result: theta and loglik replaced, other columns kept.
 
     fitted has signal, theta, sigma (and f). The better of start and optimum is
-    kept.
+    kept. A voxel with a null theta keeps it, with a null loglik.
     """
     m, o = MODELS[model], options or FitOptions()
     full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
@@ -198,7 +198,10 @@ def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["theta"].notna()]
+            found = pdf["theta"].notna()
+            if not found.all():
+                yield pdf.loc[~found, keep].assign(theta=None, loglik=None)
+            pdf = pdf[found]
             if not len(pdf):
                 continue
             data, f = _batch(pdf, m)
@@ -212,7 +215,7 @@ def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions
 
 
 def crlb(fitted: DataFrame, rows: list[tuple], model: str, rice: bool = True, options: FitOptions | None = None) -> DataFrame:
-    """Upper triangle (row by row) of the variance bound of every voxel with theta and sigma; clipped to 1e10, NaN as 0."""
+    """Upper triangle (row by row) of the variance bound of every voxel with theta and sigma, null where theta is null; clipped to 1e10, NaN as 0."""
     m, o = MODELS[model], options or FitOptions()
     full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
     keep = [c for c in fitted.columns if c not in ("signal", "f")]
@@ -220,7 +223,10 @@ def crlb(fitted: DataFrame, rows: list[tuple], model: str, rice: bool = True, op
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[pdf["theta"].notna()]
+            found = pdf["theta"].notna()
+            if not found.all():
+                yield pdf.loc[~found, keep].assign(crlb=None)
+            pdf = pdf[found]
             if not len(pdf):
                 continue
             theta, sigma = np.stack(pdf["theta"].to_numpy()).astype(float), pdf["sigma"].to_numpy(float)[:, None]

@@ -301,9 +301,16 @@ def f16(spark, d):
     return t.select("vox", F.round(C.orientation_prior(C.angles_to_unit(F.col("th"), F.col("ph")), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))), 10).alias("prior"))
 
 
-@_query("f12_fractions_sticks", f"WITH {TRUTH} SELECT vox, round(greatest(0.6 * (1 - fiso), fiso * (1 - fiso)), 9) AS f1, round(least(0.6 * (1 - fiso), fiso * (1 - fiso)), 9) AS f2, round((ph % (2 * pi()) + 2 * pi()) % (2 * pi()), 9) AS ph FROM truth")
+F12_SQL = f"""WITH {TRUTH} SELECT vox,
+    round(greatest(fiso * (1 - fiso), (1 - fiso) * (1 - fiso)), 9) AS f1,
+    round(least(fiso * (1 - fiso), (1 - fiso) * (1 - fiso)), 9) AS f2,
+    round((ph % (2 * pi()) + 2 * pi()) % (2 * pi()), 9) AS ph FROM truth"""
+
+
+@_query("f12_fractions_sticks", F12_SQL)
 def f12(spark, d):
-    t = X.voxel_truth(spark, d).select("vox", (0.6 * (1 - F.col("fiso"))).alias("f1"), (F.col("fiso") * (1 - F.col("fiso"))).alias("f2"), C.fold_periodic(F.array("ph"), (0,), 1)[0].alias("ph"))
+    t = X.voxel_truth(spark, d).withColumn("f", C.fractions(F.col("fiso"), F.col("fiso")))
+    t = t.select("vox", "f.f1", "f.f2", C.fold_periodic(F.array("ph"), (0,), 1)[0].alias("ph"))
     return S.stick_order(t, ["f1"], ["f2"], "f1", "f2").select("vox", *_r("f1", "f2", "ph", digits=9))
 
 
@@ -383,5 +390,5 @@ def a11(spark, d):
 @_query("m10_check_jacobian", "SELECT k AS parameter, true AS agrees FROM (SELECT unnest(range(5))::INT AS k)")
 def m10(spark, d):
     t = X.voxel_truth(spark, d).select("scan_id", "vox", F.array("fiso", F.col("d") / 3e-3, "th", "ph", F.col("s0") / 1000).alias("theta"))
-    out = P.check_jacobian(S.thin_sample(t, ["vox"]), TWO, "balland1stick")
+    out = P.check_jacobian(t, TWO, "balland1stick")
     return out.select("parameter", (F.col("difference") < 1e-6).alias("agrees"))
