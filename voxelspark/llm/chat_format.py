@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import read
 
 _CONTROL = re.compile(r"(\\*)(### |</turn>)")
-_TURN = re.compile(r"### (.*?): (.*?)\n</turn>\n", re.S)
 
 
 def escape(text: str) -> str:

@@ -18,7 +18,6 @@ bounded. Anchors with many contexts are split further by window.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
