@@ -31,9 +31,9 @@ from .common import documents, read, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NO = -np.inf
-_MEMO = 120_000  # words of 64 characters at most: about 25 MB for each of two generations
-_PAIRS = 250_000  # pairs of pieces, likewise
-_HEADS = 20_000
+_MEMO = 200_000  # words of 64 characters at most: about 40 MB for each of two generations
+_PAIRS = 400_000  # pairs of pieces, likewise
+_HEADS = 30_000
 _HEAD = 7  # words share the work on so many first characters
 
 
@@ -124,7 +124,7 @@ class Model:
         if is_first or before < 0 or after < 0:
             return 0.0
         key = before << 20 | after
-        ok = self.apart.get(key)
+        ok = self.apart.find(key)
         if ok is None:
             ok = self._stay_apart(before, after)
             self.apart.put(key, ok)
@@ -223,7 +223,7 @@ class Model:
     def _only(self, text: str) -> list[int]:
         """As best() for BPE, where each prefix has one encoding only: its last piece and where that begins."""
         n = len(text)
-        known = self.begun.get(text[:_HEAD]) if n > _HEAD else None
+        known = self.begun.find(text[:_HEAD]) if n > _HEAD else None
         last, begin = (known[0][:], known[1][:]) if known else ([-1], [0])
         done = len(last)
         last += [-1] * (n + 1 - done)
@@ -351,8 +351,9 @@ class _Recent(dict):
     def __init__(self, limit: int) -> None:
         self.limit, self.old = limit, {}
 
-    def get(self, key):
-        found = dict.get(self, key)
+    def find(self, key):
+        """As get(), in both generations."""
+        found = self.get(key)
         if found is None:
             found = self.old.get(key)
             if found is not None:
