@@ -75,3 +75,11 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a b c d e", "x", 1)], SCHEMA)
     plan = line_dedup(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and F is not None
+
+
+def test_helper_names_among_the_columns(spark):
+    names = ["_doc", "doc", "gone", "_gone", "parts", "word", "mask", "k"]
+    df = spark.createDataFrame([(1, "a b c\nx", *names), (2, "a b c", *names)], ["doc_id", "text", *names])
+    got = line_dedup(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, r.n_removed, r.gone) for r in got.collect()) == [(1, "a b c\nx", 0, "gone"), (2, "", 1, "gone")]
