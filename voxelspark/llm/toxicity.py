@@ -49,6 +49,47 @@ def ngram_buckets(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+class Bags:
+    """N-gram buckets of texts in one array: it goes back to the system as a whole, small arrays would not."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        ends = np.cumsum(lengths)
+        self.start, self.stop = ends - lengths, ends
+        self.flat = np.empty((int(np.sum(lengths)), len(NGRAMS)), np.int32)
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Bags:
+        raw = [t.encode() for t in texts]
+        out = cls(np.array([len(r) + 1 for r in raw], np.int64))
+        for i, r in enumerate(raw):
+            out[i][:] = ngram_buckets(np.frombuffer(r, np.uint8))
+        return out
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.start[i] : self.stop[i]]
+
+    def part(self, which: np.ndarray) -> Bags:
+        """Some of the texts, by the same array."""
+        out = Bags(np.zeros(0, np.int64))
+        out.flat, out.start, out.stop = self.flat, self.start[which], self.stop[which]
+        return out
+
+    def common(self, least: int) -> Bags:
+        """A copy without the n-grams of fewer than `least` texts."""
+        texts, out = np.zeros(BUCKETS, np.int32), Bags(self.stop - self.start)
+        for i in range(len(self)):
+            x = self[i]
+            texts[np.unique(x[x >= 0])] += 1
+        often = texts >= least
+        for i in range(len(self)):
+            x = self[i]
+            out[i][:] = np.where((x >= 0) & often[x], x, -1)
+        return out
+
+
 def _spans(n: int, span: int) -> np.ndarray:
     """Span borders over n starts: equal lengths of span at most, half a span at least unless there is one."""
     count = max(1, round(n / span))
@@ -70,7 +111,8 @@ class SubwordSoftmax:
 
         Only with fewer texts of a class than folds its own margins are used, by the same weights.
         """
-        model = cls().fit(texts, y, span, share=share, **options)
+        bags = Bags.of(texts)
+        model = cls().fit(bags, y, span, share=share, **options)
         if min((y == 0).sum(), (y == 1).sum()) < folds:
             return model
         m, fold = np.zeros(len(y)), np.zeros(len(y), np.int64)
@@ -78,15 +120,14 @@ class SubwordSoftmax:
             fold[y == c] = np.arange((y == c).sum()) % folds
         for f in range(folds):
             out = fold == f
-            part = cls().fit([t for t, o in zip(texts, out) if not o], y[~out], span, **options)
+            part = cls().fit(bags.part(np.flatnonzero(~out)), y[~out], span, **options)
             table = part.table()
             for i in np.flatnonzero(out):
-                x = ngram_buckets(np.frombuffer(texts[i].encode(), np.uint8))
-                m[i] = part._margins(x, _spans(len(x), span), table).max()
+                m[i] = part._margins(bags[i], _spans(len(bags[i]), span), table).max()
         model.shift, model.slope = _logistic(m, y, np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y))
         return model
 
-    def fit(self, texts: list[str], y: np.ndarray, span: int, steps: int = 15_000, rate: float = 3.0, scale: float = 20.0, share: float = 0.1, common: int = 3, damping: float = 0.1, seed: int = 2) -> SubwordSoftmax:
+    def fit(self, bags: Bags, y: np.ndarray, span: int, steps: int = 15_000, rate: float = 3.0, scale: float = 20.0, share: float = 0.1, common: int = 3, damping: float = 0.1, seed: int = 2) -> SubwordSoftmax:
         """Adagrad over documents, about `steps` of them in 5 to 12 epochs.
 
         All of a text learns its label in the first epoch, later the span that
@@ -94,10 +135,8 @@ class SubwordSoftmax:
         `share` is the part of class 1 that the scores are calibrated to.
         """
         rng = np.random.default_rng(seed)
-        data = [ngram_buckets(np.frombuffer(t.encode(), np.uint8)) for t in texts]
         # n-grams of fewer than `common` texts are left out: they would only tell these texts apart
-        spread = np.bincount(np.concatenate([np.unique(x[x >= 0]) for x in data]), minlength=BUCKETS) >= common
-        data = [np.where((x >= 0) & spread[x], x, -1) for x in data]
+        data = bags.common(common)
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         self.scale = np.float32(scale)
         g2 = np.full(BUCKETS, damping, np.float32)  # large: evidence adds up by text instead of each first step being as large
@@ -131,7 +170,7 @@ class SubwordSoftmax:
                 g2[ids] += (step * step).mean(1)
                 self.e[ids] -= rate * step / np.sqrt(g2[ids])[:, None] * 0.1
         table = self.table()
-        m = np.array([self._margins(x, _spans(len(x), span), table).max() for x in data])
+        m = np.array([self._margins(data[i], _spans(len(data[i]), span), table).max() for i in range(len(data))])
         self.shift, self.slope = _logistic(m, y, weight * np.where(y == 1, share, 1 - share) * 2)
         return self
 
