@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, sharding
+from . import chat_format, cover_tree, sharding
 from .chat_format import op7_chat_format
+from .cover_tree import op12_hard_negatives
 from .decontamination import op5_decontamination
 from .line_dedup import op4_line_dedup
 from .minhash_dedup import op6_minhash_dedup
@@ -21,7 +22,7 @@ from .transport_stream import op8_transport_stream
 
 OPERATORS = (
     op1_sentencepiece, op2_quality_sample, op3_toxicity, op4_line_dedup, op5_decontamination, op6_minhash_dedup, op7_chat_format,
-    op8_transport_stream, op9_sharding, op10_substring_dedup, op13_token_files,
+    op8_transport_stream, op9_sharding, op10_substring_dedup, op12_hard_negatives, op13_token_files,
 )
 
 
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat_format.ORACLE, "op9_sharding": sharding.ORACLE}
+    return {"op7_chat_format": chat_format.ORACLE, "op9_sharding": sharding.ORACLE, "op12_hard_negatives": cover_tree.ORACLE}
