@@ -289,9 +289,9 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
 
 
 ORACLE = """WITH e AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, v -> floor(256 * v::DOUBLE)) AS x
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * v::DOUBLE) for v in embedding] AS x
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 for v in embedding if v IS NULL OR NOT isfinite(v)]) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
   FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
