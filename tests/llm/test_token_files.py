@@ -11,7 +11,7 @@ from voxelspark.llm.common import shared_folder
 
 tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id long, text string, tie string, copy long, Part int"
-WORDS = ["alpha", "it's", "'sand", "don't", "Straße", "ΣΟΦΟΣ", "é", "́x", "<|endoftext|>", "a<|startoftext|>b", "#tag", "12345", "...", "\x00", " ", "日本語", "🙂👍", "ﬁ", "x" * 300]
+WORDS = ["alpha", "it's", "'sand", "don't", "Straße", "ΣΟΦΟΣ", "é", "́x", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", "A<|STARTOFTEXT|>B,c<|", "IT'S", "x'sY", "a1b22", "don't've", "''s", ",'s", "K'LLx", "_A_b", "e\u0301A", "A\u0301", "#tag", "12345", "...", "\x00", " ", "日本語", "🙂👍", "ﬁ", "x" * 300]
 
 
 def texts(n, seed=1):

@@ -22,15 +22,15 @@ def white(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 
 
-def distinct(raw: np.ndarray, off: np.ndarray, dropped: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct(raw: np.ndarray, off: np.ndarray, dropped: np.ndarray, cut: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct pieces, the number of each piece in them, and each text's first piece (with an end mark).
 
-    dropped marks the bytes between pieces. A piece is a run of other bytes of
-    one text.
+    dropped marks the bytes between pieces, cut those that start a piece in
+    any case. A piece is a run of other bytes of one text.
     """
     kept = ~dropped
     begins = kept.copy()
-    begins[1:] &= dropped[:-1]
+    begins[1:] &= dropped[:-1] if cut is None else dropped[:-1] | cut[1:]
     heads = off[:-1][off[:-1] < off[1:]]
     begins[heads] = kept[heads]
     at = np.flatnonzero(begins)

@@ -27,14 +27,41 @@ from pyspark.sql import functions as F
 
 from .common import documents, fresh, read, shared_folder
 from .pieces import Pool, distinct, gather, white
-from .words import text_slices
+from .words import lower_ascii, text_slices
 
 END, NULL_ID = 2, -(1 << 63)
 _MANIFEST = "part int, name string, width int, docs long, ids long, first_doc long, first_id long"
 _PARTS = "part int, name string, width int, docs long, ids long"
-_KNOWN = 1 << 19
+_KNOWN = 3 << 18
+_SLICE = 1 << 22
 _encoders: dict[str, "Encoder"] = {}
 
+#: Classes of bytes: 1 letter, 2 digit, 3 other ASCII, 0 white space or part of a character that is not ASCII.
+_CLASS = np.array([0 if b > 127 or b == 32 or 9 <= b <= 13 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+
+
+def cuts(raw: np.ndarray, dropped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before which the tokenizer cuts in any case, and the text with small ASCII letters.
+
+    Letters, digits and signs part from each other and digits from digits; an
+    apostrophe may take the letters behind it along. Words (between white
+    space) with the start of a control string stay as they are.
+    """
+    kind = _CLASS[raw]
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~((raw[:-1] == 39) & (kind[1:] == 1))
+    small, hi = lower_ascii(raw), 0
+    for at in np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)):
+        if at < hi:
+            continue
+        lo, hi = at, at + 1
+        while lo and not dropped[lo - 1]:
+            lo -= 1
+        while hi < len(raw) and not dropped[hi]:
+            hi += 1
+        cut[lo:hi], small[lo:hi] = False, raw[lo:hi]
+    return cut, small
+
 
 def default_model() -> str:
     import public_tokenizers
@@ -43,9 +70,9 @@ def default_model() -> str:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and never joins what it parts.
+    """Ids of texts by a tokenizer that drops white space and never joins what cuts() parts.
 
-    Pieces between white space are encoded by the tokenizer once and kept, at
+    Pieces are encoded by the tokenizer once and kept, at
     most _KNOWN of them besides those of one slice.
     """
 
@@ -70,7 +97,9 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with END behind each, and where each text's start (with an end mark)."""
-        words, numbers, first = distinct(raw, off, white(raw))
+        between = white(raw)
+        cut, small = cuts(raw, between)
+        words, numbers, first = distinct(small, off, between, cut)
         if len(self.known) > _KNOWN:
             self.forget()
         new = [w for w in words if w not in self.known]
@@ -103,7 +132,7 @@ def _write(root: str, model: str):
         docs = ids = 0
         for batch in batches:
             doc_ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
-            for i, j, raw, off in text_slices(batch.column("text")):
+            for i, j, raw, off in text_slices(batch.column("text"), _SLICE):
                 if not out:
                     store, folder = _place(root)
                     out = {k: store.open_output_stream(f"{folder}/{name}.{k}", compression=None) for k in ("ids", "off", "doc")}

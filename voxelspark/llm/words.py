@@ -40,12 +40,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into (first row, end row, bytes, offsets) slices.
 
-    Nulls count as empty texts. A slice holds whole texts, SLICE_BYTES of them
-    or a single longer one.
+    Nulls count as empty texts. A slice holds whole texts, `size` bytes of
+    them (SLICE_BYTES by default) or a single longer one.
     """
+    size = size or SLICE_BYTES
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -59,7 +60,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
         j = min(j, n)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
