@@ -16,13 +16,14 @@ from .quality import op2_quality_sample
 from .sentencepiece_scan import op1_sentencepiece
 from .sharding import op9_sharding
 from .substring_dedup import op10_substring_dedup
+from .token_alignment import op11_token_alignment
 from .token_files import op13_token_files
 from .toxicity import op3_toxicity
 from .transport_stream import op8_transport_stream
 
 OPERATORS = (
     op1_sentencepiece, op2_quality_sample, op3_toxicity, op4_line_dedup, op5_decontamination, op6_minhash_dedup, op7_chat_format,
-    op8_transport_stream, op9_sharding, op10_substring_dedup, op12_hard_negatives, op13_token_files,
+    op8_transport_stream, op9_sharding, op10_substring_dedup, op11_token_alignment, op12_hard_negatives, op13_token_files,
 )
 
 
