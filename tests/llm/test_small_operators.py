@@ -269,3 +269,34 @@ def test_vacuum_spares_what_is_in_use(spark, monkeypatch):
     assert sharding.shards(spark, root, one(0).schema, before).count() == 4
     assert sharding.vacuum(spark, root, keep=1, age_s=-10) == 4
     assert sharding.shards(spark, root, one(0).schema).count() == 5
+
+
+def test_a_file_of_one_row_group_makes_many_arrivals(spark):
+    """Arrivals follow the rows, not the layout of the files; two tiers are merged and only live shards stay."""
+    path, root = shared_folder(spark), shared_folder(spark)
+    rows = [(i, f"text {i % 90}", "s") for i in range(1000)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    sharding.append_dealt(docs, root, 63)
+    first = sharding.manifest(spark, root).collect()
+    assert len(first) == 16 and {s.tier for s in first} == {0} and max(s.docs for s in first) == 63
+    sharding.compact(spark, root, docs.schema)
+    assert sharding.newest(spark, root) == 6  # four merges of the first tier and one of the second
+    assert [(s.tier, s.docs) for s in sharding.manifest(spark, root).collect()] == [(2, 1000)]
+    assert sorted(map(tuple, sharding.shards(spark, root, docs.schema).select("doc_id", "text", "source").collect())) == rows
+    assert sharding.shards(spark, root, docs.schema, 1).count() == 1000
+    root = shared_folder(spark)
+    out = sharding.shard_documents(docs, root, age_s=0)
+    assert sharding.versions(spark, root) == [6] and {r.tier for r in out.select("tier").collect()} == {2}
+    left = spark.read.parquet(*[f"{root}/shards/{s.shard}" for s in sharding.manifest(spark, root).collect()])
+    assert left.count() == out.count() == 1000
+
+
+def test_orphans_of_lost_commits_go(spark):
+    root = shared_folder(spark)
+    df = spark.createDataFrame([(1, "a", "s")], SCHEMA)
+    sharding.append(df, root)
+    df.write.parquet(f"{root}/aside/lost")
+    sharding.vacuum(spark, root, age_s=-10)
+    fs, p = sharding._fs(spark, f"{root}/aside/lost")
+    assert not fs.exists(p) and sharding.shards(spark, root, df.schema).count() == 1

@@ -4,7 +4,9 @@ Every arrival is written as one small shard and never changed. Runs of `fan`
 shards in the same size tier (powers of `fan` of the smallest size) are merged
 into target-sized files. Each step ends with a new manifest version: one file
 that lists the live shards, written aside and renamed to its number, which
-fails if another writer has taken it. A writer states the version it started
+fails if another writer has taken it. That step is atomic where the file
+system renames in one step (HDFS, and a local disk between processes that
+check first); on an object store commits need one writer at a time. A writer states the version it started
 from; whoever is late reads the newer version and tries again, so nothing that
 another writer added is lost. Superseded shards stay until vacuum() finds them
 old and named by none of the kept versions: readers of those versions go on.
@@ -59,7 +61,7 @@ def commit(spark: SparkSession, live: list[tuple], root: str, base: int) -> int:
     fs.mkdirs(target.getParent())
     hadoop = spark._jvm.org.apache.hadoop.fs
     never = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    never[0] = hadoop.Options.Rename.NONE  # an existing target is an error, in the same step as the rename
+    never[0] = hadoop.Options.Rename.NONE  # an existing target is an error
     try:
         hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(part, target, never)
     except Exception as e:
@@ -101,23 +103,31 @@ def append(df: DataFrame, root: str, smallest: int = 1 << 20, fan: int = 4) -> i
     return _add(spark, [(name, _tier(row[3], smallest, fan), *row[2:])], root)
 
 
-def append_dealt(df: DataFrame, root: str, arrivals: int, smallest: int = 1 << 20, fan: int = 4) -> int:
-    """Add the partitions of df as so many arrivals at most, a shard each, by one pass over df; returns the manifest version."""
+def append_dealt(df: DataFrame, root: str, rows: int, smallest: int = 1 << 20, fan: int = 4) -> int:
+    """Add df as arrivals of `rows` rows at most, a shard each, by one pass over df without a shuffle; returns the manifest version.
+
+    Every partition of df is cut into its own arrivals, whatever the layout of
+    its files: there are as many as df has rows for, and at most one shorter
+    one for each partition.
+    """
     spark, name = df.sparkSession, shared_folder(df.sparkSession).rsplit("/", 1)[1]
-    (batch,) = fresh(df, "batch")
-    dealt = df.withColumn(batch, F.pmod(F.spark_partition_id(), F.lit(arrivals)))
-    dealt.write.partitionBy(batch).option("compression", "zstd").parquet(f"{root}/shards/{name}")
+    number, batch = fresh(df, "number", "batch")
+    place = F.monotonically_increasing_id()  # the partition, then 33 bits of the row in it
+    dealt = df.withColumn(number, place).withColumn(batch, F.concat_ws("-", F.shiftright(number, 33), F.floor(F.col(number).bitwiseAND(F.lit((1 << 33) - 1)) / rows)))
+    dealt.drop(number).write.partitionBy(batch).option("compression", "zstd").parquet(f"{root}/shards/{name}")
     fs, p = _fs(spark, f"{root}/shards/{name}")
     parts = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    rows = [_described(spark, root, f"{name}/{part}", df.schema, 0) for part in sorted(parts)]
-    return _add(spark, [(r[0], _tier(r[3], smallest, fan), *r[2:]) for r in rows], root)
+    found = [_described(spark, root, f"{name}/{part}", df.schema, 0) for part in sorted(parts)]
+    return _add(spark, [(r[0], _tier(r[3], smallest, fan), *r[2:]) for r in found], root)
 
 
-def compact(spark: SparkSession, root: str, schema, target_bytes: int = 128 << 20, smallest: int = 1 << 20, fan: int = 4) -> int:
+def compact(spark: SparkSession, root: str, schema, target_bytes: int = 128 << 20, smallest: int = 1 << 20, fan: int = 4, age_s: float | None = None) -> int:
     """Merge runs of `fan` shards of one tier until no tier has so many; returns the manifest version.
 
     The driver handles one row per shard, never rows of data. A merge whose
-    shards another writer has merged meanwhile is dropped.
+    shards another writer has merged meanwhile is dropped. With age_s, what is
+    superseded and older than that goes after each merge, and with it all
+    versions but the newest: only for a root that nobody else uses.
     """
     while True:
         tiers: dict[int, list] = {}
@@ -144,6 +154,8 @@ def compact(spark: SparkSession, root: str, schema, target_bytes: int = 128 << 2
                 break
             except FileExistsError:
                 continue
+        if age_s is not None:
+            vacuum(spark, root, 1, age_s)
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 4, age_s: float = 86_400) -> int:
@@ -158,6 +170,10 @@ def vacuum(spark: SparkSession, root: str, keep: int = 4, age_s: float = 86_400)
     for v in found[:-keep]:
         fs.delete(_fs(spark, f"{root}/manifest/v{v:08d}.parquet")[1], False)
     count, limit = 0, (time.time() - age_s) * 1000
+    _, aside = _fs(spark, f"{root}/aside")
+    for s in fs.listStatus(aside) if fs.exists(aside) else []:  # of writers that were lost while they committed
+        if s.getModificationTime() < limit:
+            fs.delete(s.getPath(), True)
     for s in fs.listStatus(p) if fs.exists(p) else []:
         inner = [x for x in fs.listStatus(s.getPath()) if x.isDirectory()]
         top = s.getPath().getName()
@@ -179,19 +195,20 @@ def shards(spark: SparkSession, root: str, schema, version: int | None = None) -
     return rows.join(F.broadcast(live.select("shard", "tier")), "shard")  # fan shards a tier at most
 
 
-def shard_documents(docs: DataFrame, root: str, arrivals: int = 16, target_bytes: int = 128 << 20, smallest: int = 1 << 20, fan: int = 4) -> DataFrame:
-    """Append the partitions of docs as `arrivals` batches, compact, and return all rows with shard and tier.
+def shard_documents(docs: DataFrame, root: str, arrivals: int = 16, target_bytes: int = 128 << 20, smallest: int = 1 << 20, fan: int = 4, age_s: float | None = None) -> DataFrame:
+    """Append docs as `arrivals` batches (one more for each partition at most), compact, and return all rows with shard and tier.
 
     All columns of docs are kept; columns of docs named shard or tier are not
     allowed. Null keys, texts of any length and repeated rows are rows like
-    any other. An empty table makes empty shards or none. What is superseded
-    stays for readers of older versions until vacuum() is called.
+    any other. An empty table makes no shards. What is superseded stays for
+    readers of older versions until vacuum() is called, or see age_s of
+    compact().
     """
     if clash := {"shard", "tier"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has columns that sharding adds: {sorted(clash)}")
     spark = docs.sparkSession
-    append_dealt(docs, root, arrivals, smallest, fan)
-    compact(spark, root, docs.schema, target_bytes, smallest, fan)
+    append_dealt(docs, root, max(1, math.ceil(docs.count() / arrivals)), smallest, fan)
+    compact(spark, root, docs.schema, target_bytes, smallest, fan, age_s)
     return shards(spark, root, docs.schema)
 
 
@@ -201,10 +218,13 @@ def _bytes_of(spark: SparkSession, path: str) -> int:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    arrivals = max(8, math.ceil(_bytes_of(spark, f"{sf_dir}/documents.parquet") / (64 << 20)))
-    out = shard_documents(docs, shared_folder(spark), arrivals)
-    return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
+    docs, root = read(spark, sf_dir, "documents"), shared_folder(spark)
+    arrivals = max(16, math.ceil(_bytes_of(spark, f"{sf_dir}/documents.parquet") / (64 << 20)))
+    out = shard_documents(docs, root, arrivals, age_s=0)  # its own root: no other reader
+    live = manifest(spark, root).collect()
+    # a commit for the arrivals and one for each merge: 16 arrivals take five merges, the last one of the second tier
+    merged = F.lit(newest(spark, root) >= 6), F.lit(max((s.tier for s in live), default=0) >= 2)
+    return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars", merged[0].alias("five_merges"), merged[1].alias("two_tiers"))
 
 
-ORACLE = "SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars FROM documents"
+ORACLE = "SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars, true AS five_merges, true AS two_tiers FROM documents"
