@@ -10,7 +10,8 @@ from voxelspark.functions import columns as C
 from voxelspark.operators import signals as S
 from voxelspark.plans import fit as P
 from voxelspark.plans.fixtures import protocol_rows
-from voxelspark.plans.models import MODELS, FitOptions, Model, combine, jacobian, register, starts
+from voxelspark.plans.models import MODELS, FitOptions, Model, combine, jacobian, register
+from voxelspark.plans.starts import candidates
 from voxelspark.sources import scans as R
 
 O = FitOptions()
@@ -53,9 +54,8 @@ def test_fits_reach_the_data(name):
     data = m.signal(t, p, f, O)
     if m.pseudo:
         data[:, -m.pseudo :] = 0
-    dt = np.log(data[:, : len(P4)]) @ S.log_linear_operator(ROWS).T
-    s0 = np.stack([data[:, k * len(P4) : k * len(P4) + 3].mean(1) for k in range(m.times)], 1)
-    best = np.min([P.levenberg_marquardt(m, x, data, p, f, O)[1] for x in starts(m, dt, s0, O)], axis=0)
+    found = candidates(m, data, P4, S.log_linear_operator(ROWS), f, O)
+    best = np.min([P.levenberg_marquardt(m, x, data, p, f, O)[1] for x in found], axis=0)
     assert np.median(np.sqrt(best / data.shape[1])) < 0.05
 
 

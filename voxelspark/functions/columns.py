@@ -151,9 +151,8 @@ def sort_pairs(values: list[Column], vectors: list[Column]) -> Column:
 
 def halton(index: Column, base: int, digits: int = 40) -> Column:
     """Digit reversal of a positive integer in a prime base."""
-    out, rest, scale = F.lit(0.0), index.cast("bigint"), 1.0
-    for _ in range(min(digits, int(62 / math.log2(base)))):
-        scale /= base
-        out = out + (rest % base) * scale
-        rest = F.floor(rest / base)
+    whole = index.cast("bigint")
+    out = F.lit(0.0)
+    for k in range(min(digits, int(52 / math.log2(base)))):
+        out = out + F.floor(whole / base**k) % base * base ** -(k + 1.0)
     return out

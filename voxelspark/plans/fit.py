@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.operators.signals import log_linear_operator
-from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian, starts
+from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian
+from voxelspark.plans.starts import candidates, given_starts, rank_starts
 
 
 def bound(theta: np.ndarray, model: Model) -> np.ndarray:
@@ -141,20 +142,30 @@ def _batch(pdf: pd.DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([data, np.zeros((len(data), model.pseudo))], axis=1), f
 
 
-def fit_lsq(dwi: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None) -> DataFrame:
-    """Least-squares fit of every voxel: all columns but signal and f, then theta, rss, start, iterations.
+Starts = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    dwi has a signal array (time points one behind the other) and, for models
-    with fields, f. The candidate with the smallest rss is kept, ties keep the
-    earlier start. rss leaves pseudo-data out. Voxels without any positive
-    finite value get theta null. Signals are scaled to 1 for the solve.
-    """
-    m, o = MODELS[model], options or FitOptions()
+
+def best_of(model: Model, found: Starts, data: np.ndarray, full: np.ndarray, fields: np.ndarray, o: FitOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Solve from each start (voxels, theta, number) and keep the smallest rss of each voxel, the earlier start in ties: theta, rss, number, iterations."""
+    n = len(data)
+    theta, rss, number, count = np.full((n, model.n), np.nan), np.full(n, np.inf), np.zeros(n, int), np.zeros(n, int)
+    for at, t, k in found:
+        if not len(at):
+            continue
+        x, r, i = levenberg_marquardt(model, t, data[at], full, fields[at], o)
+        better = r < rss[at]
+        to = at[better]
+        theta[to], rss[to], number[to], count[to] = x[better], r[better], k[better], i[better]
+    return theta, rss, number, count
+
+
+def _fit(dwi: DataFrame, rows: list[tuple], m: Model, o: FitOptions, found) -> DataFrame:
+    """One row in, one row out: found(pdf, scale, data, fields) gives the starts of a batch."""
     p = np.array([r[1:5] for r in rows], float)
-    op, full = log_linear_operator(rows), np.concatenate([p] * m.times)
-    keep = [c for c in dwi.columns if c not in ("signal", "f")]
+    full = np.concatenate([p] * m.times)
+    keep = [c for c in dwi.columns if c not in ("signal", "f", "theta0", "more")]
     if m.n_fields and "f" not in dwi.columns:
-        raise ValueError(f"{model} needs fields")
+        raise ValueError(f"{m.name} needs fields")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -165,20 +176,12 @@ def fit_lsq(dwi: DataFrame, rows: list[tuple], model: str, options: FitOptions |
             dead = scale < 1e-12
             d = data.copy()
             d[:, : len(full)] /= scale[:, None]
-            first = np.maximum(d[:, : len(p)], d[:, : len(p)].mean(1, keepdims=True) / 100)
-            dt = np.log(np.maximum(first, 1e-300)) @ op.T
-            zero = p[:, 0] == 0
-            s0 = np.stack([d[:, k * len(p) : (k + 1) * len(p)][:, zero].mean(1) if zero.any() else np.exp(dt[:, 6]) for k in range(m.times)], 1)
-            found = [levenberg_marquardt(m, t, d, full, f, o) for t in starts(m, dt, s0, o)]
-            rss = np.stack([x[1] for x in found])
-            pick = np.argmin(np.where(np.isfinite(rss), rss, np.inf), axis=0)
-            theta = np.stack([x[0] for x in found])[pick, np.arange(len(pick))]
+            theta, _, pick, count = best_of(m, found(pdf, scale, d, f), d, full, f, o)
             theta[:, list(m.s0)] *= scale[:, None]
             r = (m.signal(theta, full, f, o) - data)[:, : len(full)]
             out = pdf[keep].copy()
-            out["theta"] = [None if z else list(t) for t, z in zip(theta.tolist(), dead)]
-            out["rss"], out["start"] = (r**2).sum(1), pick
-            out["iterations"] = np.stack([x[2] for x in found])[pick, np.arange(len(pick))]
+            out["theta"] = [None if z else list(t) for t, z in zip(theta.tolist(), dead | ~np.isfinite(theta).all(1))]
+            out["rss"], out["start"], out["iterations"] = (r**2).sum(1), pick, count
             yield out
 
     types = dict(dwi.dtypes)
@@ -186,6 +189,91 @@ def fit_lsq(dwi: DataFrame, rows: list[tuple], model: str, options: FitOptions |
     return dwi.mapInPandas(run, schema)
 
 
+def _computed(m: Model, rows: list[tuple], o: FitOptions):
+    p, operator = np.array([r[1:5] for r in rows], float), log_linear_operator(rows)
+
+    def of(at: np.ndarray, d: np.ndarray, f: np.ndarray, first: int = 0) -> Starts:
+        if len(at):
+            for k, t in enumerate(candidates(m, d[at], p, operator, f[at], o)):
+                yield at, t, np.full(len(at), first + k)
+
+    return of
+
+
+def fit_lsq(dwi: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None) -> DataFrame:
+    """Least-squares fit of every voxel: all columns but signal, f, theta0 and more, then theta, rss, start, iterations.
+
+    dwi has a signal array (time points one behind the other) and, for models
+    with fields, f. A voxel with a given start (column theta0, see
+    with_initialisation) is solved from it, as start -1; the others from the
+    model's computed starts. The candidate with the smallest rss is kept, ties
+    keep the earlier start. rss leaves pseudo-data out. Voxels without any
+    positive finite value get theta null. Signals are scaled to 1 for the solve.
+    """
+    m, o = MODELS[model], options or FitOptions()
+    computed = _computed(m, rows, o)
+
+    def found(pdf: pd.DataFrame, scale: np.ndarray, d: np.ndarray, f: np.ndarray) -> Starts:
+        rest = np.arange(len(pdf))
+        if "theta0" in pdf:
+            for at, t in given_starts(pdf[["theta0"]], m, scale):
+                yield at, t, np.full(len(at), -1)
+                rest = np.setdiff1d(rest, at)
+        yield from computed(rest, d, f)
+
+    return _fit(dwi, rows, m, o, found)
+
+
+#: Numbers of starts that are not rows of a start table: the given one, the neighbours' (downwards), the computed ones (downwards).
+GIVEN, NEIGHBOUR, COMPUTED = -1, -2, -101
+
+
+def multi_start(dwi: DataFrame, rows: list[tuple], model: str, table: DataFrame, keep: int = 1, linear: tuple[int, ...] | None = None, computed: bool = False, options: FitOptions | None = None) -> DataFrame:
+    """fit_lsq from the `keep` best of many starts: those of `table` (start, theta; see start_table), the columns theta0 and more, and the computed ones.
+
+    The parameters `linear` (the scale parameters by default) must be factors
+    of summands of the signal: starts of the table are ranked at their best
+    values. All other starts are ranked as they are. The table is the same for
+    all voxels and goes to the tasks as a whole: its size is chosen by the
+    caller and does not follow the data. Voxels are solved as in fit_lsq; the
+    column start is the row of the table, or one of GIVEN, NEIGHBOUR, COMPUTED
+    and downwards.
+    """
+    m, o = MODELS[model], options or FitOptions()
+    linear = m.s0 if linear is None else linear
+    full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
+    held = sorted((r.start, r.theta) for r in table.select("start", "theta").collect())
+    numbers, thetas = np.array([k for k, _ in held], int), np.array([t for _, t in held], float).reshape(len(held), m.n)
+    own = _computed(m, rows, o)
+
+    def found(pdf: pd.DataFrame, scale: np.ndarray, d: np.ndarray, f: np.ndarray) -> Starts:
+        n = len(pdf)
+        value, theta, number = np.full((n, 0), np.inf), np.zeros((n, 0, m.n)), np.zeros((n, 0), int)
+
+        def add(at: np.ndarray, t: np.ndarray, k: np.ndarray) -> None:
+            nonlocal value, theta, number
+            v, x, i = np.full(n, np.inf), np.zeros((n, m.n)), np.zeros(n, int)
+            v[at], x[at], i[at] = ((m.signal(t, full, f[at], o) - d[at]) ** 2).sum(1), t, k
+            value, theta, number = np.column_stack([value, v]), np.concatenate([theta, x[:, None]], axis=1), np.column_stack([number, i])
+
+        for column, first in (("theta0", GIVEN), ("more", NEIGHBOUR)):
+            if column in pdf:
+                for k, (at, t) in enumerate(given_starts(pdf[[column]], m, scale)):
+                    add(at, t, np.full(len(at), first - k))
+        if computed:
+            for at, t, k in own(np.arange(n), d, f):
+                add(at, t, COMPUTED - k)
+        if len(thetas):
+            t, v, k = rank_starts(m, thetas, d, full, f, linear, keep, o)
+            value, theta, number = np.column_stack([value, v]), np.concatenate([theta, t], axis=1), np.column_stack([number, numbers[k]])
+        best = np.argsort(value, axis=1, kind="stable")[:, :keep]
+        for k in range(best.shape[1]):
+            at = np.flatnonzero(np.isfinite(value[np.arange(n), best[:, k]]))
+            yield at, theta[at, best[at, k]], number[at, best[at, k]]
+
+    return _fit(dwi, rows, m, o, found)
+
+
 def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None) -> DataFrame:
     """Rice maximum likelihood from a least-squares result: theta and loglik replaced, other columns kept.
 

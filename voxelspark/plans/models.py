@@ -227,7 +227,7 @@ def jacobian(model: Model, theta: np.ndarray, protocol: np.ndarray, fields: np.n
 
 
 def starts(model: Model, dt: np.ndarray, s0: np.ndarray, options: FitOptions) -> list[np.ndarray]:
-    """Candidate starts from tensors [xx yy zz xy xz yz] and signals at b=0 (one column for each time point)."""
+    """Candidate starts of the tensor models from tensors [xx yy zz xy xz yz] and signals at b=0."""
     full = np.nan_to_num(dt[:, [0, 3, 4, 3, 1, 5, 4, 5, 2]], posinf=0, neginf=0).reshape(-1, 3, 3)
     w, v = np.linalg.eigh(full)
     w, v = np.clip(w[:, ::-1], 1e-5, 2.99e-3), v[:, :, ::-1].transpose(0, 2, 1)
@@ -265,11 +265,4 @@ def starts(model: Model, dt: np.ndarray, s0: np.ndarray, options: FitOptions) ->
     if name.startswith("dtv"):
         head = {"dtv1": [iso, one(0.5), np.clip(cl[:, 0] * 1.3, 0.05, 0.95), perp * 0.5, perp * 0.5], "dtv2": [iso, one(0.5), np.clip(cl[:, 0] * 1.3, 0.05, 0.95), perp * 0.5], "dtv3": [one(0.5), np.clip(cl[:, 0] * 1.3, 0.05, 0.95), perp * 0.5], "dtv4": [np.clip(cl[:, 0] * 1.3, 0.05, 0.95), perp * 0.5]}[name]
         return [stack(*head, *s, base) for s in splits]
-    if name == "balland1stick":
-        return [stack(one(c), cl[:, 0], *polar(e1), base) for c in (0.3, 0.7)]
-    if name in ("balland2sticks", "balland2sticks_orientationprior"):
-        return [stack(one(0.3), one(0.5), cl[:, 0], *s, base) for s in splits]
-    if model.times > 1 and "timepoints" in name:
-        each = [x for k in range(model.times) for x in (one(0.3), one(0.5), cl[:, 0], s0[:, min(k, s0.shape[1] - 1)])]
-        return [stack(*each, *s) for s in splits]
     raise ValueError(f"{name} needs given starts")

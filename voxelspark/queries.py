@@ -12,6 +12,7 @@ from voxelspark.operators import grid as G
 from voxelspark.operators import signals as S
 from voxelspark.plans import fit as P
 from voxelspark.plans import fixtures as X
+from voxelspark.plans import starts as T
 from voxelspark.sources import scans as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -392,3 +393,36 @@ def m10(spark, d):
     t = X.voxel_truth(spark, d).select("scan_id", "vox", F.array("fiso", F.col("d") / 3e-3, "th", "ph", F.col("s0") / 1000).alias("theta"))
     out = P.check_jacobian(t, TWO, "balland1stick")
     return out.select("parameter", (F.col("difference") < 1e-6).alias("agrees"))
+
+
+# global starts
+
+
+_BAD = [0.95, 0.95, 1.5, 0.0, 10.0]
+_BOX = [(0.05, 0.95), (0.05, 0.95), (0.0, 3.1415926), (-3.1415926, 3.1415926), (1.0, 1.0)]
+M6_SQL = f"""WITH {TRUTH}
+SELECT vox, round(fiso, 4) AS f_iso, round(d * 1000, 4) AS d, round(s0, 1) AS s0, round(abs(cos(th)), 3) AS vz, true AS start_fails
+FROM truth"""
+
+
+@_query("m6_multi_start", M6_SQL)
+def m6(spark, d):
+    """A start that leads astray for some voxels of every scan; the same start among ranked global ones finds the truth in all."""
+    dwi = _clean(spark, d)
+    theta0 = dwi.select("scan_id", "vox", F.array(*[F.lit(x) for x in _BAD]).alias("theta"))
+    alone = P.fit_lsq(T.with_initialisation(dwi, theta0, ("scan_id", "vox")), TWO, "balland1stick")
+    fails = alone.agg(F.coalesce(F.bool_or(F.sqrt(F.col("rss") / len(TWO)) > 1), F.lit(False)).alias("start_fails"))
+    found = P.multi_start(dwi, TWO, "balland1stick", T.start_table(spark, _BOX, 250, given=[_BAD]), keep=3)
+    out = P.derive_maps(found, "balland1stick").join(F.broadcast(fails))  # one row
+    vz = F.abs(F.col("v1")[2])
+    return out.select("vox", *_r("f_iso", digits=4), F.round(F.col("d") * 1000, 4).alias("d"), *_r("s0", digits=1), F.round(vz, 3).alias("vz"), "start_fails")
+
+
+@_query("j3_with_initialisation", f"WITH {TRUTH} SELECT vox, round(fiso, 4) AS f_iso, round(d * 1000, 4) AS d, round(s0, 1) AS s0, size > 25 AS given FROM truth")
+def j3(spark, d):
+    """Voxels of large parts start from a stored result of theirs, ten per cent off; the others from computed starts."""
+    dwi, t = _clean(spark, d), X.voxel_truth(spark, d).where("size > 25")
+    near = [F.col("fiso") * 1.1, F.col("d") * 1.1 / 3e-3, F.col("th") * 0.9, F.col("ph") * 0.9, F.col("s0") * 1.1]
+    theta0 = t.select("scan_id", "vox", F.array(*near).alias("theta"))
+    out = P.derive_maps(P.fit_lsq(T.with_initialisation(dwi, theta0, ("scan_id", "vox")), TWO, "balland1stick"), "balland1stick")
+    return out.select("vox", *_r("f_iso", digits=4), F.round(F.col("d") * 1000, 4).alias("d"), *_r("s0", digits=1), (F.col("start") == P.GIVEN).alias("given"))
