@@ -144,6 +144,26 @@ def noise_from_residue(fits: DataFrame, n_measurements: int, n_parameters: int)
     return fits.groupBy("scan_id").agg(F.median(F.sqrt(F.col("rss") / dof)).alias("by_median"), F.sqrt(F.sum("rss") / (F.count("*") * dof)).alias("by_mean"))
 
 
+def global_noise(fits: DataFrame, option: str | float, n_measurements: int, n_parameters: int, levels: DataFrame | None = None) -> DataFrame:
+    """Noise level of each scan (scan_id, noise) for a maximum-likelihood fit.
+
+    option: "logtensor" takes the level of the log-linear fit (`levels`, see
+    global_levels), "lsqmodel" the median of sqrt(rss / (N - parameters)) over
+    the voxels of `fits`, and a number (or its text) is that number.
+    """
+    if option == "logtensor":
+        if levels is None:
+            raise ValueError("logtensor needs the levels of the log-linear fit")
+        return levels.select("scan_id", "noise")
+    if option == "lsqmodel":
+        return fits.groupBy("scan_id").agg(F.median(F.sqrt(F.col("rss") / (n_measurements - n_parameters))).alias("noise"))
+    try:
+        number = float(option)
+    except ValueError:
+        raise ValueError("the noise level is logtensor, lsqmodel or a number") from None
+    return fits.select("scan_id").distinct().withColumn("noise", F.lit(number))
+
+
 def select_best(candidates: DataFrame, key: list[str], by: str = "rss") -> DataFrame:
     """Per voxel the candidate (column start) with the smallest rss or largest loglik; ties keep the earlier start."""
     value = F.col(by) if by == "rss" else -F.col(by)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.operators.signals import log_linear_operator
 from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian
+from voxelspark.plans.rice import bessel_ratio, log_rice_logsigma, rice_information, rice_information_joint, rice_loglik
 from voxelspark.plans.starts import candidates, given_starts, rank_starts
 
 
@@ -61,46 +62,6 @@ def levenberg_marquardt(model: Model, theta: np.ndarray, data: np.ndarray, proto
     return unbound(u, model), rss, count
 
 
-def bessel_ratio(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ln(I0(x) exp(-x)) and I1(x) / I0(x) for x >= 0: power series below 12, asymptotic series above."""
-    x = np.asarray(x, float)
-    low = np.minimum(x, 12.0)
-    q, term0, i0, i1 = low * low / 4, np.ones_like(low), np.ones_like(low), np.ones_like(low)
-    term1 = np.ones_like(low)
-    for k in range(1, 45):
-        term0 = term0 * q / (k * k)
-        term1 = term1 * q / (k * (k + 1))
-        i0, i1 = i0 + term0, i1 + term1
-    high = np.maximum(x, 12.0)
-    a0 = a1 = np.ones_like(high)
-    s0, s1 = np.ones_like(high), np.ones_like(high)
-    for k in range(1, 22):
-        a0 = a0 * (2 * k - 1) ** 2 / (8 * k * high)
-        a1 = a1 * ((2 * k - 1) ** 2 - 4) / (8 * k * high)
-        s0, s1 = s0 + a0, s1 + a1
-    big = x > 12
-    return np.where(big, np.log(s0) - 0.5 * np.log(2 * np.pi * high), np.log(i0) - low), np.where(big, s1 / s0, low / 2 * i1 / i0)
-
-
-def rice_loglik(data: np.ndarray, a: np.ndarray, sigma: np.ndarray) -> np.ndarray:
-    x = data * np.abs(a) / sigma**2
-    return np.log(data) - 2 * np.log(sigma) - (data - np.abs(a)) ** 2 / (2 * sigma**2) + bessel_ratio(x)[0]
-
-
-def rice_information(a: np.ndarray, points: int = 400) -> np.ndarray:
-    """Expected information of a Rice distribution about its location, at sigma 1 (quadrature, interpolated)."""
-    grid = np.concatenate([np.linspace(0, 10, 401), [1e6]])
-    x, w = np.polynomial.legendre.leggauss(points)
-    values = []
-    for m in grid[:-1]:
-        lo, hi = max(0.0, m - 10), m + 10
-        t, dt = (hi - lo) / 2 * x + (hi + lo) / 2, (hi - lo) / 2 * w
-        logi, ratio = bessel_ratio(t * m)
-        p = t * np.exp(-((t - m) ** 2) / 2 + logi)
-        values.append((p * (t * ratio - m) ** 2 * dt).sum())
-    return np.where(a >= 10, 1 - 1 / (2 * np.maximum(a, 10) ** 2), np.interp(a, grid[:-1], values))
-
-
 def maximise_rice(model: Model, theta: np.ndarray, data: np.ndarray, sigma: np.ndarray, protocol: np.ndarray, fields: np.ndarray, o: FitOptions, iterations: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Rice maximum likelihood by damped Fisher scoring (sigma per voxel); pseudo-data stay Gaussian."""
     n = data.shape[1] - model.pseudo
@@ -135,6 +96,51 @@ def maximise_rice(model: Model, theta: np.ndarray, data: np.ndarray, sigma: np.n
     return unbound(u, model), best
 
 
+def maximise_rice_noise(model: Model, theta: np.ndarray, data: np.ndarray, sigma: np.ndarray, protocol: np.ndarray, fields: np.ndarray, o: FitOptions, iterations: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rice maximum likelihood of theta and of each voxel's log sigma together: theta, sigma, loglik (pseudo-data included).
+
+    Damped scoring with the joint expected information: the block of log sigma
+    and its cross block with theta count, so that a step moves both at once.
+    """
+    n = data.shape[1] - model.pseudo
+    x = np.column_stack([bound(theta, model), np.log(sigma)])
+
+    def value(x: np.ndarray, idx: np.ndarray) -> np.ndarray:
+        a = model.signal(unbound(x[:, :-1], model), protocol, fields[idx], o)
+        out = rice_loglik(data[idx, :n], a[:, :n], np.exp(x[:, -1:])).sum(1)
+        return out - ((a[:, n:] - data[idx, n:]) ** 2).sum(1) / (2 * o.prior_noise**2)
+
+    every = np.arange(len(theta))
+    best, damp, active = value(x, every), np.full(len(theta), 1e-3), every
+    for _ in range(iterations):
+        if not len(active):
+            break
+        old, f = x[active], fields[active]
+        t, s = unbound(old[:, :-1], model), old[:, -1:]
+        a = model.signal(t, protocol, f, o)
+        j = jacobian(model, t, protocol, f, o) * _slopes(old[:, :-1], model)[:, None, :]
+        _, of_a, of_s, *_ = log_rice_logsigma(data[active, :n], a[:, :n], s)
+        e = np.exp(s)
+        aa, as_, ss = rice_information_joint(a[:, :n] / e)
+        pull = np.concatenate([of_a, (data[active, n:] - a[:, n:]) / o.prior_noise**2], axis=1)
+        weight = np.concatenate([aa / e**2, np.full((len(active), model.pseudo), 1 / o.prior_noise**2)], axis=1)
+        g = np.column_stack([np.einsum("vmi,vm->vi", j, pull), of_s.sum(1)])
+        h = np.zeros((len(active), model.n + 1, model.n + 1))
+        h[:, :-1, :-1] = np.einsum("vmi,vm,vmj->vij", j, weight, j)
+        h[:, :-1, -1] = h[:, -1, :-1] = np.einsum("vmi,vm->vi", j[:, :n], np.where(a[:, :n] < 0, -as_, as_) / e)
+        h[:, -1, -1] = ss.sum(1)
+        diag = np.einsum("vii->vi", h)
+        h = h + np.einsum("vi,ij->vij", diag * damp[active, None] + 1e-12 * diag.max(1, keepdims=True) + 1e-300, np.eye(model.n + 1))
+        new = old + np.clip(np.linalg.solve(h, g[..., None])[..., 0], -2, 2)
+        after = value(new, active)
+        good = after >= best[active]
+        settled = good & (after - best[active] < 1e-9) | (damp[active] > 1e8)
+        x[active[good]], best[active[good]] = new[good], after[good]
+        damp[active] = np.where(good, damp[active] / 10, damp[active] * 10)
+        active = active[~settled]
+    return unbound(x[:, :-1], model), np.exp(x[:, -1]), best
+
+
 def _batch(pdf: pd.DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     data = np.stack(pdf["signal"].to_numpy()).astype(float)
     data = np.where(np.isfinite(data) & (data > 0), data, 2.220446049250313e-16)
@@ -274,11 +280,13 @@ def multi_start(dwi: DataFrame, rows: list[tuple], model: str, table: DataFrame,
     return _fit(dwi, rows, m, o, found)
 
 
-def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None) -> DataFrame:
+def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None, refine_noise: bool = False) -> DataFrame:
     """Rice maximum likelihood from a least-squares result: theta and loglik replaced, other columns kept.
 
-    fitted has signal, theta, sigma (and f). The better of start and optimum is
-    kept. A voxel with a null theta keeps it, with a null loglik.
+    fitted has signal, theta, sigma (and f). With refine_noise each voxel's
+    sigma is a parameter too and the column is replaced by its estimate. The
+    better of start and optimum is kept. loglik leaves pseudo-data out. A voxel
+    with a null theta keeps it, with a null loglik.
     """
     m, o = MODELS[model], options or FitOptions()
     full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
@@ -293,13 +301,46 @@ def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions
             if not len(pdf):
                 continue
             data, f = _batch(pdf, m)
-            theta, value = maximise_rice(m, np.stack(pdf["theta"].to_numpy()).astype(float), data, pdf["sigma"].to_numpy(float), full, f, o)
+            theta, sigma = np.stack(pdf["theta"].to_numpy()).astype(float), pdf["sigma"].to_numpy(float)
             out = pdf[keep].copy()
-            out["theta"], out["loglik"] = list(theta.tolist()), value
+            if refine_noise:
+                theta, sigma, _ = maximise_rice_noise(m, theta, data, sigma, full, f, o)
+                out["sigma"] = sigma
+            else:
+                theta, _ = maximise_rice(m, theta, data, sigma, full, f, o)
+            n = len(full)
+            out["theta"], out["loglik"] = list(theta.tolist()), rice_loglik(data[:, :n], m.signal(theta, full, f, o)[:, :n], sigma[:, None]).sum(1)
             yield out
 
     types = dict(fitted.dtypes)
-    return fitted.mapInPandas(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "theta array<double>", "loglik double"]))
+    return fitted.mapInPandas(run, ", ".join([*[f"`{c}` {'double' if c == 'sigma' else types[c]}" for c in keep], "theta array<double>", "loglik double"]))
+
+
+def fit_statistics(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None) -> DataFrame:
+    """rss and Rice log likelihood of each voxel's theta at its sigma, pseudo-data left out; null where theta is null.
+
+    fitted has signal, theta, sigma (and f); its other columns are kept, rss and
+    loglik are replaced.
+    """
+    m, o = MODELS[model], options or FitOptions()
+    full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
+    keep = [c for c in fitted.columns if c not in ("signal", "f", "rss", "loglik")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = pdf["theta"].notna()
+            if not found.all():
+                yield pdf.loc[~found, keep].assign(rss=None, loglik=None)
+            pdf = pdf[found]
+            if not len(pdf):
+                continue
+            data, f = _batch(pdf, m)
+            data = data[:, : len(full)]
+            a = m.signal(np.stack(pdf["theta"].to_numpy()).astype(float), full, f, o)[:, : len(full)]
+            yield pdf[keep].assign(rss=((data - a) ** 2).sum(1), loglik=rice_loglik(data, a, pdf["sigma"].to_numpy(float)[:, None]).sum(1))
+
+    types = dict(fitted.dtypes)
+    return fitted.mapInPandas(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "rss double", "loglik double"]))
 
 
 def crlb(fitted: DataFrame, rows: list[tuple], model: str, rice: bool = True, options: FitOptions | None = None) -> DataFrame:
