@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspark.functions.columns import angles_to_unit
@@ -52,6 +52,20 @@ def dwi_long(spark: SparkSession, sf_dir: str, shells: tuple[float, ...] = (1000
     return t.select("scan_id", "vox", "x", "y", "z", "m", s.alias("s"))
 
 
+def _normal(*of: Column) -> tuple[Column, Column]:
+    """Two independent normal numbers that follow from the columns."""
+    u = [(F.pmod(F.xxhash64(F.lit(k), *of), F.lit(1 << 40)) + 0.5) / (1 << 40) for k in (1, 2)]
+    r = F.sqrt(-2 * F.ln(u[0]))
+    return r * F.cos(2 * math.pi * u[1]), r * F.sin(2 * math.pi * u[1])
+
+
+def rician(dwi_long: DataFrame, sigma: Column) -> DataFrame:
+    """Magnitudes of the signal with complex noise of that level; the same at every run."""
+    real, imaginary = _normal(F.col("vox").cast("bigint"), F.col("m").cast("bigint"))
+    s = F.col("s") + sigma * real
+    return dwi_long.withColumn("s", F.sqrt(s * s + sigma * sigma * imaginary * imaginary))
+
+
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4x4x4 voxels of each embedding."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("scan_id"), F.posexplode("embedding").alias("i", "v"))

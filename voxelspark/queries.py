@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -426,3 +427,53 @@ def j3(spark, d):
     theta0 = t.select("scan_id", "vox", F.array(*near).alias("theta"))
     out = P.derive_maps(P.fit_lsq(T.with_initialisation(dwi, theta0, ("scan_id", "vox")), TWO, "balland1stick"), "balland1stick")
     return out.select("vox", *_r("f_iso", digits=4), F.round(F.col("d") * 1000, 4).alias("d"), *_r("s0", digits=1), (F.col("start") == P.GIVEN).alias("given"))
+
+
+# noise
+
+
+@_query("m3_refine_noise", f"WITH {TRUTH} SELECT scan_id, 10 + 5 * scan_id AS sigma, true AS no_worse FROM truth GROUP BY scan_id")
+def m3(spark, d):
+    """Rician data of a known level for each scan; the level of every voxel is estimated with its parameters, from a start three times too high.
+
+    The maximum-likelihood estimate is low by sqrt(1 - parameters / measurements).
+    """
+    level = 10.0 + 5 * F.col("scan_id")
+    dwi = S.pack(X.rician(X.dwi_long(spark, d, (1000.0, 2000.0), perturbed=False), level), ("scan_id", "vox"))
+    fits = P.fit_lsq(dwi, TWO, "balland1stick").join(dwi, ["scan_id", "vox"]).withColumn("sigma", 3 * level)
+    before = P.fit_statistics(fits, TWO, "balland1stick").select("scan_id", "vox", F.col("loglik").alias("before"))
+    out = P.fit_ml(fits, TWO, "balland1stick", refine_noise=True).join(before, ["scan_id", "vox"])
+    low = math.sqrt(1 - 5 / len(TWO))
+    return out.groupBy("scan_id").agg((F.round(F.median("sigma") / low / 5) * 5).cast("bigint").alias("sigma"), F.bool_and(F.col("loglik") >= F.col("before")).alias("no_worse"))
+
+
+A7_SQL = f"""WITH {DWI}, p AS (
+  SELECT d.scan_id, d.vox, d.s AS x, t.s0 / 50 AS sigma, t.s0 * ((1 - fiso) * exp(-b * t.d * pow(gx * sin(th) * cos(ph) + gy * sin(th) * sin(ph) + gz * cos(th), 2)) + fiso * exp(-b * t.d)) AS a
+  FROM dwi d JOIN truth t ON d.vox = t.vox JOIN protocol USING (m)),
+z AS (SELECT *, x * a / (sigma * sigma) AS z FROM p)
+SELECT scan_id, vox, round(sum(pow(x - a, 2)), 4) AS rss, round(sum(ln(x) - 2 * ln(sigma) - pow(x - a, 2) / (2 * sigma * sigma) - 0.5 * ln(2 * pi() * z)
+  + ln(1 + 1 / (8 * z) + 9 / (128 * z * z) + 225 / (3072 * pow(z, 3)) + 11025 / (98304 * pow(z, 4)) + 893025 / (3932160 * pow(z, 5)))), 4) AS loglik
+FROM z GROUP BY scan_id, vox"""
+
+
+@_query("a7_fit_statistics", A7_SQL)
+def a7(spark, d):
+    """The true parameters against perturbed signals, at a signal-to-noise ratio of 50."""
+    t = X.voxel_truth(spark, d)
+    theta = t.select("scan_id", "vox", F.array("fiso", F.col("d") / 3e-3, "th", "ph", "s0").alias("theta"), (F.col("s0") / 50).alias("sigma"))
+    dwi = S.pack(X.dwi_long(spark, d), ("scan_id", "vox"))
+    return P.fit_statistics(dwi.join(theta, ["scan_id", "vox"]), ROWS, "balland1stick").select("scan_id", "vox", *_r("rss", "loglik", digits=4))
+
+
+A5_SQL = f"""WITH {FIT}
+SELECT scan_id, 'logtensor' AS option, round(median(noise), 6) AS noise FROM fit GROUP BY scan_id
+UNION ALL SELECT scan_id, 'lsqmodel', round(median(sqrt(noise * noise * 21 / (28 - 12))), 6) FROM fit GROUP BY scan_id
+UNION ALL SELECT DISTINCT scan_id, '2.5', 2.5::DOUBLE FROM fit"""
+
+
+@_query("a5_global_noise", A5_SQL)
+def a5(spark, d):
+    fit = _fit(spark, d).withColumn("rss", F.col("noise") * F.col("noise") * 21)
+    levels = S.global_levels(fit)
+    each = [S.global_noise(fit, o, 28, 12, levels).select("scan_id", F.lit(o).alias("option"), *_r("noise")) for o in ("logtensor", "lsqmodel", "2.5")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
