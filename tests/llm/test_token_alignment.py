@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxelspark.llm import token_alignment as T
@@ -68,14 +69,43 @@ def test_against_whole_texts(spark):
     assert got(spark, rows) == sorted(brute(rows), key=repr)
 
 
-def test_salts_small_heaps_and_flushes(spark, monkeypatch):
-    """Many runs for each radix, merged in several rounds and by several salts, sums sent in parts."""
-    for name, value in (("RUNS", 2), ("FAN", 2), ("_SLICE", 400), ("_KNOWN", 5), ("_PIECES", 7), ("_JOIN", 3)):
-        monkeypatch.setattr(T, name, value)
+def test_salts(spark, monkeypatch):
+    """Runs of one radix by several salts, fewer tasks than salts and sides."""
+    monkeypatch.setattr(T, "RUNS", 2)
+    monkeypatch.setattr(T, "SIDES", 3)
     rows = list(enumerate(texts(120, 3)))
     assert got(spark, rows, 3) == sorted(brute(rows), key=repr)
 
 
+def test_small_slices_heaps_and_flushes(monkeypatch):
+    """The tasks' own functions, one after the other in this process, with bounds so small that each is met."""
+    for name, value in (("FAN", 2), ("_SLICE", 400), ("_KNOWN", 5), ("_PIECES", 7), ("_JOIN", 3), ("_SUMS", 40), ("_ROWS", 20)):
+        monkeypatch.setattr(T, name, value)
+    rows = list(enumerate([*texts(120, 3), None, "", "a" * 1000, " b" * 900, "x▁y"]))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    spill = [r for b in T._spill(T.default_models())(iter([batch])) for r in b.to_pylist()]
+    docs, runs = {(r["run"], r["local"]): r for r in spill if r["local"] is not None}, [r for r in spill if r["local"] is None]
+    assert len({r["run"] for r in runs}) > 10
+
+    def batches(found, schema, size=7):
+        return iter([pa.RecordBatch.from_pylist(found[k : k + size], schema) for k in range(0, len(found), size)])
+
+    schema = pa.schema([("radix", pa.int32()), ("salt", pa.int32()), ("run", pa.int64()), ("docs", pa.int32()), ("heads", pa.binary()), ("tails", pa.binary())])
+    held = [{**r, "salt": r["run"] % 2} for r in runs]
+    counts = [r for b in T._count(False)(batches(sorted(held, key=lambda r: (r["radix"], r["salt"])), schema)) for r in b.to_pylist()]
+    counts = [r for b in T._count(True)(batches([{**r, "salt": 0} for r in counts], schema)) for r in b.to_pylist()]
+    assert len(counts) == len({r["radix"] for r in runs})
+    stream = [{**r, "salt": k, "run": None, "docs": 0, "tails": None} for r in counts for k in (0, 1)] + held
+    stream.sort(key=lambda r: (r["salt"], r["radix"], r["run"] is not None))
+    sums = Counter()
+    for b in T._send_back(batches(stream, schema)):
+        for r in b.to_pylist():
+            sums[r["run"], r["local"], "n_best"] += r["n_best"]
+            sums[r["run"], r["local"], "count_sum"] += r["count_sum"]
+    out = [(r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"], sums[(*k, "n_best")], sums[(*k, "count_sum")]) for k, r in docs.items()]
+    assert sorted(out) == sorted(brute(rows))
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     rows = [(None, "a b"), (None, "a b"), (1, "a b"), (1, "a c"), *[(2, "the same text")] * 60]
     assert got(spark, rows) == sorted(brute(rows), key=repr)

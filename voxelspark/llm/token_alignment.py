@@ -7,10 +7,12 @@ A id first, each with the documents that hold it, compressed with zstd. That
 table is the spill. Counting reads the heads of the runs only (pairs and their
 number of documents): runs of a radix wait in a heap by size and the smallest
 are merged, FAN at a time; the merged order is by A id, so one pass over it
-gives each A id's highest count. Then the runs of each radix stream past those
-counts, and what each link adds to its document is summed per task and sent
-back. A slice meets the counts in its own row, so no id and no document gathers
-rows: a frequent id is a longer stretch of many runs.
+gives each A id's highest count. Then the runs stream past those counts, and
+what each link adds to its document is summed per task and sent back. A task of
+that step takes the runs of some slices (their salt) and of a SIDES-th of the
+radixes, so a document gets SIDES sums, however many tasks there are. A slice
+meets the counts in its own row, so no id and no document gathers rows: a
+frequent id is a longer stretch of many runs.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .common import documents, read, table
 from .pieces import Pool, distinct, gather
 from .words import text_slices
 
-RADIX, FAN, RUNS = 256, 64, 32_768
+RADIX, FAN, RUNS, SIDES = 256, 64, 32_768, 8
 _SLICE, _ROWS, _KNOWN, _SUMS, _JOIN, _PIECES = 1 << 22, 1 << 15, 1 << 18, 1 << 22, 1024, 1 << 22
 _models: dict[tuple[str, str], "Aligner"] = {}
 _SPILL = "run long, local int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, radix int, docs int, heads binary, tails binary"
@@ -358,9 +360,9 @@ def alignment(docs: DataFrame, models: tuple[str, str] | None = None) -> DataFra
     spark = docs.sparkSession
     spill = table(documents(docs).mapInArrow(_spill(models or default_models()), _SPILL))
     held = spill.where("radix is not null").select("run", "radix", "docs", "heads", "tails")
-    salts = max(1, math.ceil(held.where("radix = 0").count() / RUNS))
-    salt = F.pmod("run", F.lit(salts)).cast("int")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(math.ceil(tasks / SIDES), math.ceil(held.where("radix = 0").count() / RUNS))
+    salt = F.pmod("run", F.lit(salts)).cast("int")
 
     def dealt(df: DataFrame, n: int) -> DataFrame:
         """Rows of one radix and salt together; radixes are dealt out evenly."""
@@ -371,7 +373,8 @@ def alignment(docs: DataFrame, models: tuple[str, str] | None = None) -> DataFra
     counts = dealt(counts.withColumn("salt", F.lit(0)), 1).sortWithinPartitions("radix", "salt").mapInArrow(_count(True), heads)
     first = counts.select("radix", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("run"), F.lit(0).alias("docs"), "heads", F.lit(None).cast("binary").alias("tails"))
     stream = first.unionByName(held.withColumn("salt", salt))
-    stream = dealt(stream, salts).sortWithinPartitions("radix", "salt", F.col("run").isNotNull())
+    stream = stream.repartitionById(tasks, F.pmod(F.col("salt") * SIDES + F.pmod("radix", F.lit(SIDES)), F.lit(tasks)))
+    stream = stream.sortWithinPartitions("salt", "radix", F.col("run").isNotNull())
     sums = stream.mapInArrow(_send_back, "run long, local int, n_best long, count_sum long").groupBy("run", "local").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     rows = spill.where("local is not null").select("run", "local", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_best", "count_sum")]
