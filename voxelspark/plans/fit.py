@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.operators.blocks import AXES, Size, block_sweep, laplacian
+from voxelspark.operators.grid import laplacian_penalty
 from voxelspark.operators.signals import log_linear_operator
 from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian
 from voxelspark.plans.rice import bessel_ratio, log_rice_logsigma, rice_information, rice_information_joint, rice_loglik
@@ -316,6 +318,97 @@ def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions
     return fitted.mapInPandas(run, ", ".join([*[f"`{c}` {'double' if c == 'sigma' else types[c]}" for c in keep], "theta array<double>", "loglik double"]))
 
 
+def _noise_block(m: Model, full: np.ndarray, o: FitOptions, weight: float, steps: int):
+    """Solver of a block for regularise_noise: damped scoring steps on all of its voxels, coupled by their noise."""
+    n = len(full)
+
+    def solve(block: pd.DataFrame, own: np.ndarray) -> pd.DataFrame:
+        at = block[list(AXES)].to_numpy()
+        l = laplacian(at)  # noqa: E741
+        touched = np.abs(l[:, own]).sum(1) > 0  # sums that the block's noise is part of
+        l_own, sigma = l[np.ix_(touched, own)], block["sigma"].to_numpy(float)
+        data, f = _batch(block[own], m)
+        theta = np.stack(block.loc[own, "theta"].to_numpy()).astype(float)
+        x = np.column_stack([bound(theta, m), np.log(sigma[own])])
+
+        def value(x: np.ndarray) -> float:
+            a = m.signal(unbound(x[:, :-1], m), full, f, o)
+            out = -rice_loglik(data[:, :n], a[:, :n], np.exp(x[:, -1:])).sum()
+            out += ((a[:, n:] - data[:, n:]) ** 2).sum() / (2 * o.prior_noise**2)
+            s = sigma.copy()
+            s[own] = np.exp(x[:, -1])
+            return out + weight / 2 * ((l[touched] @ s) ** 2).sum()
+
+        best, damp = value(x), 1e-3
+        for _ in range(steps):
+            t, s = unbound(x[:, :-1], m), x[:, -1:]
+            a = m.signal(t, full, f, o)
+            j = jacobian(m, t, full, f, o) * _slopes(x[:, :-1], m)[:, None, :]
+            _, of_a, of_s, *_ = log_rice_logsigma(data[:, :n], a[:, :n], s)
+            e = np.exp(s)
+            aa, as_, ss = rice_information_joint(a[:, :n] / e)
+            pull = np.concatenate([of_a, (data[:, n:] - a[:, n:]) / o.prior_noise**2], axis=1)
+            heavy = np.concatenate([aa / e**2, np.full((len(x), m.pseudo), 1 / o.prior_noise**2)], axis=1)
+            g, h = np.einsum("vmi,vm->vi", j, pull), np.einsum("vmi,vm,vmj->vij", j, heavy, j)
+            cross = np.einsum("vmi,vm->vi", j[:, :n], np.where(a[:, :n] < 0, -as_, as_) / e)
+            own_s = sigma.copy()
+            own_s[own] = e[:, 0]
+            bend = weight * (l_own * e[:, 0]).T
+            pull_s, heavy_s = of_s.sum(1) - bend @ (l[touched] @ own_s), bend @ (l_own * e[:, 0])
+            while damp < 1e10:
+                diag = np.einsum("vii->vi", h)
+                solved = np.linalg.solve(h + np.einsum("vi,ij->vij", diag * damp + 1e-12 * diag.max(1, keepdims=True) + 1e-300, np.eye(m.n)), np.stack([g, cross], 2))
+                left = np.diag(ss.sum(1) * (1 + damp) - (cross * solved[:, :, 1]).sum(1)) + heavy_s + damp * np.diag(np.diag(heavy_s))
+                ds = np.linalg.solve(left, pull_s - (cross * solved[:, :, 0]).sum(1))
+                new = x + np.clip(np.column_stack([solved[:, :, 0] - solved[:, :, 1] * ds[:, None], ds]), -2 * np.maximum(1, np.abs(x)), 2 * np.maximum(1, np.abs(x)))
+                after = value(new)
+                if after <= best:
+                    break
+                damp *= 10
+            else:
+                break
+            moved, x, best, damp = best - after, new, after, damp / 10
+            if moved < 1e-9 * max(1.0, abs(best)):
+                break
+        out = block[own].copy()
+        out["theta"], out["sigma"] = list(unbound(x[:, :-1], m).tolist()), np.exp(x[:, -1])
+        return out
+
+    return solve
+
+
+def regularise_noise(fitted: DataFrame, rows: list[tuple], model: str, weight: float, size: Size = (8, 8, 8), sweeps: int = 5, steps: int = 10, tolerance: float = 1e-6, options: FitOptions | None = None) -> tuple[DataFrame, list[float]]:
+    """Rice maximum likelihood of theta and a noise field that is smooth in space, by block sweeps.
+
+    The objective is minus the log likelihood of all voxels plus weight / 2
+    times the squared Laplacian of sigma (see laplacian_penalty). fitted has
+    scan_id, x, y, z, signal, theta, sigma (and f); voxels with a null theta
+    take no part and are not returned. Within a block all voxels move
+    together: theta is taken out voxel by voxel, what is left couples the
+    noise of the block. Sweeps end when the objective falls by less than
+    `tolerance` of itself. Returns the voxels with new theta, sigma, rss and
+    loglik (pseudo-data left out; no signal), and the objective over all scans
+    before the first and after each sweep; with pseudo-data it leaves them out.
+    """
+    m, o = MODELS[model], options or FitOptions()
+    full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
+    state = fitted.where("theta is not null").withColumn("sigma", F.col("sigma").cast("double"))
+    keep = [c for c in state.columns if c not in ("rss", "loglik")]
+    state = state.select(*keep)
+
+    def objective(df: DataFrame) -> float:
+        fit = fit_statistics(df, rows, model, o).agg(F.sum("loglik")).first()[0] or 0.0
+        bend = laplacian_penalty(df.select("scan_id", *AXES, F.col("sigma").alias("v"))).agg(F.sum("penalty")).first()[0] or 0.0
+        return weight * bend - fit
+
+    history, out = [objective(state)], state
+    for k, out in enumerate(block_sweep(state, _noise_block(m, full, o, weight, steps), size, 2)):
+        history.append(objective(out))
+        if k + 1 >= sweeps or history[-2] - history[-1] <= tolerance * abs(history[-1]):
+            break
+    return fit_statistics(out, rows, model, o), history
+
+
 def fit_statistics(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None) -> DataFrame:
     """rss and Rice log likelihood of each voxel's theta at its sigma, pseudo-data left out; null where theta is null.
 

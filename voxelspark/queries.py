@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspark.functions import columns as C
+from voxelspark.operators import blocks as B
 from voxelspark.operators import grid as G
 from voxelspark.operators import signals as S
 from voxelspark.plans import fit as P
@@ -477,3 +478,40 @@ def a5(spark, d):
     levels = S.global_levels(fit)
     each = [S.global_noise(fit, o, 28, 12, levels).select("scan_id", F.lit(o).alias("option"), *_r("noise")) for o in ("logtensor", "lsqmodel", "2.5")]
     return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+# block sweeps
+
+
+_COSINES = """k AS (SELECT unnest(range(4)) AS k), n AS (SELECT unnest(range(4)) AS n),
+  c AS (SELECT k, n, cos(pi() * k * (n + 0.5) / 4) / sqrt(CASE WHEN k = 0 THEN 4 ELSE 2 END) AS c, 2 - 2 * cos(pi() * k / 4) AS mu FROM k, n),
+  line AS (SELECT a.k, a.n AS n, b.n AS m, a.c * b.c AS w, a.mu FROM c a JOIN c b ON a.k = b.k),
+  plane AS (SELECT p.n AS x, p.m AS x2, q.n AS y, q.m AS y2, p.mu + q.mu AS mu, p.w * q.w AS w FROM line p, line q),
+  kernel AS (SELECT x, x2, y, y2, r.n AS z, r.m AS z2, sum(plane.w * r.w / (1 + 0.05 * (plane.mu + r.mu))) AS w FROM plane, line r GROUP BY ALL)"""
+W6_SQL = f"""WITH {VOLUME}, {_COSINES}
+SELECT scan_id, kernel.x::INT AS x, kernel.y::INT AS y, kernel.z::INT AS z, round(sum(w * v), 6) AS v
+FROM vol JOIN kernel ON vol.x = x2 AND vol.y = y2 AND vol.z = z2 GROUP BY ALL"""
+
+
+@_query("w6_smooth_field", W6_SQL)
+def w6(spark, d):
+    """Cubes stand behind one another along z with a gap between them, five rows of cubes; blocks of two colours cut most of them. The SQL has each cube's solution in cosines."""
+    i = F.col("scan_id")
+    row = X.volume(spark, d).select((i % 5).alias("scan_id"), "x", "y", (F.col("z") + 5 * F.floor(i / 5)).cast("int").alias("z"), "v")
+    out = B.smooth_field(row, 0.05, (8, 8, 18), tolerance=1e-8)
+    z = F.col("z")
+    return out.select((i + 5 * F.floor(z / 5)).alias("scan_id"), "x", "y", (z % 5).cast("int").alias("z"), F.round("v", 6).alias("v"))
+
+
+@_query("m4_regularise_noise", f"WITH {TRUTH} SELECT scan_id, 10 + 5 * scan_id AS sigma, true AS smoother, true AS falls FROM truth GROUP BY scan_id")
+def m4(spark, d):
+    """As m3_refine_noise, with a noise field that is smooth in space."""
+    level = 10.0 + 5 * F.col("scan_id")
+    dwi = S.pack(X.rician(X.dwi_long(spark, d, (1000.0, 2000.0), perturbed=False), level), ("scan_id", "x", "y", "z"))
+    fits = P.fit_lsq(dwi, TWO, "balland1stick").join(dwi, ["scan_id", "x", "y", "z"]).withColumn("sigma", 1.5 * level)
+    alone = P.fit_ml(fits, TWO, "balland1stick", refine_noise=True).groupBy("scan_id").agg(F.stddev("sigma").alias("rough"))
+    out, history = P.regularise_noise(fits, TWO, "balland1stick", 0.01, sweeps=2)
+    falls = all(b <= a for a, b in zip(history, history[1:]))
+    low = math.sqrt(1 - 5 / len(TWO))
+    per_scan = out.groupBy("scan_id").agg((F.round(F.median("sigma") / low / 5) * 5).cast("bigint").alias("sigma"), F.stddev("sigma").alias("smooth"))
+    return per_scan.join(alone, "scan_id").select("scan_id", "sigma", (F.col("smooth") < F.col("rough")).alias("smoother"), F.lit(falls).alias("falls"))
