@@ -40,7 +40,7 @@ def test_jacobian_against_differences(name):
         assert np.abs(d - j[:, :, k]).max() < 1e-4 * max(1, np.abs(d).max())
 
 
-@pytest.mark.parametrize("name", [m for m in sorted(MODELS) if m not in ("exponential_decay", "constant")])
+@pytest.mark.parametrize("name", [m for m in sorted(MODELS) if m not in ("exponential_decay", "complex_decay", "linear_phase", "spoiled_echo", "constant")])
 def test_fits_reach_the_data(name):
     m = MODELS[name]
     t, p = theta_for(m, 30), np.concatenate([P4] * m.times)

@@ -167,6 +167,23 @@ def _decay(t, p, f, o):
     return _col(t, 0) * np.exp(-p[:, 0] * _col(t, 1))
 
 
+def _complex_decay(t, p, f, o):
+    """A exp(-TE R2) turned by an angle that grows with the echo time: real parts, then imaginary parts."""
+    size, turn = _decay(t, p, f, o), _turn(t[:, 2:], p, f, o)
+    return np.concatenate([size * np.cos(turn), size * np.sin(turn)], axis=1)
+
+
+def _turn(t, p, f, o):
+    """A phase that is linear in the echo time."""
+    return _col(t, 0) + p[:, 0] * _col(t, 1)
+
+
+def _spoiled_echo(t, p, f, o):
+    """Steady state of a spoiled gradient echo: A sin(flip) (1 - E) / (1 - E cos(flip)), E = exp(-TR R1). TR stands in the b column, the flip angle in gx."""
+    e = np.exp(-p[:, 0] * _col(t, 1))
+    return _col(t, 0) * np.sin(p[:, 1]) * (1 - e) / (1 - e * np.cos(p[:, 1]))
+
+
 def _constant(t, p, f, o):
     return _col(t, 0) + 0 * p[:, 0]
 
@@ -192,6 +209,9 @@ MODELS: dict[str, Model] = {
         Model("balland2sticks_3timepoints", _with_prior(_times(3), 12), 16, (0, 1, 2, 4, 5, 6, 8, 9, 10), (12, 13, 14, 15), (3, 7, 11), pseudo=2, times=3, n_fields=6),
         Model("balland2sticks_3timepoints_noprior", _times(3), 16, (0, 1, 2, 4, 5, 6, 8, 9, 10), (12, 13, 14, 15), (3, 7, 11), times=3),
         Model("exponential_decay", _decay, 2, (), (), (0,)),
+        Model("complex_decay", _complex_decay, 4, (), (2,), (0,)),
+        Model("linear_phase", _turn, 2, (), (0,), ()),
+        Model("spoiled_echo", _spoiled_echo, 2, (), (), (0,)),
         Model("constant", _constant, 1, (), (), (0,)),
     )
 }

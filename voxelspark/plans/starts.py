@@ -29,8 +29,12 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
     size = np.sqrt((a * a).sum(1))
     scale = np.where(size > 0, size, 1.0)
     a = a / scale[:, None, :]
-    g, c = np.einsum("vmi,vmj->vij", a, a), np.einsum("vmi,vm->vi", a, b)
-    n = a.shape[2]
+    return nnls_normal(np.einsum("vmi,vmj->vij", a, a), np.einsum("vmi,vm->vi", a, b), tolerance) / scale
+
+
+def nnls_normal(g: np.ndarray, c: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """x >= 0 that minimises x g x / 2 - c x for each voxel, g with a diagonal about 1; see nnls."""
+    n = c.shape[1]
     x, free = np.zeros(c.shape), np.zeros(c.shape, bool)
     limit, eye = tolerance * np.maximum(np.abs(c).max(1), 1e-300), np.eye(n)
     open_ = np.arange(len(c))
@@ -62,7 +66,7 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
             gone = bad & (old <= 1e-15 * np.maximum(np.abs(old).max(1, keepdims=True), 1))
             free[held] &= ~gone
             x[held] = np.where(free[held], np.maximum(old, 0), 0)
-    return x / scale
+    return x
 
 
 def _polar(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from voxelspark.operators import grid as G
 from voxelspark.operators import signals as S
 from voxelspark.plans import fit as P
 from voxelspark.plans import fixtures as X
+from voxelspark.plans import general as GF
 from voxelspark.plans import starts as T
 from voxelspark.sources import scans as R
 
@@ -515,3 +516,79 @@ def m4(spark, d):
     low = math.sqrt(1 - 5 / len(TWO))
     per_scan = out.groupBy("scan_id").agg((F.round(F.median("sigma") / low / 5) * 5).cast("bigint").alias("sigma"), F.stddev("sigma").alias("smooth"))
     return per_scan.join(alone, "scan_id").select("scan_id", "sigma", (F.col("smooth") < F.col("rough")).alias("smoother"), F.lit(falls).alias("falls"))
+
+
+# fits with a likelihood of choice: decays with the diffusivity as rate
+
+
+_ECHOES = [(i, 100.0 * i, 0.0, 0.0, 0.0) for i in range(16)]
+_TYPES = {"real": "exponential_decay", "magnitude": "exponential_decay", "robust": "exponential_decay", "complex": "complex_decay", "phase": "linear_phase"}
+
+
+def _decays(spark, d, kind):
+    """Noise-free signals over 16 echo times, those of the robust type with an outlier; starts are some way off."""
+    t = X.voxel_truth(spark, d)
+    te = F.array(*[F.lit(r[1]) for r in _ECHOES])
+    size = lambda e: F.col("s0") * F.exp(-e * F.col("d"))
+    turn = lambda e: F.col("ph") + e * F.col("th") / 500
+    if kind == "complex":
+        signal = C.complex_to_real(F.transform(te, lambda e: size(e) * F.cos(turn(e))), F.transform(te, lambda e: size(e) * F.sin(turn(e))))
+    elif kind == "phase":  # wrapped
+        signal = F.transform(te, lambda e: F.atan2(F.sin(turn(e)), F.cos(turn(e))))
+    else:
+        signal = F.transform(te, size)
+    if kind == "robust":
+        signal = F.transform(signal, lambda s, i: F.when(i == F.col("vox") % 16, s + 5 * F.col("s0")).otherwise(s))
+    near = [F.col("s0") * 1.1, F.col("d") * 1.1]
+    angles = [F.col("ph") + 0.1, F.col("th") / 500 + 1e-5]
+    theta = {"complex": near + angles, "phase": angles}.get(kind, near)
+    return t.select("scan_id", "vox", signal.alias("signal"), F.array(*theta).alias("theta"))
+
+
+def _m5_sql(kind):
+    angles = f"round(ph, 3) AS ph, round(th, {2 if kind == 'phase' else 3}) AS th"
+    return f"WITH {TRUTH} SELECT vox, " + {"complex": "round(s0, 2) AS s0, round(d * 1000, 4) AS d, " + angles, "phase": angles}.get(kind, "round(s0, 1) AS s0, round(d * 1000, 3) AS d") + " FROM truth"
+
+
+def _m5(kind):
+    def query(spark, d):
+        dwi = _decays(spark, d, kind)
+        if kind == "robust":  # from a level at which only the outlier is in the tails down to the one of the others
+            dwi = GF.fit_general(dwi, _ECHOES, _TYPES[kind], kind, sigma=50.0)
+        out = GF.fit_general(dwi, _ECHOES, _TYPES[kind], kind, sigma=0.05 if kind == "magnitude" else 1.0)
+        if kind == "robust":
+            out = GF.fit_general(out, _ECHOES, _TYPES[kind], kind, sigma=0.01)
+        t = F.col("theta")
+        first = 2 if kind == "complex" else 0
+        angles = [F.round(t[first], 3).alias("ph"), F.round(t[first + 1] * 500, 2 if kind == "phase" else 3).alias("th")]
+        digits = (2, 4) if kind == "complex" else (1, 3)
+        sizes = [F.round(t[0], digits[0]).alias("s0"), F.round(t[1] * 1000, digits[1]).alias("d")]
+        return out.select("vox", *{"complex": sizes + angles, "phase": angles}.get(kind, sizes))
+
+    return query
+
+
+for _kind in _TYPES:
+    _query(f"m5_fit_{_kind}", _m5_sql(_kind))(_m5(_kind))
+
+
+@_query("m5_noise_loop", f"WITH {TRUTH} SELECT scan_id, 10 + 5 * scan_id AS sigma, true AS within FROM truth GROUP BY scan_id")
+def m5_noise(spark, d):
+    """Rician decays; the level of each scan is estimated and the fit repeated until they agree."""
+    level = 10.0 + 5 * F.col("scan_id")
+    long = _decays(spark, d, "magnitude").select("scan_id", "vox", F.posexplode("signal").alias("m", "s"))
+    starts = _decays(spark, d, "magnitude").select("scan_id", "vox", "theta")
+    dwi = S.pack(X.rician(long, level), ("scan_id", "vox")).join(starts, ["scan_id", "vox"])
+    out = GF.fit_general(dwi, _ECHOES, "exponential_decay", "magnitude")
+    residual = F.median(F.sqrt(F.col("rss") / 14))
+    return out.groupBy("scan_id").agg((F.round(residual / 5) * 5).cast("bigint").alias("sigma"), (F.max("sigma") / residual).between(0.8, 1.25).alias("within"))
+
+
+@_query("m7_constraints", f"WITH {TRUTH} SELECT vox, round(CASE WHEN d > 0.0015 THEN 0.0015::DOUBLE ELSE d END * 1000, 3) AS d, d > 0.0015 AS met, d <= 0.0015 AS free FROM truth")
+def m7(spark, d):
+    """Rates of at most 0.0015: a voxel with a larger one ends on that limit, the others at their own rate, off the limit."""
+    dwi = _decays(spark, d, "real")
+    limits = GF.Constraints(lower=(0.0, 0.0), a=((0.0, 1.0),), b=(0.0015,))
+    out = GF.fit_general(dwi, _ECHOES, "exponential_decay", "real", sigma=1.0, constraints=limits)
+    rate = F.col("theta")[1]
+    return out.select("vox", F.round(rate * 1000, 3).alias("d"), (F.abs(rate - 0.0015) < 1e-9).alias("met"), (rate < 0.0015 - 1e-9).alias("free"))
