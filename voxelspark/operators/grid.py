@@ -214,3 +214,65 @@ def apodize(df: DataFrame, size: tuple[int, int], width: tuple[float, float], ki
     rows = df.select("scan_id", *AXES, *by, F.col(value).cast("double").alias(value))
     out = rows.groupBy("scan_id", "z", *by).applyInPandas(one, rows.schema)
     return gauss_blur(out, (0, 0, sigma_z), value) if sigma_z > 0 else out
+
+
+def spectral_matrix(n: int, new: int, shift: float = 0.0, compensate: bool = False) -> np.ndarray:
+    """Real matrix (new, n) that resamples a periodic line by its spectrum.
+
+    Frequencies are cut off or filled with zeros. An even length has one line
+    for its highest frequency: it is split in two halves when the line gets
+    longer, and both parts meet in it when the new length is even and shorter.
+    shift moves the line to higher positions, in old samples. compensate makes
+    up for linear interpolation on the new samples.
+    """
+    k = np.arange(n)
+    signed = np.where(k < (n + 1) // 2, k, k - n)
+    f = np.fft.fft(np.eye(n), axis=0) * np.exp(-2j * np.pi * signed * shift / n)[:, None]
+    if compensate:
+        with np.errstate(divide="ignore"):
+            weight = 1 / np.sinc(np.minimum(k, n - k) / new) ** 2
+        f = f * np.where(np.isfinite(weight), weight, 0)[:, None]
+    out = np.zeros((new, n), complex)
+    short = min(n, new)
+    for q in range(-((short - 1) // 2), (short - 1) // 2 + 1):
+        out[q % new] = f[q % n]
+    if short % 2 == 0:
+        h = short // 2
+        if new > n:
+            out[h], out[-h] = f[h] / 2, f[h] / 2
+        elif new < n:
+            out[h] = f[h] + f[-h]
+        else:
+            out[h] = f[h]
+    return (np.fft.ifft(out, axis=0) * (new / n)).real
+
+
+def fft_resample(df: DataFrame, size: tuple[int, int, int], new: tuple[int, int, int], shift: tuple[float, float, float] = (0.0, 0.0, 0.0), compensate: bool = False, by: tuple[str, ...] = (), value: str = "v") -> DataFrame:
+    """Volumes of `size` voxels on a grid of `new` voxels, axis by axis; see spectral_matrix.
+
+    An axis that keeps its size and is not shifted is left alone. Lines, not
+    volumes, are gathered: one shuffle for each changed axis, and a batch of
+    lines is one matrix product. Voxels that are not there, null or not finite
+    count as 0. Returns scan_id, x, y, z, `by` and the value, for all lines
+    that hold a voxel.
+    """
+    rows = df.select("scan_id", *AXES, *by, F.col(value).cast("double").alias(value))
+    for a, n, m, s in zip(AXES, size, new, shift):
+        if n == m and s == 0:
+            continue
+        matrix = spectral_matrix(n, m, s, compensate and n != m)
+        others = [c for c in rows.columns if c not in (a, value)]
+        lines = rows.groupBy(*others).agg(F.collect_list(F.struct(a, value)).alias("_line"))
+        of = F.map_from_entries("_line")
+        line = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at(of, i), F.lit(0.0)))  # noqa: B023
+        types = dict(rows.dtypes)
+
+        def turned(batches, matrix=matrix, others=others):
+            for pdf in batches:
+                if len(pdf):
+                    data = np.nan_to_num(np.stack(pdf["_line"].to_numpy()).astype(float), nan=0.0, posinf=0.0, neginf=0.0)
+                    yield pdf[others].assign(_line=list(data @ matrix.T))
+
+        lines = lines.select(*others, line.alias("_line")).mapInPandas(turned, ", ".join([*[f"`{c}` {types[c]}" for c in others], "_line array<double>"]))
+        rows = lines.select(*others, F.posexplode("_line").alias(a, value))
+    return rows.select("scan_id", *AXES, *by, value)

@@ -592,3 +592,20 @@ def m7(spark, d):
     out = GF.fit_general(dwi, _ECHOES, "exponential_decay", "real", sigma=1.0, constraints=limits)
     rate = F.col("theta")[1]
     return out.select("vox", F.round(rate * 1000, 3).alias("d"), (F.abs(rate - 0.0015) < 1e-9).alias("met"), (rate < 0.0015 - 1e-9).alias("free"))
+
+
+# resampling in frequency space: x to six voxels with a quarter's shift, y to three, z to two with compensation
+
+
+W5_SQL = f"""WITH {VOLUME}, n AS (SELECT unnest(range(4)) AS n),
+kx AS (SELECT m, n, (1 + 2 * cos(2 * pi() * (m / 6 - (n + 0.25) / 4)) + cos(2 * pi() * m / 3) * cos(pi() / 4) * (1 - 2 * (n % 2))) / 4 AS w FROM (SELECT unnest(range(6)) AS m), n),
+ky AS (SELECT m, n, (1 + 2 * cos(2 * pi() * (m / 3 - n / 4))) / 4 AS w FROM (SELECT unnest(range(3)) AS m), n),
+kz AS (SELECT m, n, (1 + 2 * cos(pi() * n / 2) * (1 - 2 * (m % 2)) * pi() * pi() / 4) / 4 AS w FROM (SELECT unnest(range(2)) AS m), n)
+SELECT scan_id, kx.m::INT AS x, ky.m::INT AS y, kz.m::INT AS z, round(sum(kx.w * ky.w * kz.w * v), 8) AS v
+FROM vol JOIN kx ON vol.x = kx.n JOIN ky ON vol.y = ky.n JOIN kz ON vol.z = kz.n GROUP BY ALL"""
+
+
+@_query("w5_fft_resample", W5_SQL)
+def w5(spark, d):
+    flat = G.fft_resample(X.volume(spark, d), (4, 4, 4), (6, 3, 4), (0.25, 0.0, 0.0))
+    return G.fft_resample(flat, (6, 3, 4), (6, 3, 2), compensate=True).select("scan_id", "x", "y", "z", F.round("v", 8).alias("v"))
