@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxelspark.operators.blocks import AXES, Size, block_sweep, laplacian
 from voxelspark.operators.grid import laplacian_penalty
 from voxelspark.operators.signals import log_linear_operator
+from voxelspark.plans.maps import derive_maps as derive_maps
 from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian
 from voxelspark.plans.rice import bessel_ratio, log_rice_logsigma, rice_information, rice_information_joint, rice_loglik
 from voxelspark.plans.starts import candidates, given_starts, rank_starts
@@ -467,33 +468,6 @@ def crlb(fitted: DataFrame, rows: list[tuple], model: str, rice: bool = True, op
     return fitted.mapInPandas(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "crlb array<double>"]))
 
 
-def derive_maps(fitted: DataFrame, model: str, options: FitOptions | None = None) -> DataFrame:
-    """Maps of a stored theta (column expressions only): S0, fractions, diffusivities, directions, by model family."""
-    from voxelspark.functions import columns as C
-
-    o, t = options or FitOptions(), F.col("theta")
-    if model == "balland1stick":
-        maps = {"f_iso": t[0], "f1": 1 - t[0], "d": t[1] * o.d_max, "s0": t[4], "v1": C.angles_to_unit(t[2], t[3])}
-    elif model == "st_original":
-        l1, l2, l3 = (t[i] * o.d_max for i in (3, 4, 5))
-        frame = C.angles_to_frame(t[0], t[1], t[2])
-        pairs = C.sort_pairs([l1, l2, l3], [frame[0], frame[1], frame[2]])
-        maps = {"s0": t[6], "fa": C.fractional_anisotropy(l1, l2, l3), "md": C.mean_diffusivity(l1, l2, l3), "l1": pairs[0]["l"], "l2": pairs[1]["l"], "l3": pairs[2]["l"], "v1": pairs[0]["v"]}
-    elif model in ("balland2sticks", "balland2sticks_orientationprior"):
-        fr = C.fractions(t[0], t[1])
-        v1, v2 = C.angles_to_unit(t[3], t[4]), C.angles_to_unit(t[5], t[6])
-        swap = (fr["f1"] < fr["f2"]) if model == "balland2sticks" else F.lit(False)
-        maps = {"f_iso": fr["f_iso"], "f1": F.when(swap, fr["f2"]).otherwise(fr["f1"]), "f2": F.when(swap, fr["f1"]).otherwise(fr["f2"]), "d": t[2] * o.d_max, "s0": t[7], "v1": F.when(swap, v2).otherwise(v1), "v2": F.when(swap, v1).otherwise(v2)}
-    elif model in ("stv1", "stv2"):
-        k = 1 if model == "stv1" else 0
-        par = t[k] * o.d_max
-        perp = t[k + 1] * par
-        maps = {"f_iso": t[0] if k else F.lit(0.0), "s0": t[k + 4], "ad": par, "rd": perp, "fa": C.fractional_anisotropy(par, perp, perp), "md": C.mean_diffusivity(par, perp, perp), "v1": C.angles_to_unit(t[k + 2], t[k + 3])}
-    else:
-        raise ValueError(f"no maps for {model}")
-    return fitted.select(*fitted.columns, *[e.alias(n) for n, e in maps.items()])
-
-
 def check_jacobian(dwi_theta: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None, step: float = 1e-6) -> DataFrame:
     """Largest difference of the Jacobian to central differences, for each parameter."""
     m, o = MODELS[model], options or FitOptions()
@@ -513,3 +487,18 @@ def check_jacobian(dwi_theta: DataFrame, rows: list[tuple], model: str, options:
                 yield pd.DataFrame({"parameter": [k], "difference": [float(np.abs(d - j[:, :, k]).max())]})
 
     return dwi_theta.mapInPandas(run, "parameter int, difference double").groupBy("parameter").agg(F.max("difference").alias("difference"))
+
+
+def simulate(theta: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None) -> DataFrame:
+    """Noise-free signal of each voxel's theta (and f): all columns, then signal; pseudo-data are left out."""
+    m, o = MODELS[model], options or FitOptions()
+    full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
+    n = len(full) * (2 if model == "complex_decay" else 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                f = np.stack(pdf["f"].to_numpy()).astype(float) if "f" in pdf else np.zeros((len(pdf), max(6, m.n_fields)))
+                yield pdf.assign(signal=list(m.signal(np.stack(pdf["theta"].to_numpy()).astype(float), full, f, o)[:, :n].tolist()))
+
+    return theta.mapInPandas(run, ", ".join([*[f"`{c}` {k}" for c, k in theta.dtypes], "signal array<double>"]))

@@ -108,6 +108,7 @@ def stick_starts(model: Model, data: np.ndarray, protocol: np.ndarray, dts: list
         c3, angles = _diffusivity(w, o), _polar(v[:, 0])
         x = stick_fractions([v[:, 0]], c3, own[0], protocol, o)
         return [np.stack([x[:, 1], c3, *angles, s0[:, 0]], 1), np.stack([one / 2, one / 2, *angles, s0[:, 0]], 1)]
+    w, v = eigen[-1 if model.times > 1 else 0]  # with several time points the last one tells the directions
     flat = np.clip((w[:, 1] - w[:, 2]) / np.maximum(w[:, 0] - w[:, 2], 1e-12), 0.02, 0.98)[:, None]
     pairs = [(_unit(v[:, 0] + flat * v[:, 1]), _unit(v[:, 0] - flat * v[:, 1])), (v[:, 0], v[:, 1])]
     given = (np.abs(fields[:, :3]).sum(1) > 0) & (np.abs(fields[:, 3:6]).sum(1) > 0) if model.n_fields else np.zeros(len(data), bool)

@@ -16,6 +16,7 @@ from voxelspark.plans import fit as P
 from voxelspark.plans import fixtures as X
 from voxelspark.plans import general as GF
 from voxelspark.plans import starts as T
+from voxelspark.plans.models import MODELS
 from voxelspark.sources import scans as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,3 +610,104 @@ FROM vol JOIN kx ON vol.x = kx.n JOIN ky ON vol.y = ky.n JOIN kz ON vol.z = kz.n
 def w5(spark, d):
     flat = G.fft_resample(X.volume(spark, d), (4, 4, 4), (6, 3, 4), (0.25, 0.0, 0.0))
     return G.fft_resample(flat, (6, 3, 4), (6, 3, 2), compensate=True).select("scan_id", "x", "y", "z", F.round("v", 8).alias("v"))
+
+
+# every model: noise-free signals of known parameters, fitted from starts some way off, and their maps
+
+
+_ANGLES = ["th", "0.3", "ph / 4"]
+_L = ["0.6 + 0.2 * fiso", "0.35", "0.15 + 0.1 * fiso"]
+_C2 = "CASE WHEN vox % 2 = 0 THEN 0.65 ELSE 0.35 END"
+_TWO_ANGLES = ["th", "ph", "1.4 - th / 2", "ph + 1.5"]
+
+
+def _points(n):
+    return [x for k in range(n) for x in (f"0.{2 + k} + 0.2 * fiso", _C2, f"0.4 + 0.05 * {k}", f"s0 * (1 + 0.1 * {k})")] + _TWO_ANGLES
+
+
+#: True parameters of each model, as expressions that both dialects read.
+_THETA = {
+    "st_original": [*_ANGLES, *_L, "s0"],
+    "stv1": ["0.3 * fiso", "0.6", "0.2 + 0.2 * fiso", "th", "ph", "s0"],
+    "stv2": ["0.6", "0.2 + 0.2 * fiso", "th", "ph", "s0"],
+    "bitensor": [*_ANGLES, *_L, "0.5 + 0.4 * fiso", "s0"],
+    "bitensor_mdc": [*_ANGLES, "0.5 + 0.1 * fiso", "0.7", "0.5 + 0.4 * fiso", "s0"],
+    "bitensor_adc": [*_ANGLES, "0.4 + 0.2 * fiso", "0.2", "0.5 + 0.4 * fiso", "s0"],
+    "dtv1": ["0.3 * fiso", _C2, "0.6", "0.2 + 0.2 * fiso", "0.15", *_TWO_ANGLES, "s0"],
+    "dtv2": ["0.3 * fiso", _C2, "0.6", "0.2 + 0.2 * fiso", *_TWO_ANGLES, "s0"],
+    "dtv3": [_C2, "0.6", "0.2 + 0.2 * fiso", *_TWO_ANGLES, "s0"],
+    "dtv4": ["0.6", "0.2 + 0.2 * fiso", *_TWO_ANGLES, "s0"],
+    "dtv3_constrainedangles": [_C2, "0.6", "0.2 + 0.2 * fiso", "s0"],
+    "balland2sticks": ["0.2 + 0.3 * fiso", _C2, "0.5", *_TWO_ANGLES, "s0"],
+    "balland2sticks_orientationprior": ["0.2 + 0.3 * fiso", _C2, "0.5", *_TWO_ANGLES, "s0"],
+    "balland2sticks_2timepoints": _points(2),
+    "balland2sticks_3timepoints": _points(3),
+    "balland2sticks_3timepoints_noprior": _points(3),
+}
+
+
+def _unit_sql(th, ph):
+    return f"sin({th}) * cos({ph})", f"sin({th}) * sin({ph})", f"cos({th})"
+
+
+def _anisotropy(a, b, c):
+    return f"sqrt((pow({a} - {b}, 2) + pow({b} - {c}, 2) + pow({c} - {a}, 2)) / (2 * (pow({a}, 2) + pow({b}, 2) + pow({c}, 2))))"
+
+
+def _model_sql(name):
+    t = [f"({x})" for x in _THETA[name]]
+    if name.startswith(("st_", "bitensor")):
+        mdc = ["(2.1 * {0})", "({1} * (2.1 - 2.1 * {0}))", "(2.1 - 2.1 * {0} - {1} * (2.1 - 2.1 * {0}))"]
+        l = [x.format(t[3], t[4]) for x in mdc] if name == "bitensor_mdc" else ["1.7::DOUBLE", f"(1.7 * {t[3]})", f"(1.7 * {t[4]})"] if name == "bitensor_adc" else [f"(3 * {x})" for x in t[3:6]]  # noqa: E741
+        f = "1::DOUBLE" if name == "st_original" else t[-2]
+        out = {"f_tensor": f, "fa": _anisotropy(*l), "md": f"({' + '.join(l)}) / 3", "l1": l[0], "v1z": f"abs(sin({t[0]}) * sin({t[2]}) - cos({t[0]}) * sin({t[1]}) * cos({t[2]}))"}
+    elif name.startswith("stv"):
+        k = int(name == "stv1")
+        par, perp = f"(3 * {t[k]})", f"(3 * {t[k]} * {t[k + 1]})"
+        out = {"f_iso": t[0] if k else "0::DOUBLE", "ad": par, "rd": perp, "fa": _anisotropy(par, perp, perp), "v1z": f"abs(cos({t[k + 2]}))"}
+    elif "timepoints" in name:
+        n = int(name[len("balland2sticks_")])
+        swap = "vox % 2 = 1" if name.endswith("noprior") else "false"
+        out = {"v1z": f"abs(CASE WHEN {swap} THEN cos({t[4 * n + 2]}) ELSE cos({t[4 * n]}) END)"}
+        for k, p in enumerate("abc"[:n]):
+            one, two = f"{t[4 * k + 1]} * (1 - {t[4 * k]})", f"(1 - {t[4 * k + 1]}) * (1 - {t[4 * k]})"
+            out |= {f"f_iso_{p}": t[4 * k], f"f1_{p}": f"CASE WHEN {swap} THEN {two} ELSE {one} END", f"d_{p}": f"3 * {t[4 * k + 2]}"}
+    elif "sticks" in name:
+        ordered = name == "balland2sticks"
+        one, two = f"{t[1]} * (1 - {t[0]})", f"(1 - {t[1]}) * (1 - {t[0]})"
+        out = {"f_iso": t[0], "f1": f"greatest({one}, {two})" if ordered else one, "d": f"3 * {t[2]}", "v1z": f"abs(CASE WHEN {'vox % 2 = 1' if ordered else 'false'} THEN cos({t[5]}) ELSE cos({t[3]}) END)"}
+    else:
+        c1 = t[0] if name in ("dtv1", "dtv2") else "0"
+        rest = t[1:] if name in ("dtv1", "dtv2") else t
+        c2 = "0.5" if name == "dtv4" else rest[0]
+        par, perp = (rest if name == "dtv4" else rest[1:])[:2]
+        other = "0.15" if name == "dtv1" else perp
+        swap = "false" if name == "dtv4" else "vox % 2 = 1"
+        one, two = f"{c2} * (1 - {c1})", f"(1 - {c2}) * (1 - {c1})"
+        rd = f"(3 * {par} * CASE WHEN {swap} THEN {other} ELSE {perp} END)"
+        out = {"f_iso": f"{c1}::DOUBLE", "f1": f"CASE WHEN {swap} THEN {two} ELSE {one} END", "ad": f"3 * {par}", "rd1": rd, "fa1": _anisotropy(f"(3 * {par})", rd, rd)}
+    # the factor keeps round numbers off the halves
+    return f"WITH {TRUTH} SELECT vox, " + ", ".join(f"round(({e})::DOUBLE * 0.9973, 3) AS {n}" for n, e in out.items()) + " FROM truth", list(out)
+
+
+def _model_query(name):
+    maps, m = _model_sql(name)[1], MODELS[name]
+
+    def query(spark, d):
+        t = X.voxel_truth(spark, d)
+        v1, v2 = ([F.expr(e) for e in _unit_sql(*_TWO_ANGLES[k : k + 2])] for k in (0, 2))
+        fields = [F.expr(a) for a in _TWO_ANGLES] if name == "dtv3_constrainedangles" else v1 + v2
+        t = t.select("scan_id", "vox", F.array(*[F.expr(e).cast("double") for e in _THETA[name]]).alias("theta"), F.array(*fields).alias("f"))
+        dwi = P.simulate(t, TWO, name)
+        near = t.select("scan_id", "vox", F.transform("theta", lambda x: x * 1.03 + 0.005).alias("theta"))
+        fits = P.fit_lsq(T.with_initialisation(dwi.drop("theta"), near, ("scan_id", "vox")), TWO, name)
+        fits = fits.join(t.select("scan_id", "vox", "f"), ["scan_id", "vox"])
+        out = P.derive_maps(fits, name)
+        scaled = {n: F.col(n) * 1000 if n.split("_")[0] in ("d", "ad", "rd", "rd1", "md", "l1") else F.abs(F.col("v1")[2]) if n == "v1z" else F.col(n) for n in maps}
+        return out.select("vox", *[F.round(e * 0.9973, 3).alias(n) for n, e in scaled.items()])
+
+    return query
+
+
+for _name in _THETA:
+    _query(f"m9_model_{_name}", _model_sql(_name)[0])(_model_query(_name))
