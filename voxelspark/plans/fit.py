@@ -502,3 +502,46 @@ def simulate(theta: DataFrame, rows: list[tuple], model: str, options: FitOption
                 yield pdf.assign(signal=list(m.signal(np.stack(pdf["theta"].to_numpy()).astype(float), full, f, o)[:, :n].tolist()))
 
     return theta.mapInPandas(run, ", ".join([*[f"`{c}` {k}" for c, k in theta.dtypes], "signal array<double>"]))
+
+
+def leverage(fitted: DataFrame, rows: list[tuple], model: str, rice: bool = True, options: FitOptions | None = None) -> DataFrame:
+    """How far each datum draws its own prediction (column leverage, an array): 0 not at all, 1 all the way.
+
+    fitted has signal, theta at an optimum, sigma (and f). The implicit
+    function of the optimum gives the change of theta with a datum from the
+    second derivatives of the likelihood; those of the model are left out, as
+    in scoring. Pseudo-data count in the curvature and have no leverage of
+    their own. Null where theta is null.
+    """
+    m, o = MODELS[model], options or FitOptions()
+    full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
+    n = len(full)
+    keep = [c for c in fitted.columns if c not in ("signal", "f", "leverage")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = pdf["theta"].notna()
+            if not found.all():
+                yield pdf.loc[~found, keep].assign(leverage=None)
+            pdf = pdf[found]
+            if not len(pdf):
+                continue
+            data, f = _batch(pdf, m)
+            theta, sigma = np.stack(pdf["theta"].to_numpy()).astype(float), pdf["sigma"].to_numpy(float)[:, None]
+            a, j = m.signal(theta, full, f, o), jacobian(m, theta, full, f, o)
+            bend, mixed = np.full(a.shape, 1 / o.prior_noise**2), 1 / sigma**2 + np.zeros((len(a), n))
+            bend[:, :n] = mixed
+            if rice:
+                z = data[:, :n] * np.abs(a[:, :n]) / sigma**2
+                ratio = bessel_ratio(z)[1]
+                turn = 1 - np.where(z > 1e-6, ratio / np.maximum(z, 1e-300), 0.5) - ratio * ratio
+                mixed = np.where(a[:, :n] < 0, -1, 1) * (ratio + z * turn) / sigma**2
+                bend[:, :n] = -log_rice_logsigma(data[:, :n], a[:, :n], np.log(sigma))[3]
+            h = np.einsum("vmi,vm,vmj->vij", j, bend, j)
+            scale = 1 / np.sqrt(np.maximum(np.abs(np.einsum("vii->vi", h)), 1e-300))
+            inv = np.linalg.pinv(h * scale[:, :, None] * scale[:, None, :], hermitian=True) * scale[:, :, None] * scale[:, None, :]
+            draw = np.einsum("vmi,vij,vmj->vm", j[:, :n], inv, j[:, :n]) * mixed
+            yield pdf[keep].assign(leverage=list(draw.tolist()))
+
+    types = dict(fitted.dtypes)
+    return fitted.mapInPandas(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "leverage array<double>"]))

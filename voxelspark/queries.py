@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxelspark.functions import columns as C
 from voxelspark.operators import blocks as B
 from voxelspark.operators import grid as G
+from voxelspark.operators import reslice as RS
 from voxelspark.operators import signals as S
 from voxelspark.plans import fit as P
 from voxelspark.plans import fixtures as X
@@ -711,3 +712,59 @@ def _model_query(name):
 
 for _name in _THETA:
     _query(f"m9_model_{_name}", _model_sql(_name)[0])(_model_query(_name))
+
+
+# leverage and variance bound of decays, in closed form
+
+
+_NORMAL = f"""WITH {TRUTH}, j AS (
+  SELECT scan_id, vox, s0, m, exp(-100 * m * d) AS a, -100 * m * s0 * exp(-100 * m * d) AS b FROM truth, (SELECT unnest(range(16)) AS m)),
+n AS (SELECT scan_id, vox, any_value(s0) AS s0, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM j GROUP BY ALL)"""
+
+
+def _decay_optimum(spark, d):
+    return _decays(spark, d, "real").drop("theta").join(X.voxel_truth(spark, d).select("scan_id", "vox", F.array("s0", "d").alias("theta"), (F.col("s0") / 50).alias("sigma")), ["scan_id", "vox"])
+
+
+@_query("a13_leverage", f"{_NORMAL} SELECT vox, m, round((a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab), 7) AS leverage FROM j JOIN n USING (scan_id, vox)")
+def a13(spark, d):
+    out = P.leverage(_decay_optimum(spark, d), _ECHOES, "exponential_decay", rice=False)
+    return out.select("vox", F.posexplode("leverage").alias("m", "leverage")).select("vox", F.col("m").cast("bigint").alias("m"), F.round("leverage", 7).alias("leverage"))
+
+
+@_query("a11_crlb_decay", f"{_NORMAL} SELECT vox, round(s0 / 50 * sqrt(bb / (aa * bb - ab * ab)), 5) AS sd_s0, round(s0 / 50 * sqrt(aa / (aa * bb - ab * ab)) * 1000, 6) AS sd_d FROM n")
+def a11_decay(spark, d):
+    out = P.crlb(_decay_optimum(spark, d).drop("signal"), _ECHOES, "exponential_decay", rice=False)
+    return out.select("vox", F.round(F.sqrt(F.col("crlb")[0]), 5).alias("sd_s0"), F.round(F.sqrt(F.col("crlb")[2]) * 1000, 6).alias("sd_d"))
+
+
+# reslicing of oblique volumes: turned by 30 degrees about z, voxels of 2 x 3 x 2.5 mm, to 1.5 x 2 x 2 mm
+
+
+_TURNED = [math.sqrt(3), -1.5, 0.0, -3.2, 1.0, 1.5 * math.sqrt(3), 0.0, 4.7, 0.0, 0.0, 2.5, 1.1]
+_FINE = (1.5, 2.0, 2.0)
+
+
+def _g1_sql():
+    at = [_TURNED[4 * i + 3] + sum(_TURNED[4 * i + j] * 3 * c[j] for j in range(3)) for i in range(3) for c in [(a, b, e) for a in (0, 1) for b in (0, 1) for e in (0, 1)]]
+    away = lambda v: math.floor(abs(v) + 0.5) * (1 if v >= 0 else -1)
+    lo, hi = [away(min(at[8 * i : 8 * i + 8])) for i in range(3)], [away(max(at[8 * i : 8 * i + 8])) for i in range(3)]
+    n = [math.ceil((h - l) / s + 1) for l, h, s in zip(lo, hi, _FINE)]  # noqa: E741
+    c, s = math.sqrt(3) / 2, 0.5
+    dx, dy, dz = (f"({lo[i]} + {a} * {_FINE[i]}::DOUBLE - {_TURNED[4 * i + 3]!r}::DOUBLE)" for i, a in enumerate("xyz"))
+    places = f"({c!r} * {dx} + {s} * {dy}) / 2 AS px, ({c!r} * {dy} - {s} * {dx}) / 3 AS py, {dz} / 2.5 AS pz"
+    inside = " AND ".join(f"p{a} > -0.05 AND p{a} < 3.05" for a in "xyz")
+    corners = ", ".join(f"(CASE WHEN floor(p{a}) < 0 THEN 0 ELSE least(floor(p{a}) + o{a}, 3) END)::INT AS c{a}" for a in "xyz")
+    weight = " * ".join(f"(CASE WHEN o{a} = 1 THEN p{a} - floor(p{a}) ELSE 1 - (p{a} - floor(p{a})) END)" for a in "xyz")
+    return f"""WITH {VOLUME}, g AS (SELECT scan_id, x.x, y.y, z.z FROM (SELECT DISTINCT scan_id FROM vol), (SELECT unnest(range({n[0]}))::INT AS x) x, (SELECT unnest(range({n[1]}))::INT AS y) y, (SELECT unnest(range({n[2]}))::INT AS z) z),
+p AS (SELECT *, {places} FROM g), c AS (SELECT *, {weight} AS w, {corners} FROM p, ({_CORNERS}) WHERE {inside}),
+bg AS (SELECT scan_id, avg(v) AS v FROM vol WHERE (x = 0 AND y = 0 AND z = 0) OR (x = 3 AND y = 3 AND z = 3) GROUP BY scan_id)
+SELECT c.scan_id, c.x, c.y, c.z, round(sum(w * v), 7) AS v FROM c JOIN vol ON c.scan_id = vol.scan_id AND cx = vol.x AND cy = vol.y AND cz = vol.z GROUP BY ALL
+UNION ALL SELECT scan_id, x, y, z, round(v, 7) FROM p JOIN bg USING (scan_id) WHERE NOT ({inside})"""
+
+
+@_query("g1_reslice", _g1_sql())
+def g1(spark, d):
+    v = X.volume(spark, d)
+    scans = v.select("scan_id").distinct().select("scan_id", F.array(*[F.lit(x) for x in _TURNED]).alias("affine"), F.array(F.lit(4), F.lit(4), F.lit(4)).alias("dims"))
+    return RS.reslice(v, scans, _FINE).select("scan_id", "x", "y", "z", F.round("v", 7).alias("v"))
