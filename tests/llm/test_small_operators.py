@@ -300,3 +300,16 @@ def test_orphans_of_lost_commits_go(spark):
     sharding.vacuum(spark, root, age_s=-10)
     fs, p = sharding._fs(spark, f"{root}/aside/lost")
     assert not fs.exists(p) and sharding.shards(spark, root, df.schema).count() == 1
+
+
+def test_labelled_rows_of_a_filter_that_cannot_tell(spark, monkeypatch):
+    """With a bitmap of one word most ids may hit; the rows are those of a plain semi-join all the same, null ids left out."""
+    from voxelspark.llm import quality
+
+    few = lambda f: lambda *a, **k: f(*a, **{**k, "log2_words": 0})
+    monkeypatch.setattr(quality, "hit_words", few(quality.hit_words))
+    monkeypatch.setattr(quality, "may_hit", few(quality.may_hit))
+    docs = spark.createDataFrame([(i % 300, f"t{i}") for i in range(600)] + [(None, "x")], "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, 400, 7)], "doc_id long")
+    want = sorted(map(tuple, docs.join(good, "doc_id", "left_semi").collect()))
+    assert sorted(map(tuple, quality._labelled(docs, good).collect())) == want and want

@@ -97,6 +97,15 @@ def top_k(df: DataFrame, key: str, tie: list[Column], k: int, bins: int = 4096,
     return df.where(F.col(key) > hi).unionByName(border)
 
 
+def _labelled(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in good. Ids are shuffled, and of the texts only those that the skip filter cannot tell."""
+    key = F.col("doc_id")
+    some = may_hit(docs, hit_words(good, key), key)
+    wrong = table(some.select("doc_id").distinct().join(good, "doc_id", "left_anti"))
+    words = hit_words(wrong, key)
+    return may_hit(some, words, key, outside=True).unionByName(may_hit(some, words, key).join(good, "doc_id", "left_semi"))
+
+
 def quality_sample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, length: float | None = None, seed: int = 7, smoothing: float = 1.0) -> DataFrame:
     """The drawn documents: doc_id, n_features, log_weight, key, kept (true).
 
@@ -112,7 +121,7 @@ def quality_sample(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, le
     spark = docs.sparkSession
     docs = documents(docs)
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint")).distinct()
-    target = may_hit(docs, hit_words(good, F.col("doc_id")), F.col("doc_id")).join(good, "doc_id", "left_semi")
+    target = _labelled(docs, good)
     raw, wanted = _counts(docs), _counts(target)
     n = np.stack([raw, wanted]) + smoothing
     ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum()) if wanted.sum() else np.zeros(BUCKETS)
