@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspark.functions import columns as C
+from voxelspark.functions import text as TX
 from voxelspark.operators import blocks as B
+from voxelspark.operators import channels as CH
 from voxelspark.operators import grid as G
 from voxelspark.operators import reslice as RS
 from voxelspark.operators import signals as S
@@ -768,3 +770,26 @@ def g1(spark, d):
     v = X.volume(spark, d)
     scans = v.select("scan_id").distinct().select("scan_id", F.array(*[F.lit(x) for x in _TURNED]).alias("affine"), F.array(F.lit(4), F.lit(4), F.lit(4)).alias("dims"))
     return RS.reslice(v, scans, _FINE).select("scan_id", "x", "y", "z", F.round("v", 7).alias("v"))
+
+
+# channels and edit costs
+
+
+@_query("p10_channels", f"WITH {TRUTH} SELECT vox, round(sin(th) * cos(ph), 9) AS x, round(sin(th) * sin(ph), 9) AS y, round(cos(th) * cos(th) + 1, 9) AS zz FROM truth")
+def p10(spark, d):
+    """Directions as three maps; these and their dyads as nine channels, of which the last but three is taken again."""
+    v = X.voxel_truth(spark, d).select("vox", C.angles_to_unit(F.col("th"), F.col("ph")).alias("v")).withColumn("t", C.direction_to_tensor(F.col("v")))
+    nine = CH.merge_channels(v, ["v", "t"], "all")
+    out = CH.split_channels(nine, "all", ["x", "y", "z", "xx", "xy", "yy", "xz", "yz", "zz"])
+    return out.select("vox", *_r("x", "y", digits=9), F.round(F.col("zz") + 0.8, 9).alias("zz"))
+
+
+F17_SQL = "SELECT p_partkey AS part, 2.0::DOUBLE * levenshtein(lower(p_name), lower(p_type)) AS distance FROM part"
+
+
+@_query("f17_weighted_edit_distance", F17_SQL)
+def f17(spark, d):
+    """Twice the plain distance of the small letters: all costs are 2, a change of case is free."""
+    p = X.read(spark, d, "part")
+    costs = TX.EditCosts(2.0, 2.0, 2.0, case=0.0)
+    return p.select(F.col("p_partkey").alias("part"), TX.weighted_edit_distance(F.upper("p_name"), F.col("p_type"), costs).alias("distance"))
