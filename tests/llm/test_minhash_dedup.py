@@ -1,8 +1,12 @@
+import os
 import random
 import re
 
-from voxelspark.llm.minhash_dedup import near_dedup
+import pytest
 
+from voxelspark.llm.minhash_dedup import near_dedup, op6_minhash_dedup
+
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string"
 
 
@@ -74,3 +78,10 @@ def test_texts_of_one_doc_id_are_classes_of_their_own(spark):
     rows = [(1, a), (2, a + " end"), (2, b)]
     got = near_dedup(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 56, 1, True), (2, 56, 2, True), (2, 57, 1, False)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_groups_of_a_given_table_are_those_of_all_pairs(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op6_minhash_dedup(spark, SF).collect()}
+    assert got == brute(rows, 3, 85, 100) and any(not r[2] for r in got.values())
