@@ -75,3 +75,15 @@ def test_spark_round_trip(spark, model):
     assert {(r.doc_id, r.ids_sha256) for r in encode_digests(df, chunk=20).collect()} == want
     assert {(r.doc_id, r.text) for r in decode(got).collect()} == {(d, (t or "").replace("▁", " ")) for d, t in rows}
     assert encode(df.limit(0)).count() == 0
+
+
+def test_slices_of_texts_are_cut_into_words():
+    """Texts side by side in one slice, with space and line ends at their borders, get the ids that each has alone."""
+    rng = random.Random(8)
+    model = Model.load(MODEL)
+    texts = ["".join(rng.choice(["a", "word", " ", "  ", "\n", "é", "日本", "\t", "x" * 70, "<s>", "\x00"]) for _ in range(rng.choice([0, 1, 2, 30]))) for _ in range(400)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, at = model.encode_slice(raw, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    for t, a, b in zip(texts, at[:-1], at[1:]):
+        assert ids[a:b].astype("<i4").tobytes() == model.encode(t)
+        assert model.decode(ids[a:b]) == t

@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, read, table
+from .pieces import distinct, gather
+from .words import text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _NO = -np.inf
+_SLICE = 1 << 21  # bytes of the texts whose distinct words are looked up together
 _MEMO = 200_000  # words of 64 characters at most: about 40 MB for each of two generations
 _PAIRS = 400_000  # pairs of pieces, likewise
 _HEADS = 30_000
@@ -92,7 +95,9 @@ class Model:
                 self.reach[p[-3:]] = max(self.reach.get(p[-3:], 2), len(p))
         self.begun = _Recent(_HEADS)
         self.memo = _Memo(self)
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+") if self.heads and "\n" not in known else re.compile("(?s).+")
+        #: whether words are independent, so that a text may be cut into them
+        self.by_words = bool(self.heads and "\n" not in known)
+        self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+") if self.by_words else re.compile("(?s).+")
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -273,20 +278,37 @@ class Model:
         """Ids of a text as little-endian int32. Words are independent where no piece goes on past a space mark."""
         return b"".join(map(self.memo.__getitem__, self.cut.findall(self.normal(text))))
 
+    def encode_slice(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and where each text's start (with an end mark): each distinct word is looked up once."""
+        before = np.concatenate([[10], raw[:-1]])
+        cut = ((raw == 32) & (before != 32)) | (raw == 10) | (before == 10)
+        words, numbers, first = distinct(raw, off, np.zeros(len(raw), bool), cut)
+        ids = [self.memo[w.decode().replace(" ", SPACE)] for w in words]
+        numbers = numbers.copy()
+        heads = first[:-1][np.diff(first) > 0]  # a text's first word has the mark that is put before the text
+        kinds, which = np.unique(numbers[heads], return_inverse=True)
+        numbers[heads] = len(words) + which
+        ids += [self.encode(words[k].decode()) for k in kinds]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(lengths) - lengths
+        ends = np.concatenate([[0], np.cumsum(lengths[numbers])])
+        return gather(flat, starts[numbers], lengths[numbers]), ends[first]
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of an id sequence; bytes that are not UTF-8 become replacement characters, control ids nothing."""
-        out: list[bytes] = []
-        for i in ids.tolist():
-            b = self.byte_of.get(i)
-            if b is not None:
-                out.append(bytes([b]))
-            elif self.kind[i] == 2:
-                out.append(" ⁇ ".encode())
-            elif self.kind[i] != 3:
-                out.append(self.plain[i])
-        text = b"".join(out).decode("utf-8", "replace")
+        data, starts, lengths = self.spelling
+        text = gather(data, starts[ids], lengths[ids]).tobytes().decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
+    @property
+    def spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all ids one behind the other, where each id's start, and how many they are."""
+        if not hasattr(self, "_spelling"):
+            own = [bytes([self.byte_of[i]]) if i in self.byte_of else " ⁇ ".encode() if self.kind[i] == 2 else b"" if self.kind[i] == 3 else p for i, p in enumerate(self.plain)]
+            lengths = np.array([len(b) for b in own])
+            self._spelling = np.frombuffer(b"".join(own), np.uint8), np.cumsum(lengths) - lengths, lengths
+        return self._spelling
+
     @property
     def plain(self) -> list[bytes]:
         if not hasattr(self, "_plain"):
@@ -437,10 +459,15 @@ def _encode_whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [model.encode(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), _ids_array(ids)], ["doc_id", "key", "ids"])
+            for i, j, raw, off in text_slices(batch.column("text"), _SLICE):
+                part = batch.slice(i, j - i)
+                mark = (raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)  # the space mark itself in a text
+                if model.by_words and not mark.any():
+                    flat, at = model.encode_slice(raw, off)
+                    ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+                else:
+                    ids = _ids_array([model.encode(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), ids], ["doc_id", "key", "ids"])
 
     return run
 
