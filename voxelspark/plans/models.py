@@ -181,7 +181,8 @@ def _turn(t, p, f, o):
 def _spoiled_echo(t, p, f, o):
     """Steady state of a spoiled gradient echo: A sin(flip) (1 - E) / (1 - E cos(flip)), E = exp(-TR R1). TR stands in the b column, the flip angle in gx."""
     e = np.exp(-p[:, 0] * _col(t, 1))
-    return _col(t, 0) * np.sin(p[:, 1]) * (1 - e) / (1 - e * np.cos(p[:, 1]))
+    below = 1 - e * np.cos(p[:, 1])
+    return _col(t, 0) * np.sin(p[:, 1]) * (1 - e) / np.where(below == 0, 1, below)  # no signal without flip and repetition
 
 
 def _constant(t, p, f, o):

@@ -576,16 +576,16 @@ for _kind in _TYPES:
     _query(f"m5_fit_{_kind}", _m5_sql(_kind))(_m5(_kind))
 
 
-@_query("m5_noise_loop", f"WITH {TRUTH} SELECT scan_id, 10 + 5 * scan_id AS sigma, true AS within FROM truth GROUP BY scan_id")
+@_query("m5_noise_loop", f"WITH {TRUTH} SELECT scan_id, 2 + 2 * scan_id AS sigma, true AS within FROM truth GROUP BY scan_id")
 def m5_noise(spark, d):
     """Rician decays; the level of each scan is estimated and the fit repeated until they agree."""
-    level = 10.0 + 5 * F.col("scan_id")
+    level = 2.0 + 2 * F.col("scan_id")
     long = _decays(spark, d, "magnitude").select("scan_id", "vox", F.posexplode("signal").alias("m", "s"))
     starts = _decays(spark, d, "magnitude").select("scan_id", "vox", "theta")
     dwi = S.pack(X.rician(long, level), ("scan_id", "vox")).join(starts, ["scan_id", "vox"])
     out = GF.fit_general(dwi, _ECHOES, "exponential_decay", "magnitude")
     residual = F.median(F.sqrt(F.col("rss") / 14))
-    return out.groupBy("scan_id").agg((F.round(residual / 5) * 5).cast("bigint").alias("sigma"), (F.max("sigma") / residual).between(0.8, 1.25).alias("within"))
+    return out.groupBy("scan_id").agg((F.round(residual / 2) * 2).cast("bigint").alias("sigma"), (F.max("sigma") / residual).between(0.8, 1.25).alias("within"))
 
 
 @_query("m7_constraints", f"WITH {TRUTH} SELECT vox, round(CASE WHEN d > 0.0015 THEN 0.0015::DOUBLE ELSE d END * 1000, 3) AS d, d > 0.0015 AS met, d <= 0.0015 AS free FROM truth")
