@@ -63,3 +63,17 @@ def test_payload_columns(spark):
         media, r = transport_stream.mux(payload), got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-32:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and transport_stream.demux(media)[0] == payload
+
+
+def test_toxicity_finds_held_out_labels(spark):
+    """At 0.7, on rows that are never learned from: most of the marked documents, and few others."""
+    from voxelspark.llm.toxicity import op3_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    marked = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)").collect()}
+    rows = [(marked[r.doc_id], r.predicted, r.score) for r in op3_toxicity(spark, sf).collect() if r.held_out and r.doc_id in marked]
+    hit = sum(t and p for t, p, _ in rows)
+    toxic, clean = sum(t for t, _, _ in rows), sum(not t for t, _, _ in rows)
+    assert toxic > 100 and hit >= 0.8 * toxic and hit >= 0.8 * sum(p for _, p, _ in rows)
+    above = sum(a[2] > b[2] for a in rows if a[0] for b in rows if not b[0])
+    assert above >= 0.9 * toxic * clean
