@@ -12,6 +12,7 @@ from voxelspark.functions import columns as C
 from voxelspark.functions import text as TX
 from voxelspark.operators import blocks as B
 from voxelspark.operators import channels as CH
+from voxelspark.operators import geometry as GM
 from voxelspark.operators import grid as G
 from voxelspark.operators import reslice as RS
 from voxelspark.operators import signals as S
@@ -793,3 +794,53 @@ def f17(spark, d):
     p = X.read(spark, d, "part")
     costs = TX.EditCosts(2.0, 2.0, 2.0, case=0.0)
     return p.select(F.col("p_partkey").alias("part"), TX.weighted_edit_distance(F.upper("p_name"), F.col("p_type"), costs).alias("distance"))
+
+
+# geometry of scans
+
+
+@_query("g3_scan_affine", """WITH t AS (SELECT p_partkey AS scan_id, p_size / 10.0::DOUBLE AS a, (p_partkey % 7) / 5.0::DOUBLE AS b, [3.0, 3.0, 2.5, 4.0][1 + p_partkey % 4]::DOUBLE AS step, p_retailprice::DOUBLE AS price FROM part),
+r AS (SELECT scan_id, [-2 * sin(a) * cos(b), 1.5 * cos(a), step * sin(a) * sin(b), price, 2 * cos(a) * cos(b), 1.5 * sin(a), -step * cos(a) * sin(b), 5, 2 * sin(b), 0, step * cos(b), -price] AS e FROM t)
+SELECT scan_id, i::INT AS i, round(e[i + 1], 8) + 0.0::DOUBLE AS v FROM r, (SELECT unnest(range(12)) AS i)""")
+def g3(spark, d):
+    """Headers that state the slices by positions, by positions and a spacing, as mosaics, and by locations."""
+    part = _angled_parts(spark, d)
+    o1 = [F.cos("a"), F.sin("a"), F.lit(0.0)]
+    o2 = [-F.sin("a") * F.cos("b"), F.cos("a") * F.cos("b"), F.sin("b")]
+    normal = [F.sin("a") * F.sin("b"), -F.cos("a") * F.sin("b"), F.cos("b")]
+    kind = F.col("scan_id") % 4
+    first = [F.col("at"), F.lit(5.0), -F.col("at")]
+    walk = F.array(*[F.array(*[f + 3 * s * n for f, n in zip(first, normal)]) for s in range(4)])
+    positions = F.when(kind < 2, walk).when(kind == 2, F.array(F.array(*first), F.array(*first))).otherwise(F.array(F.array(*first)))
+    headers = part.select(
+        "scan_id", F.array(F.array(F.lit(1.5), F.lit(2.0))).alias("spacings"), F.array(*o1, *o2).alias("orientation"), positions.alias("positions"), F.when(kind == 3, F.array(F.lit(10.0), F.lit(14.0))).alias("locations"),
+        F.when(kind == 1, 3.0).when(kind == 2, 2.5).alias("between"), (kind == 2).alias("mosaic"), F.lit(None).cast("array<double>").alias("normal"),
+    )
+    out = GM.scan_affine(headers).select("scan_id", F.posexplode("affine").alias("i", "v"))
+    return out.select("scan_id", "i", (F.round("v", 8) + 0.0).alias("v"))
+
+
+def _angled_parts(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("scan_id"), (F.col("p_size") / 10).alias("a"), (F.col("p_partkey") % 7 / 5).alias("b"), F.col("p_retailprice").cast("double").alias("at"))
+
+
+G4_SQL = f"""WITH {VOLUME}, n AS (SELECT unnest(range(4)) AS n),
+k AS (SELECT 4 AS size, m, n, (m = n)::INT::DOUBLE AS w FROM (SELECT unnest(range(4)) AS m), n
+UNION ALL SELECT 3, m, n, (1 + 2 * cos(2 * pi() * (m / 3 - n / 4))) / 4 FROM (SELECT unnest(range(3)) AS m), n
+UNION ALL SELECT 2, m, n, (1 + 2 * cos(pi() * n / 2) * (1 - 2 * (m % 2))) / 4 FROM (SELECT unnest(range(2)) AS m), n),
+s AS (SELECT *, CASE WHEN scan_id % 2 = 0 THEN [2, 4, 2] ELSE [4, 2, 3] END AS size FROM vol)
+SELECT scan_id, kx.m::INT AS x, ky.m::INT AS y, kz.m::INT AS z, round(sum(kx.w * ky.w * kz.w * v), 8) + 0.0::DOUBLE AS v
+FROM s JOIN k kx ON s.x = kx.n AND kx.size = s.size[1] JOIN k ky ON s.y = ky.n AND ky.size = s.size[2] JOIN k kz ON s.z = kz.n AND kz.size = s.size[3] GROUP BY ALL"""
+
+
+@_query("g4_acquisition_grid", G4_SQL)
+def g4(spark, d):
+    """Scans whose acquisition matrix is given either way, with slices twice as thick as their spacing or measured as one volume."""
+    v = X.volume(spark, d)
+    even = F.col("scan_id") % 2 == 0
+    ints = lambda *a: F.array(*[F.lit(i) for i in a])
+    headers = v.select("scan_id").distinct().select(
+        "scan_id", ints(4, 4, 4).alias("dims"), F.when(even, ints(0, 1, 2, 0)).otherwise(ints(1, 0, 0, 2)).alias("matrix"), (~even).alias("volumetric"),
+        F.when(even, 4.0).otherwise(5.0).alias("thickness"), F.lit(2.0).alias("between"),
+    )
+    return GM.acquisition_grid(v, GM.acquisition_size(headers)).select("scan_id", "x", "y", "z", (F.round("v", 8) + 0.0).alias("v"))
