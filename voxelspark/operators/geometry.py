@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from .grid import AXES, spectral_matrix
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """df worked out here: what stands above is not merged into it."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def _median(values: Column) -> Column:
     """Median of an array of doubles."""
-    ordered, n = F.array_sort(values), F.size(values)
+    ordered, n = F.sort_array(values), F.size(values)
     return (F.get(ordered, ((n - 1) / 2).cast("int")) + F.get(ordered, (n / 2).cast("int"))) / 2
 
 
@@ -50,10 +55,11 @@ def scan_affine(headers: DataFrame) -> DataFrame:
     cross = [o(0, (k + 1) % 3) * o(1, (k + 2) % 3) - o(0, (k + 2) % 3) * o(1, (k + 1) % 3) for k in range(3)]
     located = F.when(F.size("locations") > 1, F.get("locations", F.lit(1)) - F.get("locations", F.lit(0))).otherwise(0.0)
     stated = F.coalesce("mosaic", F.lit(False)) | F.col("between").isNotNull()
-    rows = headers.select(
+    rows = _once(headers).select(
         "scan_id", "orientation", F.get("positions", F.lit(0)).alias("first"), "between", "normal", F.array(_pixel(0), _pixel(1)).alias("pixel"), F.when(stated, F.col("between")).otherwise(located).alias("distance"),
         F.when(F.size("positions") > 1, F.array(*[_column_step(k) for k in range(3)])).alias("step"),
     )
+    rows = _once(rows)
     length = F.sqrt(sum((F.get("step", F.lit(k)) * F.get("step", F.lit(k)) for k in range(3)), F.lit(0.0)))
     walked = F.col("step").isNotNull() & (F.col("between").isNull() | (F.abs(length - F.col("distance")) < 0.05 * F.col("distance")))
     given = F.col("step").isNotNull() & F.col("normal").isNotNull()
