@@ -1,4 +1,4 @@
-"""Fitting jobs: every Arrow batch of voxels is one vectorised solve. One row in, one row out, no shuffle."""
+"""Fitting jobs: every Arrow batch of voxels is a few vectorised solves. One row in, one row out; fits are dealt over all tasks first (see spread)."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from voxelspark.operators.blocks import AXES, Size, block_sweep, laplacian
 from voxelspark.operators.grid import laplacian_penalty
-from voxelspark.operators.signals import log_linear_operator
+from voxelspark.operators.signals import log_linear_operator, spread
 from voxelspark.plans.maps import derive_maps as derive_maps
-from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian
+from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian, signal_and_slopes
 from voxelspark.plans.rice import bessel_ratio, log_rice_logsigma, rice_information, rice_information_joint, rice_loglik
 from voxelspark.plans.starts import candidates, given_starts, rank_starts
 
@@ -37,31 +37,43 @@ def _slopes(u: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
+#: Voxels that are solved together: as many as leave their derivatives in a core's cache.
+TOGETHER = 512
+
+
 def levenberg_marquardt(model: Model, theta: np.ndarray, data: np.ndarray, protocol: np.ndarray, fields: np.ndarray, o: FitOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least squares of all voxels together; settled voxels leave. Returns theta, rss, iterations."""
+    """Least squares of all voxels; settled voxels leave. Returns theta, rss, iterations."""
+    parts = [slice(lo, lo + TOGETHER) for lo in range(0, max(1, len(theta)), TOGETHER)]
+    return tuple(np.concatenate(x) for x in zip(*[_least_squares(model, theta[at], data[at], protocol, fields[at], o) for at in parts]))
+
+
+def _least_squares(model: Model, theta: np.ndarray, data: np.ndarray, protocol: np.ndarray, fields: np.ndarray, o: FitOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """See levenberg_marquardt. Derivatives are worked out anew only where the last step was taken."""
     u = bound(theta, model)
-    damp, count, active = np.full(len(u), 100.0), np.zeros(len(u), int), np.arange(len(u))
+    damp, count, active, moved = np.full(len(u), 100.0), np.zeros(len(u), int), np.arange(len(u)), np.arange(len(u))
     rss = ((model.signal(unbound(u, model), protocol, fields, o) - data) ** 2).sum(1)
+    curve, pull = np.empty((len(u), model.n, model.n)), np.empty((len(u), model.n))
     for _ in range(o.max_iterations):
         if not len(active):
             break
-        x, f, d = u[active], fields[active], data[active]
-        t = unbound(x, model)
-        j = jacobian(model, t, protocol, f, o) * _slopes(x, model)[:, None, :]
-        r = model.signal(t, protocol, f, o) - d
-        h, g = np.einsum("vmi,vmj->vij", j, j), np.einsum("vmi,vm->vi", j, r)
+        if len(moved):
+            x = u[moved]
+            a, j = signal_and_slopes(model, unbound(x, model), protocol, fields[moved], o)
+            j *= _slopes(x, model)[:, :, None]
+            curve[moved], pull[moved] = j @ j.transpose(0, 2, 1), (j @ (a - data[moved])[..., None])[..., 0]
+        x, d, h, g = u[active], data[active], curve[active], pull[active]
         diag = np.einsum("vii->vi", h)
         frozen = diag <= 1e-10 * diag.max(1, keepdims=True)
         g = np.where(frozen, 0, g)
         h = h + np.einsum("vi,ij->vij", np.where(frozen, 1.0, diag * damp[active, None]) + 1e-300, np.eye(model.n))
         new = x - np.linalg.solve(h, g[..., None])[..., 0]
-        after = ((model.signal(unbound(new, model), protocol, f, o) - d) ** 2).sum(1)
+        after = ((model.signal(unbound(new, model), protocol, fields[active], o) - d) ** 2).sum(1)
         good = after < rss[active]
         settled = good & ((rss[active] - after < 1e-8 * (rss[active] + 1e-300)) | (np.abs(new - x).max(1) < 1e-8)) | (damp[active] > 1e10)
         count[active] += 1
         u[active[good]], rss[active[good]] = new[good], after[good]
         damp[active] = np.where(good, damp[active] / 10, damp[active] * 10)
-        active = active[~settled]
+        active, moved = active[~settled], active[good & ~settled]
     return unbound(u, model), rss, count
 
 
@@ -195,7 +207,7 @@ def _fit(dwi: DataFrame, rows: list[tuple], m: Model, o: FitOptions, found) -> D
 
     types = dict(dwi.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", theta array<double>, rss double, start int, iterations int"
-    return dwi.mapInPandas(run, schema)
+    return spread(dwi).mapInPandas(run, schema)
 
 
 def _computed(m: Model, rows: list[tuple], o: FitOptions):
@@ -316,7 +328,7 @@ def fit_ml(fitted: DataFrame, rows: list[tuple], model: str, options: FitOptions
             yield out
 
     types = dict(fitted.dtypes)
-    return fitted.mapInPandas(run, ", ".join([*[f"`{c}` {'double' if c == 'sigma' else types[c]}" for c in keep], "theta array<double>", "loglik double"]))
+    return spread(fitted).mapInPandas(run, ", ".join([*[f"`{c}` {'double' if c == 'sigma' else types[c]}" for c in keep], "theta array<double>", "loglik double"]))
 
 
 def _noise_block(m: Model, full: np.ndarray, o: FitOptions, weight: float, steps: int):
@@ -499,9 +511,9 @@ def simulate(theta: DataFrame, rows: list[tuple], model: str, options: FitOption
         for pdf in batches:
             if len(pdf):
                 f = np.stack(pdf["f"].to_numpy()).astype(float) if "f" in pdf else np.zeros((len(pdf), max(6, m.n_fields)))
-                yield pdf.assign(signal=list(m.signal(np.stack(pdf["theta"].to_numpy()).astype(float), full, f, o)[:, :n].tolist()))
+                yield pdf.assign(signal=list(m.signal(np.stack(pdf["theta"].to_numpy()).astype(float), full, f, o)[:, :n]))
 
-    return theta.mapInPandas(run, ", ".join([*[f"`{c}` {k}" for c, k in theta.dtypes], "signal array<double>"]))
+    return spread(theta).mapInPandas(run, ", ".join([*[f"`{c}` {k}" for c, k in theta.dtypes], "signal array<double>"]))
 
 
 def leverage(fitted: DataFrame, rows: list[tuple], model: str, rice: bool = True, options: FitOptions | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspark.operators.signals import global_noise
+from voxelspark.operators.signals import global_noise, spread
 from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian
 from voxelspark.plans.rice import bessel_ratio, rice_information, rice_loglik
 from voxelspark.plans.starts import nnls_normal
@@ -177,7 +177,7 @@ def _once(df: DataFrame, rows: list[tuple], m: Model, kind: str, o: FitOptions,
             yield pdf[keep].assign(theta=list(theta.tolist()), loglik=value, rss=((y - p) ** 2).sum(1), iterations=count)
 
     types = dict(df.dtypes)
-    return df.mapInPandas(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "theta array<double>, loglik double, rss double, iterations int"]))
+    return spread(df).mapInPandas(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "theta array<double>, loglik double, rss double, iterations int"]))
 
 
 def fit_general(df: DataFrame, rows: list[tuple], model: str, kind: str = "magnitude", sigma: float | None = None, constraints: Constraints | None = None, prior: tuple | None = None, accept: tuple[float, float] = (0.8, 1.25), rounds: int = 5, options: FitOptions | None = None) -> DataFrame:
