@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxelspark.operators.signals import shares
+
 AXES = ("x", "y", "z")
 
 
@@ -49,14 +52,74 @@ def neighbour_join(df: DataFrame, offsets: list[tuple[int, int, int]], value: st
     return df.join(moved, ["scan_id", *AXES])
 
 
-def full_minima(df: DataFrame, value: str = "v") -> DataFrame:
-    """Voxels below all of their 26 neighbours (ties as in local_minima)."""
-    offsets = [o for o in itertools.product((-1, 0, 1), repeat=3) if any(o)]
-    near = neighbour_join(df, offsets, value)
-    forward = F.expr("dz > 0 or (dz = 0 and (dy > 0 or (dy = 0 and dx > 0)))")
-    worse = F.when(forward, F.col("neighbour") <= F.col(value)).otherwise(F.col("neighbour") < F.col(value))
-    losers = near.where(worse).select("scan_id", *AXES).distinct()
-    return df.join(losers, ["scan_id", *AXES], "left_anti")
+def map_groups(df: DataFrame, keys: list[str], solve: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """solve(rows, group) for batches of whole groups: group numbers the groups of a batch, whose rows stand together.
+
+    One shuffle on the keys, which must not be null. A batch is an Arrow batch
+    and what was left of the group that the one before ended in, so many small
+    groups are one call and a task holds no more than a batch and a group.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for pdf in itertools.chain(batches, [None]):
+            if pdf is not None and not len(pdf):
+                continue
+            if pdf is not None:
+                last = np.logical_and.reduce([(pdf[k] == pdf[k].iloc[-1]).to_numpy() for k in keys])
+                begin = len(last) - int(last.sum())  # rows are sorted: the last group is the end
+                if begin == 0 and (not held or all(held[-1][k].iloc[-1] == pdf[k].iloc[0] for k in keys)):
+                    held.append(pdf)
+                    continue
+                held, ready = [pdf.iloc[begin:]], [*held, pdf.iloc[:begin]]
+            else:
+                ready = held
+            if ready:
+                rows = pd.concat(ready, ignore_index=True) if len(ready) > 1 else ready[0].reset_index(drop=True)
+                new = np.logical_or.reduce([rows[k].to_numpy()[1:] != rows[k].to_numpy()[:-1] for k in keys])
+                yield solve(rows, np.concatenate([[0], np.cumsum(new)]))
+
+    return df.repartition(shares(df.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def full_minima(df: DataFrame, value: str = "v", tile: int = 16) -> DataFrame:
+    """Voxels below all of their 26 neighbours (ties as in local_minima).
+
+    A voxel is sent to its tile and, on a tile's border, to those beside it: no
+    rows for pairs. A null value neither beats nor loses; NaN is the largest.
+    """
+    columns, at = df.columns, ["scan_id", *AXES]
+    known = F.lit(True)
+    for c in at:
+        known = known & F.col(c).isNotNull()
+    rows = df.where(known).withColumn("_none", F.col(value).isNull())
+    for a in AXES:
+        rows = rows.withColumn(f"_t{a}", F.explode(F.array_distinct(F.array(*[F.floor((F.col(a) + i) / tile) for i in (0, -1, 1)]))))
+    side = tile + 2
+
+    def lowest(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        local = [rows[a].to_numpy() - rows[f"_t{a}"].to_numpy() * tile + 1 for a in AXES]
+        own = np.logical_and.reduce([(i >= 1) & (i <= tile) for i in local])
+        place = ((group * side + local[2]) * side + local[1]) * side + local[0]
+        v, none = rows[value].to_numpy(float), rows["_none"].to_numpy(bool)
+        there = np.flatnonzero(~none)
+        there = there[np.lexsort((v[there], place[there]))]  # of several at one place the smallest comes first
+        places, values = place[there], v[there]
+        mine = np.flatnonzero(own)
+        for d in itertools.product((-1, 0, 1), repeat=3):
+            if d == (0, 0, 0) or not len(places):
+                continue
+            to, w = place[mine] + (d[0] * side + d[1]) * side + d[2], v[mine]
+            i = np.minimum(np.searchsorted(places, to), len(places) - 1)
+            u = values[i]
+            less = (u < w) | (np.isnan(w) & ~np.isnan(u))
+            if d > (0, 0, 0):
+                less |= (u == w) | (np.isnan(w) & np.isnan(u))
+            mine = mine[~((places[i] == to) & less & ~none[mine])]
+        return rows.iloc[np.sort(mine)][columns]
+
+    low = map_groups(rows, ["scan_id", *[f"_t{a}" for a in AXES]], lowest, df.schema)
+    return low.unionByName(df.where(~known))
 
 
 def gauss_blur(df: DataFrame, sigmas: tuple[float, float, float], value: str = "v") -> DataFrame:

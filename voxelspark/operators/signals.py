@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,17 +17,19 @@ def pack(dwi_long: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return rows.select(*key, F.transform("_p", lambda p: p["s"]).alias("signal"))
 
 
+def shares(spark: SparkSession) -> int:
+    """Tasks that a solve is dealt to: the session's number of shuffle partitions, four for each core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows, dealt to tasks by their columns before a solve.
 
     Tasks are cut by bytes, but a voxel's solve costs far more time than its
     bytes tell: a table in one small file, or shuffled parts that were merged,
-    would leave all of it to a few tasks. At least the session's number of
-    shuffle partitions and four for each core; that number stands.
+    would leave all of it to a few tasks. The number of tasks stands.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])
+    return df.repartition(shares(df.sparkSession), *[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])
 
 
 def expand_volumes(dwi: DataFrame, volumes: list[int] | None = None) -> DataFrame:
