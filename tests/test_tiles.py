@@ -42,3 +42,35 @@ def test_full_minima_makes_no_pairs(spark):
     """A row for each neighbour was 26 times the volume, on one side of a join whose size Spark takes from the small file."""
     df = spark.range(64).selectExpr("0L AS scan_id", "cast(id % 4 AS int) AS x", "cast(id / 4 % 4 AS int) AS y", "cast(id / 16 AS int) AS z", "1D AS v")
     assert "Join" not in G.full_minima(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("method", ["trilinear", "nearest"])
+def test_reslice_tiles_do_not_matter(spark, method):
+    """Tiles of 2 and 16, small batches, holes, a scan without voxels, voxels outside the dims and voxels without a scan."""
+    from voxelspark.operators import reslice as R
+
+    rng = np.random.default_rng(5)
+    spots = [p for p in itertools.product(range(5), range(4), range(6)) if rng.random() < 0.9]
+    rows = [(s, *p, float(rng.normal())) for s in (1, 2, 9) for p in spots] + [(1, 7, 0, 0, 100.0)]
+    df = spark.createDataFrame(rows, "scan_id long, x int, y int, z int, v double")
+    turned = [1.8, -1.0, 0.1, -3.2, 1.1, 2.0, 0.0, 4.7, 0.0, 0.3, 2.5, 1.1]
+    scans = spark.createDataFrame([(1, turned, [5, 4, 6]), (2, turned, [5, 4, 6]), (3, turned, [5, 4, 6])], "scan_id long, affine array<double>, dims array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 41)
+    try:
+        one, two = (sorted(map(tuple, R.reslice(df, scans, (1.1, 1.3, 1.7), method, tile=t).collect())) for t in (2, 16))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    size = R.target_grid(scans, (1.1, 1.3, 1.7)).selectExpr("sum(new_dims[0] * new_dims[1] * new_dims[2])").first()[0]
+    assert len(one) == len({r[:4] for r in one}) == size and [r[:4] for r in one] == [r[:4] for r in two]
+    assert np.allclose([r[4] for r in one], [r[4] for r in two], atol=1e-12)
+    assert all(r[4] == 0 for r in one if r[0] == 3) and any(r[4] != 0 for r in one if r[0] == 2)
+
+
+def test_reslice_sends_no_targets(spark):
+    """A row for each target was shuffled and sorted in a task; now only voxels and a header for each tile are."""
+    from voxelspark.operators import reslice as R
+
+    df = spark.createDataFrame([(1, 0, 0, 0, 1.0), (1, 1, 1, 1, 3.0)], "scan_id long, x int, y int, z int, v double")
+    scans = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0], [2, 2, 2])], "scan_id long, affine array<double>, dims array<int>")
+    plan = R.reslice(df, scans, (0.1, 0.1, 0.1), background=0.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Group" not in plan and plan.count("Repartition") == 1
