@@ -61,3 +61,24 @@ def test_fits_are_dealt_over_tasks(spark, tmp_path):
     tasks = [df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect() for df in (dwi, fits)]
     assert all(len(t) >= 16 and max(r["count"] for r in t) <= 100 for t in tasks)
     assert S.spread(voxels).orderBy("vox").collect() == voxels.orderBy("vox").collect()
+
+
+def test_bessel_pieces(monkeypatch):
+    """Each series runs on its own values only: pieces, edges and both sides of 12 agree with one value at a time."""
+    from voxelspark.plans import rice
+
+    x = np.array([[0.0, 1e-9, 0.5, 11.999999], [12.0, 12.000001, 700.0, 1e6]])
+    whole = rice.bessel_ratio(x)
+    each = [rice.bessel_ratio(np.array(v)) for v in x.ravel()]
+    monkeypatch.setattr(rice, "_PIECE", 3)
+    for k, pieces in enumerate(rice.bessel_ratio(x)):
+        assert (pieces == whole[k]).all() and (pieces.ravel() == [e[k] for e in each]).all()
+    assert abs(whole[1][0, 2] - 0.24249961258) < 1e-10 and [len(a) for a in rice.bessel_ratio(np.zeros(0))] == [0, 0]
+
+
+def test_weighted_square():
+    from voxelspark.plans.models import weighted_square
+
+    rng = np.random.default_rng(6)
+    j, w = rng.normal(size=(4, 9, 3)), rng.uniform(size=(4, 9))
+    assert np.allclose(weighted_square(j, w), np.einsum("vmi,vm,vmj->vij", j, w, j), rtol=1e-13)

@@ -13,7 +13,7 @@ from voxelspark.operators.blocks import AXES, Size, block_sweep, laplacian
 from voxelspark.operators.grid import laplacian_penalty
 from voxelspark.operators.signals import log_linear_operator, spread
 from voxelspark.plans.maps import derive_maps as derive_maps
-from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian, signal_and_slopes
+from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian, signal_and_slopes, weighted_square
 from voxelspark.plans.rice import bessel_ratio, log_rice_logsigma, rice_information, rice_information_joint, rice_loglik
 from voxelspark.plans.starts import candidates, given_starts, rank_starts
 
@@ -98,7 +98,7 @@ def maximise_rice(model: Model, theta: np.ndarray, data: np.ndarray, sigma: np.n
         ratio = bessel_ratio(data[active, :n] * np.abs(a[:, :n]) / s**2)[1]
         e = np.concatenate([(data[active, :n] * ratio - a[:, :n]) / s**2, (data[active, n:] - a[:, n:]) / o.prior_noise**2], axis=1)
         weight = np.concatenate([np.broadcast_to(1 / s**2, (len(active), n)), np.full((len(active), model.pseudo), 1 / o.prior_noise**2)], axis=1)
-        h = np.einsum("vmi,vm,vmj->vij", j, weight, j)
+        h = weighted_square(j, weight)
         diag = np.einsum("vii->vi", h)
         h = h + np.einsum("vi,ij->vij", diag * damp[active, None] + 1e-12 * diag.max(1, keepdims=True) + 1e-300, np.eye(model.n))
         new = x + np.linalg.solve(h, np.einsum("vmi,vm->vi", j, e)[..., None])[..., 0]
@@ -139,9 +139,9 @@ def maximise_rice_noise(model: Model, theta: np.ndarray, data: np.ndarray, sigma
         aa, as_, ss = rice_information_joint(a[:, :n] / e)
         pull = np.concatenate([of_a, (data[active, n:] - a[:, n:]) / o.prior_noise**2], axis=1)
         weight = np.concatenate([aa / e**2, np.full((len(active), model.pseudo), 1 / o.prior_noise**2)], axis=1)
-        g = np.column_stack([np.einsum("vmi,vm->vi", j, pull), of_s.sum(1)])
+        g = np.column_stack([(j.transpose(0, 2, 1) @ pull[..., None])[..., 0], of_s.sum(1)])
         h = np.zeros((len(active), model.n + 1, model.n + 1))
-        h[:, :-1, :-1] = np.einsum("vmi,vm,vmj->vij", j, weight, j)
+        h[:, :-1, :-1] = weighted_square(j, weight)
         h[:, :-1, -1] = h[:, -1, :-1] = np.einsum("vmi,vm->vi", j[:, :n], np.where(a[:, :n] < 0, -as_, as_) / e)
         h[:, -1, -1] = ss.sum(1)
         diag = np.einsum("vii->vi", h)
@@ -362,7 +362,7 @@ def _noise_block(m: Model, full: np.ndarray, o: FitOptions, weight: float, steps
             aa, as_, ss = rice_information_joint(a[:, :n] / e)
             pull = np.concatenate([of_a, (data[:, n:] - a[:, n:]) / o.prior_noise**2], axis=1)
             heavy = np.concatenate([aa / e**2, np.full((len(x), m.pseudo), 1 / o.prior_noise**2)], axis=1)
-            g, h = np.einsum("vmi,vm->vi", j, pull), np.einsum("vmi,vm,vmj->vij", j, heavy, j)
+            g, h = (j.transpose(0, 2, 1) @ pull[..., None])[..., 0], weighted_square(j, heavy)
             cross = np.einsum("vmi,vm->vi", j[:, :n], np.where(a[:, :n] < 0, -as_, as_) / e)
             own_s = sigma.copy()
             own_s[own] = e[:, 0]
@@ -469,7 +469,7 @@ def crlb(fitted: DataFrame, rows: list[tuple], model: str, rice: bool = True, op
             a = m.signal(theta, full, f, o)[:, : len(full)]
             j = jacobian(m, theta, full, f, o)[:, : len(full)]
             w = (rice_information(np.abs(a) / sigma) if rice else 1) / sigma**2 * np.ones_like(a)
-            info = np.einsum("vmi,vm,vmj->vij", j, w, j)
+            info = weighted_square(j, w)
             scale = 1 / np.sqrt(np.maximum(np.einsum("vii->vi", info), 1e-300))
             inv = np.linalg.pinv(info * scale[:, :, None] * scale[:, None, :], hermitian=True) * scale[:, :, None] * scale[:, None, :]
             out = pdf[keep].copy()
@@ -549,7 +549,7 @@ def leverage(fitted: DataFrame, rows: list[tuple], model: str, rice: bool = True
                 turn = 1 - np.where(z > 1e-6, ratio / np.maximum(z, 1e-300), 0.5) - ratio * ratio
                 mixed = np.where(a[:, :n] < 0, -1, 1) * (ratio + z * turn) / sigma**2
                 bend[:, :n] = -log_rice_logsigma(data[:, :n], a[:, :n], np.log(sigma))[3]
-            h = np.einsum("vmi,vm,vmj->vij", j, bend, j)
+            h = weighted_square(j, bend)
             scale = 1 / np.sqrt(np.maximum(np.abs(np.einsum("vii->vi", h)), 1e-300))
             inv = np.linalg.pinv(h * scale[:, :, None] * scale[:, None, :], hermitian=True) * scale[:, :, None] * scale[:, None, :]
             draw = np.einsum("vmi,vij,vmj->vm", j[:, :n], inv, j[:, :n]) * mixed

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.operators.signals import global_noise, spread
-from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian
+from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian, weighted_square
 from voxelspark.plans.rice import bessel_ratio, rice_information, rice_loglik
 from voxelspark.plans.starts import nnls_normal
 from voxelspark.sources.store import remove, stored
@@ -138,7 +138,7 @@ def maximise(model: Model, kind: str, theta: np.ndarray, data: np.ndarray, sigma
             break
         t, s = theta[active], sigma[active, None]
         y, p, j = like.turn(data[active], model.signal(t, protocol, fields[active], o), jacobian(model, t, protocol, fields[active], o))
-        g, h = np.einsum("vmi,vm->vi", j, like.slope(y, p, s)), np.einsum("vmi,vm,vmj->vij", j, like.weight(y, p, s), j)
+        g, h = (j.transpose(0, 2, 1) @ like.slope(y, p, s)[..., None])[..., 0], weighted_square(j, like.weight(y, p, s))
         if prior:
             g, h = g - (t - prior[0]) @ inverse, h + inverse
         diag = np.einsum("vii->vi", h)

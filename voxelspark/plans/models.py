@@ -402,6 +402,12 @@ def jacobian(model: Model, theta: np.ndarray, protocol: np.ndarray, fields: np.n
     return signal_and_slopes(model, theta, protocol, fields, options)[1].transpose(0, 2, 1)
 
 
+def weighted_square(j: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """j' w j of each voxel: j as jacobian gives it, w (voxels, measurements)."""
+    t = j.transpose(0, 2, 1)
+    return (t * w[:, None, :]) @ j
+
+
 # starts from an eigen-decomposition of the log-linear tensor
 
 

@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 from numpy.polynomial import chebyshev
 
 
+def _series(terms: int, factor: Callable[[int], float]) -> list[float]:
+    """1, then each coefficient as factor(k) times the one before."""
+    return list(itertools.accumulate(range(1, terms), lambda c, k: c * factor(k), initial=1.0))
+
+
+#: Of I0 and 2 I1 / x in x^2 / 4, and of both asymptotic series in 1 / (8 x).
+_LOW = _series(45, lambda k: 1 / (k * k)), _series(45, lambda k: 1 / (k * (k + 1)))
+_HIGH = _series(22, lambda k: (2 * k - 1) ** 2 / k), _series(22, lambda k: ((2 * k - 1) ** 2 - 4) / k)
+_PIECE = 1 << 14
+
+
+def _horner(c: list[float], x: np.ndarray) -> np.ndarray:
+    out = np.full_like(x, c[-1])
+    for k in c[-2::-1]:
+        out *= x
+        out += k
+    return out
+
+
 def bessel_ratio(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ln(I0(x) exp(-x)) and I1(x) / I0(x) for x >= 0: power series below 12, asymptotic series above."""
+    """ln(I0(x) exp(-x)) and I1(x) / I0(x) for x >= 0: power series up to 12, asymptotic series above, each for its own values only."""
     x = np.asarray(x, float)
-    low = np.minimum(x, 12.0)
-    q, term0, i0, i1 = low * low / 4, np.ones_like(low), np.ones_like(low), np.ones_like(low)
-    term1 = np.ones_like(low)
-    for k in range(1, 45):
-        term0 = term0 * q / (k * k)
-        term1 = term1 * q / (k * (k + 1))
-        i0, i1 = i0 + term0, i1 + term1
-    high = np.maximum(x, 12.0)
-    a0 = a1 = np.ones_like(high)
-    s0, s1 = np.ones_like(high), np.ones_like(high)
-    for k in range(1, 22):
-        a0 = a0 * (2 * k - 1) ** 2 / (8 * k * high)
-        a1 = a1 * ((2 * k - 1) ** 2 - 4) / (8 * k * high)
-        s0, s1 = s0 + a0, s1 + a1
-    big = x > 12
-    return np.where(big, np.log(s0) - 0.5 * np.log(2 * np.pi * high), np.log(i0) - low), np.where(big, s1 / s0, low / 2 * i1 / i0)
+    flat = x.ravel()
+    value, ratio = np.empty_like(flat), np.empty_like(flat)
+    for begin in range(0, len(flat), _PIECE):  # pieces that fit a cache
+        here = flat[begin : begin + _PIECE]
+        big = here > 12
+        for at, far in ((np.flatnonzero(big), True), (np.flatnonzero(~big), False)):
+            if not len(at):
+                continue
+            y = here[at]
+            if far:
+                i0, i1 = (_horner(c, 1 / (8 * y)) for c in _HIGH)
+                value[begin + at], ratio[begin + at] = np.log(i0) - 0.5 * np.log(2 * np.pi * y), i1 / i0
+            else:
+                i0, i1 = (_horner(c, y * y / 4) for c in _LOW)
+                value[begin + at], ratio[begin + at] = np.log(i0) - y, y / 2 * i1 / i0
+    return value.reshape(x.shape), ratio.reshape(x.shape)
 
 
 def rice_loglik(data: np.ndarray, a: np.ndarray, sigma: np.ndarray) -> np.ndarray:
