@@ -107,3 +107,27 @@ def test_objective_falls_to_that_of_one_solve_of_the_whole_grid(spark):
         down[i] -= e
         assert abs(objective(y, theta, up, weight) - objective(y, theta, down, weight)) / (2 * e) < 0.05
     assert np.std(sigma) < 0.9 * np.std(field(P.fit_ml(fits, ROWS, "balland1stick", refine_noise=True))[1])
+
+
+def test_block_solution_is_shared_by_blocks_of_one_shape():
+    """One map for all blocks of a shape; it gives the solution of the block's equations with the halo held."""
+    at = np.array([(x, y, z) for x in range(3) for y in range(2) for z in range(4) if (x, y, z) != (1, 1, 2)], np.int64)
+    own = at[:, 2] < 3
+    inner, outer = B._block_solution(at.tobytes(), own.tobytes(), 0.3)
+    assert B._block_solution(at.copy().tobytes(), own.copy().tobytes(), 0.3)[0] is inner
+    u, v = np.random.default_rng(1).normal(size=(2, len(at)))
+    m = -0.3 * B.laplacian(at)
+    want = np.linalg.solve(m[np.ix_(own, own)] + np.eye(own.sum()), v[own] - m[np.ix_(own, ~own)] @ u[~own])
+    assert np.abs(inner @ v[own] + outer @ u[~own] - want).max() < 1e-12
+
+
+def test_sweep_with_null_groups(spark):
+    """Rows whose group is null are a group of their own, also where another is called like nothing; blocks at 2 and 3 see neighbours that have moved."""
+    rows = [(g, x, 0, 0, float(i)) for i, g in enumerate([None, "", "null", "a"]) for x in range(5)]
+    df = spark.createDataFrame(rows, "scan_id string, x int, y int, z int, v double")
+
+    def solve(block, own):
+        return block[own].assign(v=block.loc[own, "v"] + block["v"].nunique() / 10)
+
+    out = next(B.block_sweep(df, solve, (2, 2, 2), 1))
+    assert sorted((r.scan_id or str(r.scan_id), r.x, round(r.v, 6)) for r in out.collect()) == sorted((g or str(g), x, round(v + (0.2 if x in (2, 3) else 0.1), 6)) for g, x, _, _, v in rows)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.operators.grid import map_groups
 from voxelspark.sources.store import remove, stored
 
 AXES = ("x", "y", "z")
@@ -50,21 +51,29 @@ def block_sweep(df: DataFrame, solve: Solve, size: Size, halo: int, by: tuple[st
     """
     if halo > min(size):
         raise ValueError("a halo wider than a block would reach blocks of the same colour")
-    if clash := [c for c in df.columns if c in {f"_b{a}" for a in AXES}]:
+    if clash := [c for c in df.columns if c in {f"_b{a}" for a in AXES} | {f"_k{i}" for i in range(len(by))}]:
         raise ValueError(f"columns of the sweep: {clash}")
     spark, columns, lengths = df.sparkSession, df.columns, np.array(size)
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     home = _colour([F.floor(F.col(a) / n) for a, n in zip(AXES, size)])
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        block = rows[[f"_b{a}" for a in AXES]].to_numpy()
-        own = (np.floor_divide(rows[list(AXES)].to_numpy(), lengths) == block).all(1)
-        if not own.any():
-            return rows.loc[own, columns]
-        try:
-            return solve(rows[columns], own)[columns]
-        except np.linalg.LinAlgError:
-            return rows.loc[own, columns]
-
+    def solved(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        own = (np.floor_divide(rows[list(AXES)].to_numpy(), lengths) == rows[[f"_b{a}" for a in AXES]].to_numpy()).all(1)
+        first, plain, out = np.flatnonzero(np.diff(group, prepend=-1)), rows[columns], []
+        for lo, hi in zip(first, [*first[1:], len(rows)]):
+            mine = own[lo:hi]
+            if not mine.any():
+                continue
+            block = plain.iloc[lo:hi].reset_index(drop=True)
+            try:
+                out.append(solve(block, mine)[columns])
+            except np.linalg.LinAlgError:
+                out.append(block.loc[mine])
+        return pd.concat(out) if out else plain.iloc[:0]
+
+    # names of groups that are never null
+    names = {f"_k{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for i, c in enumerate(by)}
+    keys = [*names, *[f"_b{a}" for a in AXES]]
     first, path = stored(df.withColumn("_colour", home))
     colours = sorted(r[0] for r in first.select("_colour").distinct().collect())
     parts = {c: (first.where(F.col("_colour") == c).drop("_colour"), None) for c in colours}
@@ -72,7 +81,7 @@ def block_sweep(df: DataFrame, solve: Solve, size: Size, halo: int, by: tuple[st
     while True:
         for c in colours:
             state = functools.reduce(DataFrame.unionByName, [p for p, _ in parts.values()])
-            new = stored(_around(state, c, size, halo).groupBy(*by, *[f"_b{a}" for a in AXES]).applyInPandas(one, df.schema))
+            new = stored(map_groups(_around(state, c, size, halo).withColumns(names), keys, solved, schema))
             gone += [parts[c][1]] if parts[c][1] else []
             parts[c] = new
         yield functools.reduce(DataFrame.unionByName, [p for p, _ in parts.values()]) if parts else df
@@ -95,6 +104,15 @@ def laplacian(at: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=16)
+def _block_solution(at: bytes, own: bytes, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """The own voxels of a block as a linear map of their values and of the halo; blocks of a regular grid have few shapes, so a task works most of them out once."""
+    mine = np.frombuffer(own, bool)
+    m = -weight * laplacian(np.frombuffer(at, np.int64).reshape(-1, 3))
+    inner = np.linalg.inv(m[np.ix_(mine, mine)] + np.eye(mine.sum()))
+    return inner, -inner @ m[np.ix_(mine, ~mine)]
+
+
 def smooth_field(df: DataFrame, weight: float, size: Size = (8, 8, 8), value: str = "v", tolerance: float = 1e-9, sweeps: int = 50, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """The field u with the smallest sum of (u - v)^2 + weight * (differences of neighbours)^2, by block sweeps until no value moves by more than tolerance.
 
@@ -103,10 +121,13 @@ def smooth_field(df: DataFrame, weight: float, size: Size = (8, 8, 8), value: st
     rows = df.select(*by, *AXES, F.col(value).cast("double").alias("_v"), F.col(value).cast("double").alias("_u"), F.lit(0.0).alias("_moved"))
 
     def solve(block: pd.DataFrame, own: np.ndarray) -> pd.DataFrame:
-        m = -weight * laplacian(block[list(AXES)].to_numpy())
+        at = block[list(AXES)].to_numpy().astype(np.int64)
+        order = np.lexsort(at.T)
+        at, own = at[order] - at.min(0), own[order]
+        inner, outer = _block_solution(at.tobytes(), own.tobytes(), weight)
+        block = block.iloc[order]
         u, v = block["_u"].to_numpy(), block["_v"].to_numpy()
-        right = v[own] - m[np.ix_(own, ~own)] @ u[~own]
-        new = np.linalg.solve(m[np.ix_(own, own)] + np.eye(own.sum()), right)
+        new = inner @ v[own] + outer @ u[~own]
         return block[own].assign(_u=new, _moved=np.abs(new - u[own]))
 
     for k, state in enumerate(block_sweep(rows, solve, size, 1, by)):
