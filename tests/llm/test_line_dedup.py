@@ -83,3 +83,30 @@ def test_helper_names_among_the_columns(spark):
     got = line_dedup(df)
     assert got.columns == [*df.columns, "n_lines", "n_removed"]
     assert sorted((r.doc_id, r.text, r.n_removed, r.gone) for r in got.collect()) == [(1, "a b c\nx", 0, "gone"), (2, "", 1, "gone")]
+
+
+def test_driver_holds_a_small_plan_and_few_bitmap_rows(spark):
+    """The rarity table stands in the plan of the prefix rows: its text, of which Spark keeps several copies, stays small; a full bitmap has few rows."""
+    from voxelspark.llm import common, line_dedup as L
+
+    lines = L._lines(spark.createDataFrame([(1, "a b c d e\nf g h")], "doc_id long, text string"))
+    assert len(L._index(lines, L._rank_table(lines))._jdf.queryExecution().executedPlan().toString()) < 1_000_000
+    keys = spark.range(200_000)
+    assert common.hit_words(keys, F.col("id")).count() <= 1 << 15
+    some = spark.range(0, 400_000, 3)
+    words = common.hit_words(keys, F.col("id"))
+    inside, outside = (common.may_hit(some, words, F.col("id"), outside=o) for o in (False, True))
+    assert outside.where("id < 200000").count() == 0 and inside.count() + outside.count() == some.count() and outside.count() > 60_000
+
+
+def test_parity_of_long_and_short_lines(spark):
+    """Pairs at the limit on both sides of the length from which the parity has 128 bits."""
+    from voxelspark.llm.line_dedup import LONG
+
+    rows = []
+    for i, n in enumerate([LONG - 12, LONG - 2, LONG, LONG + 1, LONG + 8, 3 * LONG]):
+        w = [f"t{i}_{k}" for k in range(n)]
+        most = n - -(-4 * n // 5)
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w[most:])), (10 * i + 2, " ".join(w[: n - most - 1])), (10 * i + 3, " ".join(w[: -(n // 9)] + [f"u{i}_{k}" for k in range(n // 9)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.text, r.n_removed) for r in line_dedup(df).collect()} == brute(rows)

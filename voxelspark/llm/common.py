@@ -50,28 +50,40 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Longs of a row of a bitmap: a row costs the driver far more than a long does.
+LANES = 8
+
+
 def hit_words(keys: DataFrame, key: Column, log2_words: int = 18) -> DataFrame:
-    """Bitmap of 64 * 2**log2_words hashed keys as rows (word, mask), broadcast: that many rows at most, whatever the input.
+    """Bitmap of 64 * 2**log2_words hashed keys as rows (word, m0 to m7), broadcast: an eighth of that many rows at most, whatever the input.
 
     A join with it keeps every row that has a partner, and few others; it
     skips rows only, so a full bitmap costs time and never changes a result.
     """
     slot = F.xxhash64(key)
-    bits = keys.select(_word(slot, log2_words).alias("word"), _mask(slot).alias("mask"))
-    return F.broadcast(bits.groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    bits = keys.select(_word(slot, log2_words).alias("word"), _lane(slot).alias("lane"), _mask(slot).alias("mask"))
+    masks = [F.bit_or(F.when(F.col("lane") == i, F.col("mask")).otherwise(0)).alias(f"m{i}") for i in range(LANES)]
+    return F.broadcast(bits.groupBy("word").agg(*masks))
 
 
 def may_hit(df: DataFrame, words: DataFrame, key: Column, log2_words: int = 18, outside: bool = False) -> DataFrame:
     """Rows of df whose key may be in hit_words(); with outside the others."""
     slot, names = F.xxhash64(key), df.columns
-    word, mask = fresh(df, "word", "mask")
-    words = words.select(F.col("word").alias(word), F.col("mask").alias(mask))
-    found = (F.col(word) == _word(slot, log2_words)) & (F.col(mask).bitwiseAND(_mask(slot)) != 0)
+    own = fresh(df, *words.columns)
+    words = words.toDF(*own)
+    mask = F.lit(0).cast("bigint")
+    for i in reversed(range(LANES)):
+        mask = F.when(_lane(slot) == i, F.col(own[1 + i])).otherwise(mask)
+    found = (F.col(own[0]) == _word(slot, log2_words)) & (mask.bitwiseAND(_mask(slot)) != 0)
     return df.join(F.broadcast(words), found, "left_anti" if outside else "left_semi").select(*[F.col(f"`{c.replace('`', '``')}`") for c in names])
 
 
 def _word(slot: Column, log2_words: int) -> Column:
-    return F.shiftright(slot, 6).bitwiseAND(F.lit((1 << log2_words) - 1))
+    return F.shiftright(slot, 9).bitwiseAND(F.lit((1 << max(log2_words - 3, 0)) - 1))
+
+
+def _lane(slot: Column) -> Column:
+    return F.shiftright(slot, 6).bitwiseAND(F.lit(LANES - 1))
 
 
 def _mask(slot: Column) -> Column:

@@ -6,8 +6,8 @@ similarity of 0.8 or more; lines are judged on the input. Equal lines are found
 by grouping. The others go through a prefix join: tokens are ordered by rarity
 (counts of hashed tokens, a table of fixed size), and two similar lines share a
 token among the first n - ceil(0.8 n) + 1. Length and positional filters and the
-parity of 128 token bits (at most the size of the symmetric difference) drop
-pairs that can't reach 0.8.
+parity of 64 token bits, 128 for long lines (at most the size of the symmetric
+difference), drop pairs that can't reach 0.8.
 
 The prefix rows are shuffled once, by token. A semi-join within that shuffle
 keeps the rows that have any partner left after the filters, never the pairs.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents, fresh, hit_words, may_hit, read, table
 
-RANKS = 1 << 18
+RANKS = 1 << 16
+#: Lines of more tokens have a parity of 128 bits, the others one of 64.
+LONG = 96
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -52,47 +54,54 @@ def _rank_table(lines: DataFrame) -> Column:
     gets RANKS rows at most.
     """
     tokens = lines.select(F.explode(F.split("raw", " ")).alias("t")).where("t <> ''")
-    counts = tokens.groupBy(_bucket(F.col("t")).alias("b")).count()
+    counts = tokens.groupBy(_bucket(F.xxhash64("t")).alias("b")).count()
     rows = counts.select("b", F.floor(F.ln(F.col("count") + 1) * 4).cast("int").alias("v")).toArrow()
     rank = np.zeros(RANKS, np.uint8)
     rank[rows["b"].to_numpy()] = np.minimum(rows["v"].to_numpy(), 127)
     return F.from_json(F.lit(str(rank.tolist())), "array<tinyint>")  # folded once, when the plan is optimised
 
 
-def _bucket(token: Column) -> Column:
-    return F.hash(token).bitwiseAND(F.lit(RANKS - 1))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(RANKS - 1)).cast("int")
 
 
-def _code(token: Column, rank: Column) -> Column:
-    """A token as a long that sorts by rarity: its rank, then 56 bits of its hash."""
-    level = F.get(rank, _bucket(token)).cast("bigint")
-    return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.xxhash64(token).bitwiseAND(F.lit((1 << 56) - 1)))
+def _code(h: Column, rank: Column) -> Column:
+    """The hash of a token as a long that sorts by rarity: its rank, then 56 bits of the hash."""
+    return F.call_function("shiftleft", F.get(rank, _bucket(h)).cast("bigint"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
-def _parity(half: int) -> Column:
-    """Parity of 64 of the 128 token bits of the codes s."""
-    def toggle(a: Column, t: Column) -> Column:
-        own = F.shiftright(t, 6).bitwiseAND(F.lit(1))
-        return a.bitwiseXOR(F.call_function("shiftleft", own if half else own.bitwiseXOR(F.lit(1)), t.bitwiseAND(F.lit(63)).cast("int")))
+def _bit(t: Column) -> Column:
+    return t.bitwiseAND(F.lit(63)).cast("int")
 
-    return F.aggregate("s", F.lit(0).cast("bigint"), toggle)
+
+def _parity() -> Column:
+    """Parity of the codes s in 64 bits."""
+    return F.aggregate("s", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(t))))
+
+
+def _half() -> Column:
+    """Parity of the codes with bit 6 set: with _parity() it makes 128 bits."""
+    return F.aggregate("s", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(t, 6).bitwiseAND(F.lit(1)), _bit(t))))
 
 
 def _index(lines: DataFrame, rank: Column) -> DataFrame:
     """Prefix rows (token, doc_id, no, n, i, lo, hi) of each line."""
-    tokens = F.array_distinct(F.transform(F.split("low", " "), lambda t: _code(t, rank)))
+    # ranks and parity are worked out for the distinct hashes only
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("low", " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
     # explode of one element: what stands below and above it is not merged into it, so each line is worked out once
     rows = lines.select("doc_id", "no", _plain().alias("low"))
-    rows = rows.select("doc_id", "no", F.explode(F.array(F.sort_array(F.array_remove(tokens, _code(F.lit(""), rank))))).alias("s"))
+    rows = rows.select("doc_id", "no", F.explode(F.array(F.sort_array(F.transform(hashes, lambda h: _code(h, rank))))).alias("s"))
     n = F.size("s")
     prefix = F.slice("s", F.lit(1), n - F.expr("(4 * size(s) + 4) div 5").cast("int") + 1)
-    rows = rows.select("doc_id", "no", F.explode(F.array(F.struct(n.alias("n"), _parity(0).alias("lo"), _parity(1).alias("hi"), prefix.alias("prefix")))).alias("x"))
+    half = F.when(n > LONG, _half()).otherwise(0)
+    rows = rows.select("doc_id", "no", F.explode(F.array(F.struct(n.alias("n"), _parity().alias("lo"), half.alias("hi"), prefix.alias("prefix")))).alias("x"))
     return rows.select("doc_id", "no", "x.n", "x.lo", "x.hi", F.posexplode("x.prefix").alias("i", "token"))
 
 
-_FITS = """9 * (bit_count(a.lo ^ b.lo) + bit_count(a.hi ^ b.hi)) <= a.n + b.n
+_FITS = f"""9 * bit_count(a.lo ^ b.lo) <= a.n + b.n
     and 9 * least(a.n - a.i, b.n - b.i) >= 4 * (a.n + b.n)
-    and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n"""
+    and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
+    and (a.n <= {LONG} or b.n <= {LONG} or 9 * (bit_count(a.lo ^ a.hi ^ b.lo ^ b.hi) + bit_count(a.hi ^ b.hi)) <= a.n + b.n)"""
 _APART = "(a.doc_id <> b.doc_id or a.no <> b.no)"
 _LATER = "(b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.no < a.no)"
 
