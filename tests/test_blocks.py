@@ -131,3 +131,16 @@ def test_sweep_with_null_groups(spark):
 
     out = next(B.block_sweep(df, solve, (2, 2, 2), 1))
     assert sorted((r.scan_id or str(r.scan_id), r.x, round(r.v, 6)) for r in out.collect()) == sorted((g or str(g), x, round(v + (0.2 if x in (2, 3) else 0.1), 6)) for g, x, _, _, v in rows)
+
+
+def test_a_fit_is_worked_out_once_for_its_objective_and_sweeps(spark):
+    _, fits = noisy(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    P.regularise_noise(fits.mapInPandas(count, fits.schema), ROWS, "balland1stick", 0.05, (3, 3, 3), sweeps=1, steps=1)
+    assert seen.value == len(GRID)

@@ -106,3 +106,15 @@ def test_global_noise_options(spark):
     for wrong in ("median", "logtensor"):
         with pytest.raises(ValueError):
             of(wrong)
+
+
+def test_information_takes_short_polynomials(monkeypatch):
+    """Below the last stretch the long Chebyshev series serve to make a table only."""
+    a = np.linspace(0, 31.99, 50)
+    want = np.stack(R.rice_information_joint(a))
+
+    def no_series(*_):
+        raise AssertionError("a long series for each value")
+
+    monkeypatch.setattr(R.chebyshev, "chebval", no_series)
+    assert np.array_equal(np.stack(R.rice_information_joint(a)), want)

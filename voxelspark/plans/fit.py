@@ -16,6 +16,7 @@ from voxelspark.plans.maps import derive_maps as derive_maps
 from voxelspark.plans.models import MODELS, FitOptions, Model, jacobian, signal_and_slopes, weighted_square
 from voxelspark.plans.rice import bessel_ratio, log_rice_logsigma, rice_information, rice_information_joint, rice_loglik
 from voxelspark.plans.starts import candidates, given_starts, rank_starts
+from voxelspark.sources.store import remove, stored
 
 
 def bound(theta: np.ndarray, model: Model) -> np.ndarray:
@@ -406,8 +407,8 @@ def regularise_noise(fitted: DataFrame, rows: list[tuple], model: str, weight: f
     m, o = MODELS[model], options or FitOptions()
     full = np.concatenate([np.array([r[1:5] for r in rows], float)] * m.times)
     state = fitted.where("theta is not null").withColumn("sigma", F.col("sigma").cast("double"))
-    keep = [c for c in state.columns if c not in ("rss", "loglik")]
-    state = state.select(*keep)
+    # fitted is mostly a fit: it is worked out once, not again for the objective and the sweeps
+    state, path = stored(state.select(*[c for c in state.columns if c not in ("rss", "loglik")]))
 
     def objective(df: DataFrame) -> float:
         fit = fit_statistics(df, rows, model, o).agg(F.sum("loglik")).first()[0] or 0.0
@@ -419,6 +420,8 @@ def regularise_noise(fitted: DataFrame, rows: list[tuple], model: str, weight: f
         history.append(objective(out))
         if k + 1 >= sweeps or history[-2] - history[-1] <= tolerance * abs(history[-1]):
             break
+    if out is not state:  # no rows, no sweep
+        remove(state.sparkSession, path)
     return fit_statistics(out, rows, model, o), history
 
 
