@@ -82,3 +82,28 @@ def test_weighted_square():
     rng = np.random.default_rng(6)
     j, w = rng.normal(size=(4, 9, 3)), rng.uniform(size=(4, 9))
     assert np.allclose(weighted_square(j, w), np.einsum("vmi,vm,vmj->vij", j, w, j), rtol=1e-13)
+
+
+@pytest.mark.parametrize("name", ["dtv3", "dtv3_constrainedangles", "balland2sticks_orientationprior"])
+def test_model_queries_stay_with_their_rows(spark, tmp_path, name):
+    """One shuffle and no join, so nothing goes through the driver; rows of one key are rows of their own, one without a key stays."""
+    from voxelspark.queries import QUERIES
+
+    keys = [*range(40), 7, 7, None]
+    rows = [(k, 900.0 + i, i % 50 + 1) for i, k in enumerate(keys)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES[f"m9_model_{name}"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange") == 1
+    found = got.collect()
+    assert sorted(-1 if r["vox"] is None else r["vox"] for r in found) == sorted(-1 if k is None else k for k in keys)
+    assert len({tuple(r) for r in found if r["vox"] == 7}) == 1
+
+
+def test_dealt_rows_are_not_shuffled_again(spark):
+    theta = F.array(F.lit(0.4), F.lit(0.5), F.lit(0.7), 0.1 + F.col("id") / 1000, F.lit(100.0))
+    dwi = P.simulate(spark.range(60).select(F.col("id").alias("vox"), theta.alias("theta")), TWO, "balland1stick").drop("theta")
+    once, twice = (P.fit_lsq(dwi, TWO, "balland1stick", dealt=d) for d in (True, False))
+    assert [df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (once, twice)] == [1, 2]
+    both = [{r["vox"]: r["theta"] for r in df.collect()} for df in (once, twice)]
+    assert both[0].keys() == both[1].keys() == set(range(60)) and all(np.allclose(both[0][v], both[1][v], rtol=1e-6) for v in both[0])

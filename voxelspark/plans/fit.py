@@ -181,7 +181,7 @@ def best_of(model: Model, found: Starts, data: np.ndarray, full: np.ndarray, fie
     return theta, rss, number, count
 
 
-def _fit(dwi: DataFrame, rows: list[tuple], m: Model, o: FitOptions, found) -> DataFrame:
+def _fit(dwi: DataFrame, rows: list[tuple], m: Model, o: FitOptions, found, dealt: bool = False) -> DataFrame:
     """One row in, one row out: found(pdf, scale, data, fields) gives the starts of a batch."""
     p = np.array([r[1:5] for r in rows], float)
     full = np.concatenate([p] * m.times)
@@ -208,7 +208,7 @@ def _fit(dwi: DataFrame, rows: list[tuple], m: Model, o: FitOptions, found) -> D
 
     types = dict(dwi.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", theta array<double>, rss double, start int, iterations int"
-    return spread(dwi).mapInPandas(run, schema)
+    return (dwi if dealt else spread(dwi)).mapInPandas(run, schema)
 
 
 def _computed(m: Model, rows: list[tuple], o: FitOptions):
@@ -222,7 +222,7 @@ def _computed(m: Model, rows: list[tuple], o: FitOptions):
     return of
 
 
-def fit_lsq(dwi: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None) -> DataFrame:
+def fit_lsq(dwi: DataFrame, rows: list[tuple], model: str, options: FitOptions | None = None, dealt: bool = False) -> DataFrame:
     """Least-squares fit of every voxel: all columns but signal, f, theta0 and more, then theta, rss, start, iterations.
 
     dwi has a signal array (time points one behind the other) and, for models
@@ -231,6 +231,8 @@ def fit_lsq(dwi: DataFrame, rows: list[tuple], model: str, options: FitOptions |
     model's computed starts. The candidate with the smallest rss is kept, ties
     keep the earlier start. rss leaves pseudo-data out. Voxels without any
     positive finite value get theta null. Signals are scaled to 1 for the solve.
+    dealt says that the rows of dwi are dealt over tasks as they are, as those
+    of simulate are; they are not shuffled again then.
     """
     m, o = MODELS[model], options or FitOptions()
     computed = _computed(m, rows, o)
@@ -243,7 +245,7 @@ def fit_lsq(dwi: DataFrame, rows: list[tuple], model: str, options: FitOptions |
                 rest = np.setdiff1d(rest, at)
         yield from computed(rest, d, f)
 
-    return _fit(dwi, rows, m, o, found)
+    return _fit(dwi, rows, m, o, found, dealt)
 
 
 #: Numbers of starts that are not rows of a start table: the given one, the neighbours' (downwards), the computed ones (downwards).
